@@ -7,6 +7,7 @@ many documents there are. The driver solves that; executors then number the piec
 
 from __future__ import annotations
 
+import random
 import zlib
 from collections.abc import Iterator
 
@@ -45,7 +46,7 @@ def fillings(gap: int, counts: dict[int, int], most_items: int = 4, most: int =
     """Undominated fillings of ``gap`` from the lengths that remain, best fit first, at most ``most``.
 
     Sums that k items reach are a bit set; the highest reachable one is the best fit. Fillings are tried by falling sum and
-    by rising number of items, larger items first: an item in place of several with its sum dominates them.
+    falling largest item: an item in place of several with its sum dominates them, and what is hard to place goes first.
     """
     sizes = sorted((s for s, n in counts.items() if n and s <= gap), reverse=True)
     if not sizes:
@@ -78,96 +79,112 @@ def fillings(gap: int, counts: dict[int, int], most_items: int = 4, most: int =
     while total > 0 and len(found) < most and tries < 40:
         if every >> total & 1:
             tries += 1
-            for k in range(1, len(reach)):
-                if reach[k] >> total & 1:
-                    for n, f in enumerate(build(total, k, total, [])):
-                        if not any(_dominates(g, f) for g in found):
-                            found.append(f)
-                        if len(found) >= most or n >= 8:
-                            break
+            for first, k in ((s, k) for s in sizes for k in range(1, len(reach)) if s <= total and reach[k - 1] >> (total - s) & 1):
+                f = next(build(total - first, k - 1, first, [first]), None)
+                if f and not any(_dominates(g, f) for g in found):
+                    found.append(f)
                 if len(found) >= most:
                     break
         total -= 1
     return found or [()]
 
 
-def complete_bins(hist: dict[int, int], capacity: int = 1024, nodes: int = 3000) -> list[tuple[int, Filling]]:
+def best_fit(hist: dict[int, int], capacity: int) -> list[tuple[int, Filling]]:
+    """Best-fit decreasing over a histogram: bins with the same content are one entry [room -> {filling: bins}]."""
+    rooms: dict[int, dict[Filling, int]] = {}
+    for s in sorted(hist, reverse=True):
+        left = hist[s]
+        room = s
+        while left and room <= capacity:
+            for f in list(rooms.get(room, {})):
+                k = min(room // s, 1)
+                n = min(left // k, rooms[room][f])
+                if n:
+                    rooms[room][f] -= n
+                    if not rooms[room][f]:
+                        del rooms[room][f]
+                    to = rooms.setdefault(room - s, {})
+                    to[(*f, s)] = to.get((*f, s), 0) + n
+                    left -= n
+                if not left:
+                    break
+            room += 1
+            if room > capacity and left:  # a new bin for each of as many as then fill up together
+                k = min(left, capacity // s)
+                n = left // k
+                to = rooms.setdefault(capacity - k * s, {})
+                to[(s,) * k] = to.get((s,) * k, 0) + n
+                left -= n * k
+                room = s if left else room
+    return [(n, f) for fs in rooms.values() for f, n in fs.items()]
+
+
+def complete_bins(hist: dict[int, int], capacity: int = 1024, nodes: int = 20_000, restarts: int = 10) -> list[tuple[int, Filling]]:
     """Bin completion: [(times, filling)] that uses every length of hist as often as it occurs.
 
     Depth first: around the largest remaining length, each undominated filling is applied as often as the counts last. The
-    best-fit completion comes first, so the first leaf is the incumbent; a branch whose waste so far leaves no chance of
-    beating the incumbent is cut, and so is everything once the lower bound (total / capacity) is met. ``nodes`` bounds the search after the incumbent.
+    best-fit completion comes first. Best-fit decreasing is the first incumbent; a branch whose waste so far leaves no chance
+    of beating the incumbent is cut, and the search ends once the lower bound is met or after ``nodes`` nodes. These are shared
+    by ``restarts`` searches, all but the first with now and then another filling tried first (seeded: the plan is the same each time).
     """
     hist = {s: n for s, n in hist.items() if n}
     total = sum(s * n for s, n in hist.items())
     bound = max(-(-total // capacity), sum(n for s, n in hist.items() if 2 * s > capacity))
-    best: list[tuple[int, Filling]] | None = None
-    best_bins = 0
+    best = best_fit(hist, capacity)
+    best_bins = sum(n for n, _ in best)
+    if best_bins <= bound:
+        return best
 
-    def options(counts: dict[int, int], wide: bool) -> tuple[int, list[Filling]]:
+    def options(counts: dict[int, int]) -> tuple[int, list[Filling]]:
         top = max(counts)
         counts[top] -= 1
-        found = fillings(capacity - top, counts, most=6 if wide else 1)
+        found = fillings(capacity - top, counts)
         counts[top] += 1
         return top, found
 
-    counts, path, visited = dict(hist), [], 0
-    # frames: [top, remaining fillings, (times, filling) applied]
-    frames: list[list] = []
-    waste = bins = 0
-
-    def undo(frame: list) -> None:
-        nonlocal waste, bins
-        times, f = frame[2]
-        for s in f:
-            counts[s] = counts.get(s, 0) + times
-        waste -= times * (capacity - sum(f))
-        bins -= times
-        path.pop()
-
-    def advance(frame: list) -> bool:
-        nonlocal waste, bins
-        if not frame[1]:
-            return False
-        f = (frame[0], *frame[1].pop(0))
-        need = {s: f.count(s) for s in f}
-        times = min(counts[s] // n for s, n in need.items())
-        for s in f:
-            counts[s] -= times
-        for s in need:
-            if not counts[s]:
-                del counts[s]
-        waste += times * (capacity - sum(f))
-        bins += times
-        frame[2] = (times, f)
-        path.append(frame[2])
-        return True
-
-    while True:
-        if not counts:
-            if best is None or bins < best_bins:
+    for restart in range(restarts):
+        rng = random.Random(restart)
+        counts, path = dict(hist), []
+        frames: list[list] = []  # [largest length, fillings still to try, what is applied]
+        waste = bins = visited = 0
+        while best_bins > bound:
+            # even without further waste, a branch needs ceil((total + waste) / capacity) bins
+            if counts and -(-(total + waste) // capacity) < best_bins:
+                visited += 1
+                if visited > nodes // restarts:
+                    break
+                top, found = options(counts)
+                if restart and len(found) > 1 and rng.random() < 0.2:
+                    found.insert(0, found.pop(rng.randrange(1, len(found))))
+                frames.append([top, found, None])
+            elif not counts and bins < best_bins:
                 best, best_bins = list(path), bins
-            if best_bins <= bound:
-                break
-            dead = True
-        else:  # even without further waste, this branch needs ceil((total + waste) / capacity) bins
-            dead = best is not None and -(-(total + waste) // capacity) >= best_bins
-        if not dead:
-            visited += 1
-            if best is not None and visited > nodes:
-                break
-            top, found = options(counts, best is None or len(frames) < 400)
-            frames.append([top, found, None])
-            advance(frames[-1])
-            continue
-        while frames:
-            undo(frames[-1])
-            if advance(frames[-1]):
+            while frames:
+                top, found, applied = frames[-1]
+                if applied:
+                    times, f = applied
+                    for s in f:
+                        counts[s] = counts.get(s, 0) + times
+                    waste -= times * (capacity - sum(f))
+                    bins -= times
+                    path.pop()
+                if found:
+                    break
+                frames.pop()
+            if not frames:
                 break
-            frames.pop()
-        if not frames:
-            break
-    return best or []
+            f = (top, *found.pop(0))
+            times = min(counts[s] // f.count(s) for s in set(f))
+            for s in f:
+                counts[s] -= times
+            for s in set(f):
+                if not counts[s]:
+                    del counts[s]
+            waste += times * (capacity - sum(f))
+            bins += times
+            frames[-1][2] = (times, f)
+            path.append((times, f))
+    return best
 
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 1024) -> DataFrame:
@@ -198,7 +215,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 102
     return rows.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 1024, nodes: int = 3000, bucket_rows: int = 20_000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 1024, nodes: int = 20_000, bucket_rows: int = 20_000) -> DataFrame:
     """Adds sequence_id and offset to ``pieces(docs)``.
 
     Pieces of a length are interchangeable; each gets a number among them (a window over hashed buckets of about
