@@ -17,6 +17,18 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_cross_parsing_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from gridmason.llm.common import crc_mod
+    from gridmason.llm.langid import fit, identify
+
+    docs = _t(spark, sf_dir, "documents")
+    remainder = F.coalesce(crc_mod(F.col("doc_id").cast("string"), 4), F.lit(0))
+    model = fit(docs.filter(remainder != 2))
+    return identify(docs.select("doc_id", (remainder == 2).alias("held_out"), "text"), model).drop("text")
+
+
 def op2_bin_completion_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridmason.llm.packing import pack
 
@@ -30,7 +42,7 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_bin_completion_packing, op5_token_files)}
+    return {f.__name__: f for f in (op1_cross_parsing_langid, op2_bin_completion_packing, op5_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
