@@ -35,6 +35,18 @@ def op2_bin_completion_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_t(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), end_id=2, capacity=1024)
 
 
+def op4_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from gridmason.llm.common import crc_mod
+    from gridmason.llm.toxicity import fit, score
+
+    docs, labels = _t(spark, sf_dir, "documents"), _t(spark, sf_dir, "labels")
+    remainder = F.coalesce(crc_mod(F.col("doc_id").cast("string"), 3), F.lit(0))
+    model = fit(docs.filter(remainder != 1), labels.filter(remainder != 1))
+    return score(docs.select("doc_id", (remainder == 1).alias("held_out"), "text"), model).drop("text")
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridmason.llm.tokenfile import read_tokens, write_tokens
 
@@ -42,7 +54,7 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_cross_parsing_langid, op2_bin_completion_packing, op5_token_files)}
+    return {f.__name__: f for f in (op1_cross_parsing_langid, op2_bin_completion_packing, op4_weak_toxicity, op5_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
