@@ -157,14 +157,14 @@ def write_tokens(docs: DataFrame, tokenizer: str, out: str | None = None, end_id
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        from gridmason.llm.tokens import Encoder, blocks
+        from gridmason.llm.tokens import blocks, encoder
 
         task, writer, enc, first = TaskContext.get(), None, None, None
         for batch in batches:
             doc_ids, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
             for a, b in blocks(texts):
                 if writer is None:
-                    enc, first = Encoder(tokenizer), int(doc_ids[0])
+                    enc, first = encoder(tokenizer), int(doc_ids[0])
                     fs, folder = _open(out)
                     fs.create_dir(folder, recursive=True)
                     path = f"{out}/{task.partitionId():06d}-{task.taskAttemptId()}.gmtok"

@@ -1,8 +1,9 @@
 """Exact token ids, fast: whole texts through a tokenizer file, with ids of recurring chunks remembered.
 
 No token of these tokenizers reaches from a printed character into a following space, so a text's ids are the ids of its
-chunks (white space, then what follows) one after another. A text with other white space than space, tab, CR and LF is
-encoded in one piece where the tokenizer groups runs of white space ("byte" files).
+chunks (white space, then what follows) one after another. A run of Latin letters before a space or plain punctuation is one
+word to either tokenizer: new ones are encoded together, and the tokens that begin or end words tell them apart. A text with other white space
+than space, tab, CR and LF is encoded in one piece where the tokenizer groups runs of white space ("byte" files).
 """
 
 from __future__ import annotations
@@ -11,27 +12,39 @@ import json
 import os
 import re
 from collections.abc import Iterator
-from itertools import chain
+from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 
-_CHUNK = re.compile(r"[ \t\r\n]*[^ \t\r\n]+|[ \t\r\n]+")
-_WORD = re.compile(r"[^ \t\r\n]+")
+_LATIN = "A-Za-zÀ-ÖØ-öø-įı-ɏ"
+_UNTIL = r"(?=[ \t\r\n.,!?;:|%*#$&]|$)"
+_CHUNK = re.compile(rf"(?<![ \t\r\n]) [{_LATIN}]+{_UNTIL}|[ \t\r\n]*[^ \t\r\n]+|[ \t\r\n]+")
+_WORD = re.compile(rf"[{_LATIN}]+{_UNTIL}|[^ \t\r\n]+")
+_PLAIN = re.compile(rf" ?[{_LATIN}]+")
 _OTHER_SPACE = re.compile(r"[^\S \t\r\n]")
+_NOT_LOWERED = re.compile("[İɐ-\U0010ffff]|<\\|")
 
 
 class Encoder:
-    """ids(texts) -> (all ids, number of ids of each text). At most ``remember`` chunks are kept."""
+    """ids(texts) -> (all ids, number of ids of each text). Remembers about ``remember`` chunks, then starts anew."""
 
-    def __init__(self, path: str, remember: int = 300_000):
+    def __init__(self, path: str, remember: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.remember = remember
         with open(path, encoding="utf-8") as f:
-            pre = json.load(f)["pre_tokenizer"] or {}
+            spec = json.load(f)
+        pre = spec["pre_tokenizer"] or {}
         self.drops_space = any(p.get("behavior") == "Removed" and p.get("invert") for p in pre.get("pretokenizers", [pre]))
+        vocab = self.tok.get_vocab()
+        end = spec["model"].get("end_of_word_suffix") or ""
+        self.edge = np.zeros(max(vocab.values()) + 1, bool)  # tokens that end a word (drops_space) or begin one
+        self.edge[[i for t, i in vocab.items() if (t.endswith(end) if self.drops_space else t.startswith("Ġ"))]] = True
+        self.joins = not self.drops_space or bool(end)
+        self.lowers = '"Lowercase"' in json.dumps(spec.get("normalizer"))
         self._reset()
 
     def _reset(self) -> None:
@@ -40,28 +53,49 @@ class Encoder:
         self.start = np.zeros(0, np.int64)
         self.size = np.zeros(0, np.int64)
 
-    def _learn(self, chunks: list[str]) -> None:
+    def _one_by_one(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = [e.ids for e in self.tok.encode_batch_fast(chunks, add_special_tokens=False)]
         size = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum()))
-        self.start = np.concatenate([self.start, len(self.pool) + np.cumsum(size) - size])
-        self.size = np.concatenate([self.size, size])
-        self.pool = np.concatenate([self.pool, flat])
-        n = len(self.index)
-        self.index.update((c, n + i) for i, c in enumerate(chunks))
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum())), size
+
+    def _together(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """ids of words that are one word each to the tokenizer."""
+        parts = [words[i : i + 2000] for i in range(0, len(words), 2000)]
+        text = [(" " if self.drops_space else "").join(p) for p in parts]
+        found = [e.ids for e in self.tok.encode_batch_fast(text, add_special_tokens=False)]
+        ids = np.fromiter(chain.from_iterable(found), np.uint32, sum(map(len, found)))
+        at = np.flatnonzero(self.edge[ids])
+        size = np.diff(at, prepend=-1) if self.drops_space else np.diff(at, append=len(ids))
+        return (ids, size) if len(size) == len(words) else self._one_by_one(words)
+
+    def _learn(self, chunks: list[str]) -> None:
+        plain = [c for c in chunks if _PLAIN.fullmatch(c) and (c[0] == " ") != self.drops_space] if self.joins else []
+        rest = list(set(chunks).difference(plain)) if len(plain) < len(chunks) else []
+        for part, f in ((plain, self._together), (rest, self._one_by_one)):
+            if part:
+                flat, size = f(part)
+                self.start = np.concatenate([self.start, len(self.pool) + np.cumsum(size) - size])
+                self.size = np.concatenate([self.size, size])
+                self.pool = np.concatenate([self.pool, flat])
+                n = len(self.index)
+                self.index.update(zip(part, range(n, n + len(part)), strict=True))
+
+    def _split(self, text: str) -> list[str]:
+        if self.drops_space:
+            return _WORD.findall(text.lower() if self.lowers and not _NOT_LOWERED.search(text) else text)
+        return [text] if _OTHER_SPACE.search(text) else _CHUNK.findall(text)
 
     def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.index) > self.remember:
             self._reset()
-        if self.drops_space:
-            split = [_WORD.findall(t) for t in texts]
-        else:
-            split = [_CHUNK.findall(t) if not _OTHER_SPACE.search(t) else [t] for t in texts]
+        split = [self._split(t) for t in texts]
         flat = list(chain.from_iterable(split))
-        new = [c for c in set(flat) if c not in self.index]
+        which = np.fromiter(map(self.index.get, flat, repeat(-1)), np.int64, len(flat))
+        new = np.flatnonzero(which < 0).tolist()
         if new:
-            self._learn(new)
-        which = np.fromiter(map(self.index.__getitem__, flat), np.int64, len(flat))
+            unseen = [flat[i] for i in new]
+            self._learn(list(dict.fromkeys(unseen)))
+            which[new] = np.fromiter(map(self.index.__getitem__, unseen), np.int64, len(new))
         size = self.size[which]
         total = int(size.sum())
         ends = np.cumsum(size)
@@ -71,6 +105,12 @@ class Encoder:
         return out, np.diff(until, prepend=0)
 
 
+@lru_cache(2)
+def encoder(path: str) -> Encoder:
+    """One for all tasks that a Python worker runs."""
+    return Encoder(path)
+
+
 def blocks(texts: list[str | None], chars: int = 1_500_000) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about so many characters together: bounds what a task holds at once."""
     at = held = 0
