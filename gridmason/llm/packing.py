@@ -119,7 +119,7 @@ def best_fit(hist: dict[int, int], capacity: int) -> list[tuple[int, Filling]]:
     return [(n, f) for fs in rooms.values() for f, n in fs.items()]
 
 
-def complete_bins(hist: dict[int, int], capacity: int = 1024, nodes: int = 20_000, restarts: int = 10) -> list[tuple[int, Filling]]:
+def complete_bins(hist: dict[int, int], capacity: int = 1024, nodes: int = 4_000, restarts: int = 10) -> list[tuple[int, Filling]]:
     """Bin completion: [(times, filling)] that uses every length of hist as often as it occurs.
 
     Depth first: around the largest remaining length, each undominated filling is applied as often as the counts last. The
@@ -192,9 +192,9 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 102
     first piece takes the remainder. Texts are read where they lie, without a shuffle."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from gridmason.llm.tokens import Encoder, blocks
+        from gridmason.llm.tokens import blocks, encoder
 
-        enc = Encoder(tokenizer)
+        enc = encoder(tokenizer)
         for batch in batches:
             doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             got: list[tuple] = []
@@ -215,7 +215,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 102
     return rows.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 1024, nodes: int = 20_000, bucket_rows: int = 20_000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 1024, nodes: int = 4_000, bucket_rows: int = 20_000) -> DataFrame:
     """Adds sequence_id and offset to ``pieces(docs)``.
 
     Pieces of a length are interchangeable; each gets a number among them (a window over hashed buckets of about

@@ -80,8 +80,17 @@ def op8_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(_t(spark, sf_dir, "embeddings"), k=10, scale=1024.0, query_mod=100)
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from gridmason.llm.suffixdedup import dedup
+
+    found = dedup(_t(spark, sf_dir, "documents").select("doc_id", "text"), length=100)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_cross_parsing_langid, op2_bin_completion_packing, op3_hamming_neardup, op4_weak_toxicity, op5_token_files, op6_winnowing, op7_redirect_url_filter, op8_pivot_topk)}
+    return {f.__name__: f for f in (op1_cross_parsing_langid, op2_bin_completion_packing, op3_hamming_neardup, op4_weak_toxicity, op5_token_files, op6_winnowing, op7_redirect_url_filter, op8_pivot_topk, op9_suffix_dedup)}
 
 
 _URL_PARTS = """
@@ -91,14 +100,14 @@ _URL_PARTS = """
 """
 _NODE = """
   CASE WHEN host <> '' THEN host || CASE WHEN path = '' THEN '/' ELSE path END ||
-    CASE WHEN len(list_filter(string_split(regexp_extract(url, '^[^?#]*\\?([^#]*)', 1), '&'), a -> a <> '' AND NOT regexp_matches(a, '^(utm_[^=]*|ref|gclid|fbclid)(=|$)'))) > 0
-    THEN '?' || array_to_string(list_sort(list_filter(string_split(regexp_extract(url, '^[^?#]*\\?([^#]*)', 1), '&'), a -> a <> '' AND NOT regexp_matches(a, '^(utm_[^=]*|ref|gclid|fbclid)(=|$)'))), '&')
+    CASE WHEN len(list_filter(string_split(regexp_extract(url, '^[^?#]*\\?([^#]*)', 1), '&'), lambda a: a <> '' AND NOT regexp_matches(a, '^(utm_[^=]*|ref|gclid|fbclid)(=|$)'))) > 0
+    THEN '?' || array_to_string(list_sort(list_filter(string_split(regexp_extract(url, '^[^?#]*\\?([^#]*)', 1), '&'), lambda a: a <> '' AND NOT regexp_matches(a, '^(utm_[^=]*|ref|gclid|fbclid)(=|$)'))), '&')
     ELSE '' END END
 """
 _ABSOLUTE = """
-  CASE WHEN x = '' THEN NULL WHEN instr(x, '://') > 0 THEN x WHEN starts_with(x, '//') THEN regexp_extract(url, '^([^:/?#]+):', 1) || ':' || x
-       WHEN starts_with(x, '/') THEN regexp_extract(url, '^([^:/?#]+://[^/?#]*)', 1) || x
-       ELSE regexp_replace(regexp_extract(url, '^([^?#]*)', 1), '([^/:])/[^/]*$', '\\1') || '/' || x END
+  CASE WHEN {x} = '' THEN NULL WHEN instr({x}, '://') > 0 THEN {x} WHEN starts_with({x}, '//') THEN regexp_extract(url, '^([^:/?#]+):', 1) || ':' || {x}
+       WHEN starts_with({x}, '/') THEN regexp_extract(url, '^([^:/?#]+://[^/?#]*)', 1) || {x}
+       ELSE regexp_replace(regexp_extract(url, '^([^?#]*)', 1), '([^/:])/[^/]*$', '\\1') || '/' || {x} END
 """
 _OP7 = f"""
 WITH RECURSIVE rules(h, p, action) AS (VALUES {", ".join(f"('{h}', '{p}', '{a}')" for h, p, a in RULES)}),
@@ -109,7 +118,7 @@ fits AS (SELECT uid, first(h || p ORDER BY length(h || p) DESC, action) AS rule,
 tags AS (SELECT url, regexp_extract(regexp_extract(coalesce(html, ''), '(?is)(<link\\b[^>]*\\brel\\s*=\\s*["'']?canonical\\b[^>]*>)', 1), '(?is)\\bhref\\s*=\\s*["'']?([^"''\\s>]+)', 1) AS href,
   regexp_extract(regexp_extract(coalesce(html, ''), '(?is)(<meta\\b[^>]*\\bhttp-equiv\\s*=\\s*["'']?refresh\\b[^>]*>)', 1), '(?is)\\burl\\s*=\\s*[''"]?([^"''\\s>]+)', 1) AS meta
   FROM held WHERE url IS NOT NULL),
-links AS (SELECT url, {_ABSOLUTE.replace("x ", "href ").replace("x,", "href,")} AS target FROM tags UNION ALL SELECT url, {_ABSOLUTE.replace("x ", "meta ").replace("x,", "meta,")} FROM tags),
+links AS (SELECT url, {_ABSOLUTE.format(x="href")} AS target FROM tags UNION ALL SELECT url, {_ABSOLUTE.format(x="meta")} FROM tags),
 urls AS (SELECT DISTINCT url, host, path, {_NODE} AS node FROM ({_URL_PARTS.format(src="(SELECT url FROM held UNION SELECT url FROM links UNION SELECT target FROM links)")}) WHERE url IS NOT NULL),
 ties AS (SELECT DISTINCT a.node AS a, b.node AS b FROM links JOIN urls a ON a.url = links.url JOIN urls b ON b.url = links.target WHERE a.node <> b.node),
 blocked AS (SELECT node FROM (SELECT node, host, path, first(action ORDER BY length(h || p) DESC, action) AS action FROM urls
@@ -119,8 +128,8 @@ SELECT page_id, own.host, own.path, rule, coalesce(action, CASE WHEN bad.node IS
 FROM own LEFT JOIN fits ON own.uid = fits.uid LEFT JOIN (SELECT DISTINCT url, node FROM urls) u ON u.url = own.url LEFT JOIN (SELECT DISTINCT node FROM bad) bad ON bad.node = u.node
 """
 _OP8 = """
-WITH v AS (SELECT row_number() OVER () AS uid, vec_id, list_transform(embedding, x -> floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings
-  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+WITH v AS (SELECT row_number() OVER () AS uid, vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (SELECT q.uid, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.uid <> c.uid AND q.vec_id % 100 = 0 AND len(q.e) = len(c.e)),
 r AS (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10

@@ -49,9 +49,10 @@ class Encoder:
 
     def _reset(self) -> None:
         self.index: dict[str, int] = {}
+        self.n_pool = 0
         self.pool = np.zeros(0, np.uint32)
         self.start = np.zeros(0, np.int64)
-        self.size = np.zeros(0, np.int64)
+        self.size = np.zeros(0, np.int32)
 
     def _one_by_one(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = [e.ids for e in self.tok.encode_batch_fast(chunks, add_special_tokens=False)]
@@ -74,10 +75,11 @@ class Encoder:
         for part, f in ((plain, self._together), (rest, self._one_by_one)):
             if part:
                 flat, size = f(part)
-                self.start = np.concatenate([self.start, len(self.pool) + np.cumsum(size) - size])
-                self.size = np.concatenate([self.size, size])
-                self.pool = np.concatenate([self.pool, flat])
-                n = len(self.index)
+                n, m = len(self.index), self.n_pool
+                self.start = _grown(self.start, n, m + np.cumsum(size) - size)
+                self.size = _grown(self.size, n, size)
+                self.pool = _grown(self.pool, m, flat)
+                self.n_pool += len(flat)
                 self.index.update(zip(part, range(n, n + len(part)), strict=True))
 
     def _split(self, text: str) -> list[str]:
@@ -97,14 +99,21 @@ class Encoder:
             self._learn(list(dict.fromkeys(unseen)))
             which[new] = np.fromiter(map(self.index.__getitem__, unseen), np.int64, len(new))
         size = self.size[which]
-        total = int(size.sum())
-        ends = np.cumsum(size)
-        out = self.pool[np.repeat(self.start[which] - (ends - size), size) + np.arange(total)]
+        ends = np.cumsum(size, dtype=np.int64)
+        out = self.pool[np.repeat(self.start[which] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
         per_text = np.fromiter(map(len, split), np.int64, len(split))
         until = np.concatenate([[0], ends])[np.cumsum(per_text)]
         return out, np.diff(until, prepend=0)
 
 
+def _grown(held: np.ndarray, n: int, more: np.ndarray) -> np.ndarray:
+    """held with more from place n on, with room to spare."""
+    if n + len(more) > len(held):
+        held = np.concatenate([held[:n], np.zeros(n // 2 + 2 * len(more), held.dtype)])
+    held[n : n + len(more)] = more
+    return held
+
+
 @lru_cache(2)
 def encoder(path: str) -> Encoder:
     """One for all tasks that a Python worker runs."""
