@@ -6,8 +6,10 @@ Jaccard similarity. Two signatures are close if they differ in at most ``radius`
 allowed error per chunk (each symbol left out in turn) gives 65 keys of which such a pair shares one for certain; a pair of
 similarity 0.75 shares none with a probability of 2e-6. Links are confirmed on the full shingle sets.
 
-Documents with equal sets are one class before any of this. Pairs within a bucket are never listed: each class is
-first held against its buckets' smallest members only; then only classes that these links left in different components meet.
+Documents with equal sets are one class before any of this. Pairs within a bucket are never listed: each class is first held
+against its buckets' smallest members only, and linked to the nearest if the full sets agree. Only components that this leaves apart are
+looked at again: those with near members in a bucket make a cluster, and within it the full sets of different components are
+compared block by block, which tells links as a forest.
 """
 
 from __future__ import annotations
@@ -128,11 +130,9 @@ def _similar_size(a: str, b: str, num: int, den: int) -> str:
     return f"{den} * least({a}, {b}) >= {num} * greatest({a}, {b})"
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of class ids whose full shingle sets reach num / den. Texts travel compressed, only those of the classes asked for."""
-    named = classes.select("cid", "rep", "name")
-    both = pairs.join(named.toDF("a", "rep_a", "name_a"), "a").join(named.toDF("b", "rep_b", "name_b"), "b")
-    ids = stash(both.select(F.col("rep_a").alias("doc_id")).unionAll(both.select("rep_b")).distinct(), "asked")
+def _texts_of(classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(name, blob): one compressed text for each of the classes (rep, name)."""
+    ids = stash(classes.select(F.col("rep").alias("doc_id")).distinct(), "asked")
     asked = semi_by_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ids, "doc_id", ids.count())
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,8 +145,14 @@ def confirm(pairs: DataFrame, docs: DataFrame, classes: DataFrame, num: int, den
                 _, names = signatures(*shingler.shingles(texts[lo:hi]))
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array([zipper.compress((t or "").encode("utf-8", "surrogatepass")) for t in texts[lo:hi]], pa.binary())], names=["name", "blob"])
 
-    texts = asked.mapInArrow(squeeze, "name binary, blob binary")
-    texts = stash(texts.groupBy("name").agg(F.min("blob").alias("blob")), "asked-texts")
+    return stash(asked.mapInArrow(squeeze, "name binary, blob binary").groupBy("name").agg(F.min("blob").alias("blob")), "asked-texts")
+
+
+def confirm(pairs: DataFrame, docs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) of class ids whose full shingle sets reach num / den. Texts travel compressed, only those of the classes asked for."""
+    named = classes.select("cid", "rep", "name")
+    both = stash(pairs.join(named.toDF("a", "rep_a", "name_a"), "a").join(named.toDF("b", "rep_b", "name_b"), "b"), "pairs")
+    texts = _texts_of(both.select(F.col("rep_a").alias("rep")).unionAll(both.select("rep_b")), docs)
     rows = both.select("a", "b", "name_a", "name_b").join(texts.toDF("name_a", "blob_a"), "name_a").join(texts.toDF("name_b", "blob_b"), "name_b").select("a", "b", "blob_a", "blob_b")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,24 +176,65 @@ def confirm(pairs: DataFrame, docs: DataFrame, classes: DataFrame, num: int, den
     return stash(rows.mapInArrow(compare, "a long, b long"), "links")
 
 
-def _bucket_pairs(rows: DataFrame, radius: int, num: int, den: int) -> DataFrame:
-    """rows(key, i, j, cid, comp, block, n, sig), all of a (key, i, j) in one partition and in a row -> the pairs a > b of blocks i and j, in different components, that are
-    near in signature and size. Holds one bucket part at a time; small buckets are compared many at once."""
+class _Forest:
+    """Union-find over any ids, looked up many at a time."""
+
+    def __init__(self):
+        self.place: dict[int, int] = {}
+        self.parent = np.zeros(0, np.int64)
+
+    def places(self, ids: np.ndarray) -> np.ndarray:
+        for i in np.unique(ids).tolist():
+            self.place.setdefault(i, len(self.place))
+        grown = np.arange(len(self.place))
+        grown[: len(self.parent)] = self.parent
+        self.parent = grown
+        return np.fromiter(map(self.place.__getitem__, ids.tolist()), np.int64, len(ids))
+
+    def roots(self, places: np.ndarray) -> np.ndarray:
+        r = self.parent[places]
+        while True:
+            up = self.parent[r]
+            if (up == r).all():
+                return r
+            r = up
+
+    def join(self, a: int, b: int) -> bool:
+        """Whether they were apart."""
+        p = self.parent
+        while p[a] != a:
+            p[a] = a = p[p[a]]
+        while p[b] != b:
+            p[b] = b = p[p[b]]
+        if a != b:
+            p[max(a, b)] = min(a, b)
+        return a != b
+
+
+def _bucket_ties(rows: DataFrame, radius: int, num: int, den: int) -> DataFrame:
+    """rows(key, i, j, cid, comp, block, n, sig), all of a (key, i, j) in one partition and in a row -> (a, b): components some of whose members
+    in blocks i and j are near in signature and size. Only what a task's earlier ties don't connect is compared and told, so that
+    a task tells less than one tie a component, however many pairs its buckets have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest = _Forest()
+
         def near(c: dict, x: np.ndarray, y: np.ndarray) -> Iterator[pa.RecordBatch]:
             ok = c["comp"][x] != c["comp"][y]
             ok &= den * np.minimum(c["n"][x], c["n"][y]) >= num * np.maximum(c["n"][x], c["n"][y])
             ok &= (c["i"][x] == c["j"][x]) | (c["block"][x] != c["block"][y])
             x, y = x[ok], y[ok]
-            for k in range(0, len(x), 50_000):
-                p, q = x[k : k + 50_000], y[k : k + 50_000]
+            for k in range(0, len(x), 20_000):
+                p, q = x[k : k + 20_000], y[k : k + 20_000]
+                apart = forest.roots(c["place"][p]) != forest.roots(c["place"][q])
+                p, q = p[apart], q[apart]
                 ok = (c["sig"][p] != c["sig"][q]).sum(1) <= radius
-                a, b = c["cid"][p][ok], c["cid"][q][ok]
-                if len(a):
-                    yield pa.RecordBatch.from_pydict({"a": np.maximum(a, b), "b": np.minimum(a, b)})
+                told = [(a, b) for a, b, u, v in zip(c["comp"][p][ok].tolist(), c["comp"][q][ok].tolist(), c["place"][p][ok].tolist(), c["place"][q][ok].tolist(), strict=True) if forest.join(u, v)]
+                if told:
+                    yield pa.RecordBatch.from_arrays([pa.array([t[0] for t in told], pa.int64()), pa.array([t[1] for t in told], pa.int64())], names=["a", "b"])
 
         def bunch(c: dict) -> Iterator[pa.RecordBatch]:
+            c["place"] = forest.places(c["comp"])
             group = np.cumsum(np.r_[False, (c["key"][1:] != c["key"][:-1]) | (c["i"][1:] != c["i"][:-1]) | (c["j"][1:] != c["j"][:-1])])
             size = np.bincount(group)
             at = np.arange(len(group))
@@ -200,11 +247,10 @@ def _bucket_pairs(rows: DataFrame, radius: int, num: int, den: int) -> DataFrame
                 for x in range(lo, hi - 33):
                     yield from near(c, np.full(hi - x - 33, x), np.arange(x + 33, hi))
 
-        names, held = None, []
+        held = []
         for b in batches:
             cols = {k: b.column(k).to_numpy(zero_copy_only=False) for k in ("key", "i", "j", "cid", "comp", "block", "n")}
-            sig = b.column("sig")
-            cols["sig"] = sig.flatten().to_numpy(zero_copy_only=False).reshape(-1, SYMBOLS)
+            cols["sig"] = b.column("sig").flatten().to_numpy(zero_copy_only=False).reshape(-1, SYMBOLS)
             held.append(cols)
             if sum(len(c["cid"]) for c in held) > 40_000:
                 c = {k: np.concatenate([h[k] for h in held]) for k in cols}
@@ -219,6 +265,65 @@ def _bucket_pairs(rows: DataFrame, radius: int, num: int, den: int) -> DataFrame
     return rows.mapInArrow(run, "a long, b long")
 
 
+def _links_in_clusters(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """rows(cluster, i, j, block, cid, comp, blob), all of a (cluster, i, j) in one partition and in a row -> links (a, b) between components,
+    confirmed on the full sets, of which a task tells as many as connect what they connect. Common shingles are counted through an
+    inverted list of block j, one member of block i at a time; a task holds two blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        shingler, unzip, forest = Shingler(), zstandard.ZstdDecompressor(), _Forest()
+
+        def links(group: list[tuple]) -> Iterator[tuple[int, int]]:
+            i, j = group[0][1], group[0][2]
+            s, n = shingler.shingles([unzip.decompress(r[6]).decode("utf-8", "surrogatepass") for r in group])
+            start = np.cumsum(n) - n
+            cid, comp, block = (np.array([r[k] for r in group], np.int64) for k in (4, 5, 3))
+            place = forest.places(comp)
+            _, term = np.unique(s, return_inverse=True)
+            owner = np.repeat(np.arange(len(group)), n)
+            held = block[owner] == j  # the inverted list
+            order = np.argsort(term[held], kind="stable")
+            post = owner[held][order]
+            first = np.searchsorted(term[held][order], np.arange(int(term.max(initial=-1)) + 2))
+            for x in np.flatnonzero(block == i).tolist():
+                mine = term[start[x] : start[x] + n[x]]
+                lo, many = first[mine], first[mine + 1] - first[mine]
+                at = np.repeat(lo - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+                common = np.bincount(post[at], minlength=len(group))
+                hit = np.flatnonzero((den * common >= num * (n[x] + n - common)) & (comp != comp[x]) & (block == j))
+                for y in hit[forest.roots(place[hit]) != forest.roots(place[[x]])].tolist():
+                    if forest.join(int(place[x]), int(place[y])):
+                        yield int(cid[x]), int(cid[y])
+
+        def told(group: list[tuple]) -> Iterator[pa.RecordBatch]:
+            found = list(links(group))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], names=["a", "b"])
+
+        group: list[tuple] = []
+        for b in batches:
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if group and row[:3] != group[0][:3]:
+                    yield from told(group)
+                    group = []
+                group.append(row)
+        if group:
+            yield from told(group)
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def _in_blocks(rows: DataFrame, key: str, block_rows: int) -> DataFrame:
+    """rows with block, i and j: groups by key of more than block_rows rows are dealt into blocks, each row once for every other block, so that
+    any two rows of a group meet under one (key, i, j) and none holds more than two blocks."""
+    sizes = rows.groupBy(key).agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
+    rows = rows.join(sizes, key).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("blocks", "other")
+
+
 def link(docs: DataFrame, num: int = 75, den: int = 100, radius: int = 31, block_rows: int = 4096) -> DataFrame:
     """``docs(doc_id, text)`` -> doc_id, n_shingles, component_id, kept: documents whose shingle sets reach a Jaccard
     similarity of num / den are linked; component_id is the smallest doc_id of what links reach.
@@ -243,16 +348,17 @@ def link(docs: DataFrame, num: int = 75, den: int = 100, radius: int = 31, block
 
     found = components(links, "classes-linked")
     placed = members.join(found.toDF("cid", "comp"), "cid", "left").select("key", "cid", F.coalesce("comp", "cid").alias("comp"))
-    open_keys = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).filter("lo < hi")
-    open_keys = open_keys.select("key", F.ceil(F.col("size") / block_rows).cast("int").alias("blocks"))
-    rows = placed.join(open_keys, "key").join(classes.select("cid", "n", "sig"), "cid").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "cid", "comp", "block", "n", "sig")
+    open_keys = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
+    placed = stash(placed.join(open_keys, "key"), "open-buckets")
+    rows = _in_blocks(placed.join(classes.select("cid", "n", "sig"), "cid"), "key", block_rows).select("key", "i", "j", "cid", "comp", "block", "n", "sig")
     rows = rows.repartition(parts(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j", "cid")
-    more = _bucket_pairs(rows, radius, num, den).distinct().join(star, ["a", "b"], "left_anti")
-    more = stash(more, "more-pairs")
-    if not more.isEmpty():
-        links = links.unionAll(confirm(more, docs, classes, num, den))
+    clusters = components(_bucket_ties(rows, radius, num, den), "clusters").toDF("comp", "cluster")
+    asked = placed.select("cid", "comp").distinct().join(clusters, "comp").join(classes.select("cid", "rep", "name"), "cid")
+    asked = stash(asked, "clustered")
+    if not asked.isEmpty():
+        rows = _in_blocks(asked.select("cluster", "cid", "comp", "name").join(_texts_of(asked, docs), "name"), "cluster", block_rows // 4)
+        rows = rows.select("cluster", "i", "j", "block", "cid", "comp", "blob").repartition(parts(spark), "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "block")
+        links = links.unionAll(stash(_links_in_clusters(rows, num, den), "more-links"))
         found = components(links, "classes-linked")
     of_class = classes.select("cid", "name", "rep").join(found.toDF("cid", "comp"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     lowest = of_class.groupBy("comp").agg(F.min("rep").alias("component_id"))
