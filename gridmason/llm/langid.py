@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gridmason.llm.common import small_batches
+
 UNKNOWN, SPACE, DIGIT, MARK = 0, 1, 2, 3
 SCHEMA = "lang_pred string, score double, phrases_per_char double"
 
@@ -180,14 +182,16 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang", per_lang: int
     return Model({k: "\n".join(t[: max(200, chars // len(v))] for _, t in v)[:chars] for k, v in share.items()})
 
 
-def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with lang_pred ("und" for null text or text without a letter), score (0 to 1; tempered share of the winner against the other
+def identify(docs: DataFrame, model: Model, text: str = "text", keep_text: bool = True) -> DataFrame:
+    """docs (without its text, if that isn't to be kept) with lang_pred ("und" for null text or text without a letter), score (0 to 1; tempered share of the winner against the other
     languages) and phrases_per_char. Ties go to the first language by name. Whole texts, no shuffle. A column of docs with one of these names is replaced."""
     new = SCHEMA.replace(" string", "").replace(" double", "").split(", ")
-    old = [c for c in docs.columns if c not in new]
-    schema = docs.select(*old).schema
+    old = [c for c in docs.columns if c not in new and c != text] + [text]
+    out = old if keep_text else old[:-1]
+    schema = docs.select(*out).schema
     for part in SCHEMA.split(", "):
         schema = schema.add(*part.split(" "))
+    small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(model)
     which = old.index(text)
 
@@ -196,9 +200,9 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
         for batch in batches:
             texts = batch.column(which).to_pylist()
-            for a, b in blocks(texts, 3_000_000):
+            for a, b in blocks(texts, 1_500_000):
                 found = model.value.predict(texts[a:b])
                 part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found[0], pa.string()), pa.array(found[1]), pa.array(found[2])], names=[*old, *new])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(out)], pa.array(found[0], pa.string()), pa.array(found[1]), pa.array(found[2])], names=[*out, *new])
 
     return docs.select(*old).mapInArrow(run, schema)

@@ -11,7 +11,7 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -26,13 +26,13 @@ def op1_cross_parsing_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _t(spark, sf_dir, "documents")
     remainder = F.coalesce(crc_mod(F.col("doc_id").cast("string"), 4), F.lit(0))
     model = fit(docs.filter(remainder != 2))
-    return identify(docs.select("doc_id", (remainder == 2).alias("held_out"), "text"), model).drop("text")
+    return identify(docs.select("doc_id", (remainder == 2).alias("held_out"), "text"), model, keep_text=False)
 
 
 def op2_bin_completion_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridmason.llm.packing import pack
 
-    return pack(_t(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), end_id=2, capacity=1024)
+    return pack(_t(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), end_id=2, capacity=1024)
 
 
 def op3_hamming_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,13 +50,13 @@ def op4_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _t(spark, sf_dir, "documents"), _t(spark, sf_dir, "labels")
     remainder = F.coalesce(crc_mod(F.col("doc_id").cast("string"), 3), F.lit(0))
     model = fit(docs.filter(remainder != 1), labels.filter(remainder != 1))
-    return score(docs.select("doc_id", (remainder == 1).alias("held_out"), "text"), model).drop("text")
+    return score(docs.select("doc_id", (remainder == 1).alias("held_out"), "text"), model, keep_text=False)
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridmason.llm.tokenfile import read_tokens, write_tokens
 
-    return read_tokens(spark, write_tokens(_t(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), end_id=2))
+    return read_tokens(spark, write_tokens(_t(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), end_id=2))
 
 
 def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,8 +89,18 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+#: Target shares of tokens by domain.
+WEIGHTS = {"clean": 0.90, "low": 0.08, "toxic": 0.02}
+
+
+def op10_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridmason.llm.mixing import label_domains, mix
+
+    return mix(_t(spark, sf_dir, "documents"), label_domains(_t(spark, sf_dir, "labels")), WEIGHTS)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_cross_parsing_langid, op2_bin_completion_packing, op3_hamming_neardup, op4_weak_toxicity, op5_token_files, op6_winnowing, op7_redirect_url_filter, op8_pivot_topk, op9_suffix_dedup)}
+    return {f.__name__: f for f in (op1_cross_parsing_langid, op2_bin_completion_packing, op3_hamming_neardup, op4_weak_toxicity, op5_token_files, op6_winnowing, op7_redirect_url_filter, op8_pivot_topk, op9_suffix_dedup, op10_soft_mixing)}
 
 
 _URL_PARTS = """

@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gridmason.llm.common import small_batches
+
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -254,15 +256,17 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = 2000, unlabelled: i
     return train([(r["text"], r["toxic"]) for r in got], [r["text"] for r in others])
 
 
-def score(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.7) -> DataFrame:
-    """docs with score (0 to 1) and predicted (1 from the threshold on). Whole texts, no shuffle; null text is scored as empty. A column of docs with one of these names is replaced."""
-    old = [c for c in docs.columns if c not in ("score", "predicted")]
+def score(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.7, keep_text: bool = True) -> DataFrame:
+    """docs (without its text, if that isn't to be kept) with score (0 to 1) and predicted (1 from the threshold on). Whole texts, no shuffle; null text is scored as empty. A column of docs with one of these names is replaced."""
+    old = [c for c in docs.columns if c not in ("score", "predicted", text)] + [text]
+    out = old if keep_text else old[:-1]
+    small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(model)
     which = old.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             s = model.value.predict(batch.column(which).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*old, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(out)], pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*out, "score", "predicted"])
 
-    return docs.select(*old).mapInArrow(run, docs.select(*old).schema.add("score", "double").add("predicted", "integer"))
+    return docs.select(*old).mapInArrow(run, docs.select(*out).schema.add("score", "double").add("predicted", "integer"))

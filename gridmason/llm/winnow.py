@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridmason.llm.common import parts
+from gridmason.llm.common import parts, small_batches
 from gridmason.llm.rolling import gram_hashes, minima, mix
 
 K, WINDOW = 24, 64
@@ -47,6 +47,8 @@ def to_text(hashes: np.ndarray) -> str:
 def fingerprints(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_chars, hashes array<long>, positions array<long>; null text is empty. No shuffle."""
 
+    small_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
@@ -63,6 +65,7 @@ def with_next(docs: DataFrame, run, schema: str, buckets_per_part: int = 3) -> D
     Ranges of ids (bounds: approximate percentiles, a few longs per task) are dealt out by hash, so that one shuffle of
     the texts is enough; the first document of each range is also sent to the range before.
     """
+    small_batches(docs.sparkSession)
     n = max(1, parts(docs.sparkSession)) * buckets_per_part
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).filter("doc_id is not null")
     cuts = rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 10_000)).first()[0] or []
