@@ -192,24 +192,23 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 102
     first piece takes the remainder. Texts are read where they lie, without a shuffle."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from gridmason.llm.tokens import blocks, encoder
+        from gridmason.llm.tokens import bunches, encoder
 
         enc = encoder(tokenizer)
-        for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            got: list[tuple] = []
-            for a, b in blocks(texts):
-                ids, sizes = enc.ids(texts[a:b])
-                ids = np.insert(ids, np.cumsum(sizes), np.uint32(end_id)).astype("<u4")
-                at = 0
-                for doc, n in zip(doc_ids[a:b], (sizes + 1).tolist(), strict=True):
-                    start, length = 0, (n - 1) % capacity + 1
-                    piece = 0
-                    while start < n:
-                        got.append((doc, piece, start, length, zlib.crc32(ids[at + start : at + start + length].tobytes())))
-                        start, length, piece = start + length, capacity, piece + 1
-                    at += n
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got, strict=True) if got else ((),) * 5, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        for doc_ids, texts in bunches(batches):
+            ids, sizes = enc.ids(texts)
+            ids = np.insert(ids, np.cumsum(sizes), np.uint32(end_id)).astype("<u4")
+            sizes = sizes + 1
+            count = -(-sizes // capacity)  # pieces of each document, in one run of places
+            owner = np.repeat(np.arange(len(sizes)), count)
+            piece = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+            first = (sizes - 1) % capacity + 1
+            start = np.where(piece == 0, 0, first[owner] + (piece - 1) * capacity)
+            length = np.where(piece == 0, first[owner], capacity)
+            at = (np.cumsum(sizes) - sizes)[owner] + start
+            raw = memoryview(ids).cast("B")
+            crc = [zlib.crc32(raw[4 * a : 4 * (a + n)]) for a, n in zip(at.tolist(), length.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([doc_ids.take(pa.array(owner)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     return rows.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")

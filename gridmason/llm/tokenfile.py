@@ -157,24 +157,23 @@ def write_tokens(docs: DataFrame, tokenizer: str, out: str | None = None, end_id
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        from gridmason.llm.tokens import blocks, encoder
-
-        task, writer, enc, first = TaskContext.get(), None, None, None
-        for batch in batches:
-            doc_ids, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
-            for a, b in blocks(texts):
-                if writer is None:
-                    enc, first = encoder(tokenizer), int(doc_ids[0])
-                    fs, folder = _open(out)
-                    fs.create_dir(folder, recursive=True)
-                    path = f"{out}/{task.partitionId():06d}-{task.taskAttemptId()}.gmtok"
-                    sink = fs.open_output_stream(f"{folder}/{path.rsplit('/', 1)[1]}")
-                    writer = Writer(sink, chunk_ids, mode)
-                ids, sizes = enc.ids(texts[a:b])
-                if end_id is not None:
-                    ids = np.insert(ids, np.cumsum(sizes), np.uint32(end_id))
-                    sizes = sizes + 1
-                writer.add(doc_ids[a:b], sizes, ids)
+        from gridmason.llm.tokens import bunches, encoder
+
+        task, writer, enc, first = TaskContext.get(), None, encoder(tokenizer), None
+        for doc_ids, texts in bunches(batches):
+            doc_ids = doc_ids.to_numpy(zero_copy_only=False)
+            if writer is None:
+                first = int(doc_ids[0])
+                fs, folder = _open(out)
+                fs.create_dir(folder, recursive=True)
+                path = f"{out}/{task.partitionId():06d}-{task.taskAttemptId()}.gmtok"
+                sink = fs.open_output_stream(f"{folder}/{path.rsplit('/', 1)[1]}")
+                writer = Writer(sink, chunk_ids, mode)
+            ids, sizes = enc.ids(texts)
+            if end_id is not None:
+                ids = np.insert(ids, np.cumsum(sizes), np.uint32(end_id))
+                sizes = sizes + 1
+            writer.add(doc_ids, sizes, ids)
         if writer is not None:
             writer.close()
             sink.close()
