@@ -58,7 +58,7 @@ def _nearest(x: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return home, np.sqrt(((x - pivots[home]) ** 2).sum(1))
 
 
-def top_k(vectors: DataFrame, k: int = 10, scale: float = 1024.0, query_mod: int = 100, id_col: str = "vec_id", vec: str = "embedding", n_pivots: int = 32, block_rows: int = 4096, sample: int = 2048) -> DataFrame:
+def top_k(vectors: DataFrame, k: int = 10, scale: float = 1024.0, query_mod: int = 100, id_col: str = "vec_id", vec: str = "embedding", n_pivots: int = 32, block_rows: int = 4096, block_queries: int = 4096, sample: int = 2048) -> DataFrame:
     """For each row whose id is divisible by ``query_mod``: the k highest integer inner products of floor(scale * x) with
     every other row, ties to the smaller id: query_id, rank, vec_id, score.
 
@@ -95,6 +95,8 @@ def top_k(vectors: DataFrame, k: int = 10, scale: float = 1024.0, query_mod: int
     per_cell = F.create_map(*[F.lit(x) for c, n in blocks.items() for x in (c, n)])
     dealt = index.withColumn("block", F.pmod(F.xxhash64("uid"), per_cell[F.col("cell")]).cast("int"))
     queries = dealt.filter(F.pmod("vec_id", F.lit(query_mod)) == 0)
+    n_chunks = max(1, -(-queries.count() // block_queries))  # queries of a block that meet in one task are bounded too
+    queries = queries.withColumn("chunk", F.pmod(F.xxhash64("uid", F.lit(5)), F.lit(n_chunks)).cast("int"))
 
     def search(_key: tuple, held: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         """Best k of a block for each query; asked.bound: a k-th score found elsewhere."""
@@ -135,9 +137,10 @@ def top_k(vectors: DataFrame, k: int = 10, scale: float = 1024.0, query_mod: int
         return pd.DataFrame(got, columns=["uid", "query_id", "vec_id", "score"]).astype("int64")
 
     schema = "uid long, query_id long, vec_id long, score long"
-    vecs = dealt.select("uid", "vec_id", "cell", "block", "dist", "x")
+    vecs = dealt.select("uid", "vec_id", "cell", "block", "dist", "x", F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1))).alias("chunk"))
+    at = ["cell", "block", "chunk"]
     home = queries.withColumn("bound", F.lit(float("-inf")))
-    first = stash(vecs.groupBy("cell", "block").cogroup(home.groupBy("cell", "block")).applyInPandas(search, schema), "topk-home")
+    first = stash(vecs.groupBy(*at).cogroup(home.groupBy(*at)).applyInPandas(search, schema), "topk-home")
     bounds = first.groupBy("uid").agg(F.when(F.count("*") >= k, F.min("score").cast("double")).otherwise(F.lit(float("-inf"))).alias("bound"))
     lows = {c: (r["lo"], r["hi"]) for c, r in cells.items()}
 
@@ -150,11 +153,11 @@ def top_k(vectors: DataFrame, k: int = 10, scale: float = 1024.0, query_mod: int
                 at = np.sqrt(((np.append(q, 0.0) - pivots) ** 2).sum(1))
                 todo = [(c, b) for c, (lo, hi) in lows.items() if max(at[c] - hi, lo - at[c], 0) <= radius for b in range(blocks[c]) if (c, b) != (r.cell, r.block)]
                 if todo:
-                    yield pd.DataFrame({"uid": r.uid, "vec_id": r.vec_id, "x": [r.x] * len(todo), "bound": r.bound, "cell": np.array([c for c, _ in todo], np.int32), "block": np.array([b for _, b in todo], np.int32)})
+                    yield pd.DataFrame({"uid": r.uid, "vec_id": r.vec_id, "x": [r.x] * len(todo), "bound": r.bound, "cell": np.array([c for c, _ in todo], np.int32), "block": np.array([b for _, b in todo], np.int32), "chunk": r.chunk})
 
     asked = queries.join(bounds, "uid", "left").withColumn("bound", F.coalesce("bound", F.lit(float("-inf"))))
-    asked = asked.select("uid", "vec_id", "x", "bound", "cell", "block").mapInPandas(probe, "uid long, vec_id long, x binary, bound double, cell int, block int")
-    second = vecs.groupBy("cell", "block").cogroup(asked.groupBy("cell", "block")).applyInPandas(search, schema)
+    asked = asked.select("uid", "vec_id", "x", "bound", "cell", "block", "chunk").mapInPandas(probe, "uid long, vec_id long, x binary, bound double, cell int, block int, chunk int")
+    second = vecs.groupBy(*at).cogroup(asked.groupBy(*at)).applyInPandas(search, schema)
     order = Window.partitionBy("uid").orderBy(F.desc("score"), "vec_id")
     best = first.unionAll(second).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return best.select("query_id", "rank", "vec_id", "score")
