@@ -108,20 +108,19 @@ class Model:
         return self.__dict__ | {"built": None}
 
     def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-        """One flat table of all languages; entries are (row of the next state << 1) | whether a phrase ended before."""
+        """One flat table of all languages; entries are (row of the next state << 1) | whether a phrase starts with this character."""
         if self.built is None:
             width, cls = 4 + len(self.alphabet), _classes(self.alphabet)
             flat, roots, bits, base = [], [], [], 0
             for text in self.samples:
                 seq = cls[_points(text)]
                 table = suffix_automaton(seq.tolist(), width)
-                known = table >= 0
-                restart = np.broadcast_to(np.maximum(table[0], 0), table.shape)
-                to = np.where(known, table, restart)
-                ended = ~known
-                ended[0] = table[0] < 0  # at the root, a character that never occurs is a phrase of its own
-                flat.append((((to.astype(np.int64) * width + base) << 1) | ended).astype(np.int32).reshape(-1))
-                roots.append(base)
+                fresh = len(table)  # where a text starts, and what follows a character that the sample lacks
+                again = np.where(table[0] >= 0, table[0], fresh)
+                table = np.vstack([table, np.full((1, width), -1, np.int32)])
+                to, starts = np.where(table >= 0, table, again), table < 0
+                flat.append((((to.astype(np.int64) * width + base) << 1) | starts).astype(np.int32).reshape(-1))
+                roots.append(fresh * width + base)
                 bits.append(np.log2(max(2, len(seq))))
                 base += table.size
             self.built = np.concatenate(flat), np.array(roots, np.int32), np.array(bits), width
@@ -143,7 +142,7 @@ class Model:
         start, length, owner = start[order], length[order], owner[order]
         active = np.searchsorted(-length, -np.arange(int(length[0]) if len(length) else 0), "left")
         at = np.repeat(roots[:, None] << 1, len(owner), 1)
-        count = np.ones((len(roots), len(owner)), np.int32)  # the phrase in progress at the end
+        count = np.zeros((len(roots), len(owner)), np.int32)
         for t, m in enumerate(active.tolist()):
             now = at[:, :m]
             np.right_shift(now, 1, out=now)
