@@ -82,7 +82,7 @@ def possession_status(c: Column, as_of: Column) -> Column:
 
 def registration(c: Column) -> Column:
     text = clean(c)
-    return F.trim(F.lit(" .,"), F.upper(F.coalesce(*[empty_to_null(F.regexp_extract(text, p, 0)) for p in REGISTRATIONS])))
+    return F.trim(F.upper(F.coalesce(*[empty_to_null(F.regexp_extract(text, p, 0)) for p in REGISTRATIONS])), F.lit(" .,"))
 
 
 def phone(c: Column) -> Column:

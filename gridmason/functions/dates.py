@@ -33,7 +33,8 @@ def _fuzzy(s: pd.Series) -> pd.Series:
 
     def one(x: str | None):
         try:
-            return None if not x else pd.Timestamp(parser.parse(x, fuzzy=True, dayfirst=True)).tz_localize(None)
+            found = parser.parse(x, fuzzy=True, dayfirst=True) if x else None
+            return found.replace(tzinfo=None) if found and 1900 <= found.year <= 2200 else None
         except (ValueError, OverflowError, TypeError):
             return None
 

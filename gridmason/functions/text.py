@@ -64,7 +64,7 @@ def contains_ci(c: Column, value: str) -> Column:
 
 def distinct_ci(items: Column) -> Column:
     """Cleaned items, the first of each spelling regardless of case, in order; empty ones dropped."""
-    items = F.filter(F.transform(items, clean), lambda x: x.isNotNull())
+    items = F.filter(F.transform(items, lambda x: clean(x)), lambda x: x.isNotNull())
     keys = F.transform(items, lambda x: F.lower(x))
     return F.filter(items, lambda x, i: F.array_position(keys, F.lower(x)) == i + 1)
 

@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridmason.functions import vocab
 from gridmason.functions.places import SECTOR, sector_form
@@ -55,7 +56,7 @@ def keyword_terms(docs: DataFrame, key: str, text: str) -> DataFrame:
     return rows.unionByName(boosted.select(key, "pos", "term", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("_")).drop("_"))
 
 
-@F.pandas_udf("label string, score double")
+@F.pandas_udf(T.StructType([T.StructField("label", T.StringType()), T.StructField("score", T.DoubleType())]))
 def sentiment(text: pd.Series) -> pd.DataFrame:
     """Counts of terms; a positive one with a negator in the 30 characters before it is negative. mixed if near balance, else by 0.15."""
     negator = re.compile(vocab.NEGATORS, re.I)

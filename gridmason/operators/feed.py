@@ -43,7 +43,7 @@ def possession_line(day: Column, status: Column) -> Column:
 
 def place_line(sector: Column, sub_locality: Column, locality: Column, city: Column) -> Column:
     """Parts that look like places (short, no marketing words), each once, then the city."""
-    parts = F.array_compact(F.transform(F.array(F.coalesce(sector, sub_locality), locality), lambda p: F.nullif(F.trim(F.lit(" ,"), p), F.lit(""))))
+    parts = F.array_compact(F.transform(F.array(F.coalesce(sector, sub_locality), locality), lambda p: F.nullif(F.trim(p, F.lit(" ,")), F.lit(""))))
     parts = F.filter(parts, lambda p: (F.length(p) <= 40) & (F.size(F.split(p, r"\s+")) <= 4) & ~p.rlike(PROSE))
     town = F.when(city != "unknown", F.initcap(F.replace(city, F.lit("_"), F.lit(" "))))
     every = F.array_compact(F.concat(parts, F.array(town)))
@@ -110,7 +110,7 @@ def images(urls: Column) -> Column:
 
 
 def paragraphs(text: Column) -> Column:
-    parts = F.filter(F.transform(F.split(text, r"\r?\n\s*\r?\n"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(text, r"\r?\n\s*\r?\n"), lambda p: F.trim(p)), lambda p: p != "")
     return F.when(F.coalesce(text, F.lit("")) == "", F.array().cast("array<string>")).otherwise(parts)
 
 
