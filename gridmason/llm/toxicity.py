@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -48,19 +49,22 @@ class Voter:
 
 
 class LabelModel:
-    """P(toxic | votes) with voters that are independent given the class, but for estimated correlations: EM for class
-    prior and each voter's vote probabilities in either class; then a voter's log-odds are divided by 1 + the sum of its positive
-    correlations with other voters given the class, so that copies of a voter count once."""
+    """P(toxic | votes): EM for each voter's rate of toxic votes in either class, and for the rate of texts that some voters call clean and
+    none toxic; only these speak (that one of many lexicons is silent says nothing). A voter's log-odds are divided by 1 + the sum of its positive
+    correlations with other voters given the class, so that copies of a voter count once. The class prior stays as given."""
 
     def __init__(self, prior: float):
         self.prior = prior
 
     def fit(self, votes: np.ndarray, rounds: int = 40) -> np.ndarray:
-        """The posteriors of the rows of votes. The class prior stays as given."""
-        kinds = np.stack([votes == v for v in (-1, 0, 1)], 2).astype(float)
-        q, self.weight = np.where((votes == 1).any(1), 0.9, self.prior / 10), np.ones(votes.shape[1])
+        """The posteriors of the rows of votes."""
+        hit = (votes == 1).astype(float)
+        silent = self._silent(votes).astype(float)
+        q, self.weight = np.where(hit.any(1), 0.9, self.prior / 10), np.ones(votes.shape[1])
         for _ in range(rounds):
-            self.table = np.stack([((kinds * c[:, None, None]).sum(0) + s) / (c.sum() + sum(s)) for c, s in ((1 - q, np.array([9.0, 9.0, 0.01])), (q, np.array([1.0, 1.0, 0.5])))])
+            # toxic votes on clean texts are rare: few seen, few believed
+            self.table = np.stack([((hit * c[:, None]).sum(0) + s) / (c.sum() + 1) for c, s in ((1 - q, 0.01), (q, 0.5))])
+            self.silence = [float(np.clip((silent * c).sum() / max(c.sum(), 1e-9), 0.01, 0.99)) for c in (1 - q, q)]
             self.weight = self._discount(votes, q)
             new = self.posterior(votes)
             if np.abs(new - q).max() < 1e-4:
@@ -68,6 +72,10 @@ class LabelModel:
             q = new
         return q
 
+    @staticmethod
+    def _silent(votes: np.ndarray) -> np.ndarray:
+        return (votes == -1).any(1) & ~(votes == 1).any(1)
+
     def _discount(self, votes: np.ndarray, q: np.ndarray) -> np.ndarray:
         total = np.zeros(votes.shape[1])
         votes = (votes == 1).astype(float)  # all abstain together on short texts, which says nothing
@@ -82,8 +90,8 @@ class LabelModel:
         return 1 / (1 + total)
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        odds = np.log(self.table[1] / self.table[0])  # voters x (-1, 0, 1)
-        z = math.log(self.prior / (1 - self.prior)) + (odds[np.arange(votes.shape[1]), votes + 1] * self.weight).sum(1)
+        odds = np.maximum(np.log(self.table[1] / self.table[0]), 0) * self.weight
+        z = math.log(self.prior / (1 - self.prior)) + (votes == 1) @ odds + self._silent(votes) * math.log(self.silence[1] / self.silence[0])
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
@@ -147,23 +155,23 @@ def hash_text(s: str) -> int:
     return xxhash.xxh64_intdigest(s)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float, rounds: int = 30) -> np.ndarray:
-    """Weights and, last, the bias of a ridge logistic regression on soft labels, by Newton steps."""
+def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float, rounds: int = 30) -> np.ndarray:
+    """Weights and, last, the bias of a ridge logistic regression on soft labels of weighted rows, by Newton steps."""
     x = np.column_stack([x, np.ones(len(x))])
     penalty = np.full(x.shape[1], ridge)
     penalty[-1] = 1e-6
     beta = np.zeros(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-6)[:, None]).T @ x + np.diag(penalty), x.T @ (y - p) - penalty * beta)
+        step = np.linalg.solve((x * (w * p * (1 - p) + 1e-6)[:, None]).T @ x + np.diag(penalty), x.T @ (w * (y - p)) - penalty * beta)
         beta += np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-6:
             break
     return beta
 
 
-def train(labelled: list[tuple[str, int]], unlabelled: list[str], most_groups: int = 80) -> Model:
-    """labelled: (text, toxic). Few or no toxic rows give a model that scores every text by the prior."""
+def train(labelled: list[tuple[str, int]], unlabelled: list[str], prior: float | None = None, most_groups: int = 80) -> Model:
+    """labelled: (text, toxic), in any proportion; prior: the share of toxic texts (default: theirs). Few or no toxic rows give a model that scores every text by the prior."""
     labelled = sorted({(t or "", int(y)) for t, y in labelled})
     labelled = [labelled[i] for i in _representatives([t for t, _ in labelled])]
     unlabelled = sorted({t or "" for t in unlabelled})
@@ -172,15 +180,20 @@ def train(labelled: list[tuple[str, int]], unlabelled: list[str], most_groups: i
     n_clean = len(labelled) - n_toxic
     if not n_toxic or not n_clean:
         return Model({}, 0.0, 1.0, -3.0, [], [])
-    known: dict[str, list[str]] = {}
+    # features that at least three toxic rows have: counted by hash first, since most occur once
+    slots = np.zeros(1 << 24, np.uint8)
+    for t, y in labelled:
+        if y:
+            own = {zlib.crc32(f.encode()) & 0xFFFFFF for w in set(_WORD.findall(t.lower())) for f in features_of_word(w)}
+            at = np.fromiter(own, np.int64, len(own))
+            slots[at] = np.minimum(slots[at], 250) + 1
 
     def present(text: str) -> Counter:
         out: Counter = Counter()
         for w, n in Counter(_WORD.findall(text.lower())).items():
-            if w not in known:
-                known[w] = features_of_word(w)
-            for f in known[w]:
-                out[f] += n
+            for f in features_of_word(w):
+                if slots[zlib.crc32(f.encode()) & 0xFFFFFF] >= 3:
+                    out[f] += n
         return out
 
     toxic_df, clean_df = Counter(), Counter()
@@ -191,16 +204,17 @@ def train(labelled: list[tuple[str, int]], unlabelled: list[str], most_groups: i
     for t, y in labelled:
         if not y:
             clean_df.update(keys_of(Counter({f: n for f, n in present(t).items() if f in wanted})))
-    base = n_toxic / len(labelled)
+    base = min(max(prior or n_toxic / len(labelled), 0.001), 0.9)
+    clean_weight = (1 - base) / base * n_toxic / n_clean  # clean rows that one in the sample stands for, in toxic ones
     need = math.log(max(10, len(toxic_df)))
 
     def evidence(f: Key) -> float:
         """Log-likelihood ratio of the feature's toxic share against the base rate."""
-        a, b = toxic_df[f], clean_df[f]
+        a, b = toxic_df[f], clean_df[f] * clean_weight
         p = (a + 0.1) / (a + b + 0.2)
         return a * math.log(p / base) + b * math.log((1 - p) / (1 - base)) if p > base else 0.0
 
-    good = [(evidence(f), f) for f, a in toxic_df.items() if a >= 3 and clean_df[f] <= 0.08 * a]
+    good = [(evidence(f), f) for f, a in toxic_df.items() if a >= 3 and clean_df[f] * clean_weight <= 0.2 * a]
     good = sorted(((e, f) for e, f in good if e > need), key=lambda x: (-x[0], -len(x[1][0]), x[1]))
     groups: list[list[Key]] = []  # features that are parts of each other: the strongest leads
     cores: list[str] = []
@@ -233,27 +247,29 @@ def train(labelled: list[tuple[str, int]], unlabelled: list[str], most_groups: i
     x, votes = rows(unlabelled)
     labels = LabelModel(base)
     q = labels.fit(votes)
-    beta = _logistic(x, q, 1.0)
+    beta = _logistic(x, q, np.ones(len(q)), 1.0)
     weight, bias = beta[:-1], float(beta[-1])
     xl, _ = rows([t for t, _ in labelled])
     y = np.array([y for _, y in labelled], float)
-    slope, shift = _logistic((xl @ weight + bias)[:, None], y, 0.01).tolist()  # calibration on labelled rows
+    slope, shift = _logistic((xl @ weight + bias)[:, None], y, np.where(y == 1, 1.0, clean_weight), 0.01).tolist()  # calibration on labelled rows
     slope = max(slope, 0.2)
-    accuracy = [float(labels.table[1][i, 2] / (labels.table[1][i, 2] + labels.table[0][i, 2])) for i in range(len(voters))]
+    accuracy = [float(x) for x in labels.table[1] / (labels.table[1] + labels.table[0])]
     return Model({f: float(w) for f, w in zip(chosen, weight, strict=True) if w}, bias, float(slope), float(shift), [v.name for v in voters], accuracy)
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_label: int = 2000, unlabelled: int = 4000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, per_label: int = 1200, unlabelled: int = 3000) -> Model:
     """``labels(doc_id, toxic)``: the rows to learn from. Learns from at most ``per_label`` labelled documents of either label and
     ``unlabelled`` documents, those with the smallest hashes: a bounded sample whatever the tables' size. Null labels are left out; of a doc_id with several labels the highest counts."""
     spark = docs.sparkSession
     known = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    shares = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
+    prior = shares.get(1, 0) / max(1, sum(shares.values()))
     w = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
     known = known.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= per_label).select("doc_id", "toxic")
     got = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "toxic").collect()
     some = docs.select("doc_id").filter("doc_id is not null").orderBy(F.xxhash64("doc_id", F.lit(7))).limit(unlabelled)
     others = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id", "left_semi").select("text").limit(unlabelled).collect()
-    return train([(r["text"], r["toxic"]) for r in got], [r["text"] for r in others])
+    return train([(r["text"], r["toxic"]) for r in got], [r["text"] for r in others], prior)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.7, keep_text: bool = True) -> DataFrame:

@@ -366,7 +366,7 @@ def test_label_model_discounts_copies():
     votes = np.column_stack([votes, votes[:, 0], votes[:, 0]])
     m = toxicity.LabelModel(0.2)
     q = m.fit(votes)
-    assert ((q > 0.5) == y).mean() > 0.9 and m.weight[1] > m.weight[0] and abs(m.table[1][1, 2] - 0.6) < 0.1
+    assert ((q > 0.5) == y).mean() > 0.9 and m.weight[1] > m.weight[0] and abs(m.table[1][1] - 0.6) < 0.15
 
 
 def test_mixing(spark):
