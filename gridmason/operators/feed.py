@@ -150,9 +150,59 @@ def project_record() -> Column:
     )
 
 
+def listing_record() -> Column:
+    """One listing as the site's record; expects the listing table's columns."""
+    c = F.col
+    shown = images(F.transform("images", lambda i: i["url"]))
+    text = lambda x: F.coalesce(x.cast("string"), F.lit(""))
+    rent = c("listing_type") == "rent"
+    return F.struct(
+        c("id"), F.coalesce(F.nullif(c("title"), F.lit("")), c("project_name"), F.lit("")).alias("title"), place_line(c("location.sector"), c("location.sub_locality"), c("location.locality"), c("location.city")).alias("location"),
+        F.when(rent, rent_line(c("rent_monthly"))).otherwise(price_line(c("price"), c("price_max"))).alias("price"), F.when(~rent, c("price")).alias("priceValue"), F.when(rent, c("rent_monthly")).alias("rentMonthly"),
+        F.when(c("area_sqft") > 0, F.concat(F.floor("area_sqft").cast("string"), F.lit(" sq.ft"))).otherwise("").alias("size"), c("area_sqft").alias("areaValue"), text(c("configuration")).alias("configuration"), c("bedrooms"),
+        c("property_type").alias("propertyType"), c("listing_type").alias("listingType"), c("is_commercial").alias("isCommercial"), text(c("rera_number")).alias("reraId"), labelled(c("possession_status"), STATUS_LABELS).alias("projectStatus"),
+        possession_line(c("possession_date"), c("possession_status")).alias("possession"), text(c("builder_name")).alias("builderDescription"), paragraphs(c("description")).alias("aboutProject"), amenity_groups(c("amenities")).alias("amenities"),
+        F.transform(F.map_entries("specifications"), lambda e: F.struct(e["key"].alias("heading"), e["value"].alias("value"))).alias("specifications"), shown["gallery"].alias("images"), shown["interior"].alias("interiorImages"),
+        shown["master_plan"].alias("masterPlan"), landmark_groups(c("landmarks")).alias("landmarks"), c("listing_url").alias("listingUrl"), F.date_format("scraped_at", "yyyy-MM-dd'T'HH:mm:ss").alias("updatedAt"),
+        c("investment_score").alias("investmentScore"), c("risk_score").alias("riskScore"), c("location_score").alias("locationScore"),
+    )
+
+
+def project_segments(projects: DataFrame, publishable: Column, commercial: Column, city: str = "city") -> DataFrame:
+    """(segment, total) of projects by city and category, as ``listing_segments``."""
+    key = labelled(F.col(city), CITY_KEYS, None)
+    name = F.when(key.isNull(), "no_segment").when(publishable, F.concat(key, F.when(commercial, "Commercial").otherwise("Residential"), F.lit("Projects")))
+    counts = projects.select(name.alias("segment")).groupBy("segment").agg(F.count("*").alias("total"))
+    every = projects.sparkSession.createDataFrame([(f"{k}{c}Projects",) for k in CITY_KEYS.values() for c in PROJECT_CATEGORIES] + [("no_segment",), (None,)], "segment string")
+    return F.broadcast(every).join(counts, every["segment"].eqNullSafe(counts["segment"]), "left").select(every["segment"], F.coalesce("total", F.lit(0)).alias("total"))
+
+
+def export(records: DataFrame, segment: Column, path: str) -> None:
+    """One JSON line per record, a folder per segment."""
+    records.select(segment.alias("segment"), F.to_json("record").alias("value")).write.mode("overwrite").partitionBy("segment").text(path)
+
+
+# ---------------------------------------------------------------- labels of the client
+
+
+def indian_digits(n: Column) -> Column:
+    """1234567 -> 12,34,567."""
+    digits = n.cast("bigint").cast("string")
+    head, tail = F.substring(digits, F.lit(1), F.length(digits) - 3), F.substring(digits, F.length(digits) - 2, F.lit(3))
+    grouped = F.regexp_replace(head, r"(?<=\d)(?=(\d\d)+$)", ",")
+    return F.when(F.length(digits) > 3, F.concat(grouped, F.lit(","), tail)).otherwise(digits)
+
+
+def ago(at: Column, as_of: Column) -> Column:
+    """today, 3d ago, 2mo ago, 1y ago."""
+    days = F.datediff(as_of.cast("date"), at.cast("date"))
+    return F.when(days <= 0, "today").when(days < 30, F.concat(days.cast("string"), F.lit("d ago"))).when(days < 360, F.concat(F.floor(days / 30).cast("string"), F.lit("mo ago"))).otherwise(F.concat(F.floor(F.floor(days / 30) / 12).cast("string"), F.lit("y ago")))
+
+
 def envelope(records: DataFrame, segment: str, page: int = 1, limit: int = 500, order: str = "id") -> DataFrame:
     """(segment, page, limit, total, results): one page of records(id, record) as a row."""
     total = records.count()
     rows = records.orderBy(order).offset(max(page - 1, 0) * limit).limit(limit)
-    out = rows.agg(F.transform(F.array_sort(F.collect_list(F.struct(order, "record"))), lambda r: r["record"]).alias("results"))
+    by_key = lambda a, b: F.when(a["k"] < b["k"], -1).when(a["k"] > b["k"], 1).otherwise(0)  # noqa: E731  records hold maps, which don't sort
+    out = rows.agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("k"), "record")), by_key), lambda r: r["record"]).alias("results"))
     return out.select(F.lit(True).alias("success"), F.lit(segment).alias("city"), F.lit(page).alias("page"), F.lit(limit).alias("limit"), F.lit(total).alias("total"), "results")

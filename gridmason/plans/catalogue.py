@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridmason import api
 from gridmason.functions import area, classify, dates, hashing, money, places, text, urls
 from gridmason.functions.vocab import BOOSTED, STOPWORDS, TOPICS
-from gridmason.operators import duplicates, entities, feed, history, merge, queue, rollups, scoring, search
+from gridmason.operators import duplicates, entities, feed, history, merge, posts, queue, rollups, scoring, search
 from gridmason.plans import adapters
 from gridmason.sources import html
 
@@ -465,3 +466,135 @@ def array_filters(spark: SparkSession, d: str) -> DataFrame:
     rows = spark.read.parquet(f"{d}/conversations.parquet").groupBy("conv_id").agg(F.collect_set("role").alias("amenities"))
     wanted = F.array(F.lit("user"), F.lit("assistant"))
     return rows.select("conv_id", (F.size(F.array_except(wanted, F.col("amenities"))) == 0).alias("has_all"), F.arrays_overlap("amenities", F.array(F.lit("system"))).alias("has_any"))
+
+
+# ---------------------------------------------------------------- endpoints
+
+
+@query(f"WITH {L} SELECT 'listings' AS collection, count(*) AS rows, count(*) FILTER (is_active) AS active FROM l UNION ALL SELECT 'documents', count(*), NULL FROM documents UNION ALL SELECT 'events', count(*), NULL FROM events")
+def collection_counts(spark: SparkSession, d: str) -> DataFrame:
+    return api.stats(listings=adapters.listings(spark, d), documents=spark.read.parquet(f"{d}/documents.parquet"), events=spark.read.parquet(f"{d}/events.parquet"))
+
+
+PROJECT_ROWS = f"SELECT *, 'city' || (project_id % 5) AS city, make_date(2000 + CAST(project_id % 7 AS INT), 1, 1) AS launch_date, CAST(make_date(2000 + CAST(project_id % 3 AS INT), 6, 1) AS TIMESTAMP) AS created_at FROM ({adapters.PROJECTS})"
+
+
+def project_rows(spark: SparkSession, d: str) -> DataFrame:
+    adapters.tables(spark, d, "part", "supplier")
+    return spark.sql(PROJECT_ROWS)
+
+
+@query(f"WITH p AS ({PROJECT_ROWS}) SELECT project_id, name, total FROM (SELECT *, count(*) OVER () AS total FROM p WHERE city = 'city1' AND contains(lower(name), 'r') AND status = 'completed') ORDER BY launch_date DESC, created_at DESC, project_id LIMIT 20 OFFSET 20")
+def project_page(spark: SparkSession, d: str) -> DataFrame:
+    return api.projects(project_rows(spark, d), town="city1", name="R", status="completed", page=2).select("project_id", "name", "total")
+
+
+@query(f"WITH p AS ({PROJECT_ROWS}) SELECT project_id, status FROM p WHERE status IN ('new_launch', 'upcoming') OR created_at >= TIMESTAMP '{AS_OF}' - INTERVAL 500 DAY ORDER BY launch_date DESC, created_at DESC, project_id LIMIT 200")
+def new_launches(spark: SparkSession, d: str) -> DataFrame:
+    return api.new_launches(project_rows(spark, d), as_of(), days=500).select("project_id", "status")
+
+
+@query(f"""WITH {L}, p AS ({adapters.PROJECTS}), b AS ({adapters.BUILDERS}), c AS (SELECT builder_id, count(*) AS n FROM l WHERE is_active GROUP BY 1), t AS (SELECT builder_id, count(*) AS total_projects FROM p GROUP BY 1)
+  SELECT b.builder_id, b.name, coalesce(n, 0) AS listing_count, count(*) OVER () AS total FROM b LEFT JOIN c USING (builder_id) LEFT JOIN t USING (builder_id) WHERE contains(lower(b.name), '1') ORDER BY total_projects DESC NULLS LAST, b.builder_id LIMIT 30""")
+def builders_page(spark: SparkSession, d: str) -> DataFrame:
+    none = spark.createDataFrame([], "detected_builders array<string>, sentiment string, sentiment_score double, topics array<string>")
+    done = adapters.projects(spark, d)
+    card = rollups.builder_scorecard(adapters.builders(spark, d), done, adapters.listings(spark, d), none)
+    table = adapters.builders(spark, d).join(done.groupBy("builder_id").agg(F.count("*").alias("total_projects")), "builder_id", "left").withColumn("trust_score", F.lit(50.0))
+    return api.builders(table, card, name="1", size=30).select("builder_id", "name", "listing_count", "total")
+
+
+@query(f"""WITH y AS ({ORACLES["rental_yield"]}) SELECT city, sector, bedrooms, sale_sample FROM y WHERE bedrooms = 2 ORDER BY rental_yield_pct DESC, city || '|' || coalesce(sector, '') || '|' || bedrooms LIMIT 300""")
+def yield_table(spark: SparkSession, d: str) -> DataFrame:
+    return api.market_yield(rollups.rental_yield(adapters.listings(spark, d)), bedrooms=2).select("city", "sector", "bedrooms", "sale_sample")
+
+
+@query(f"WITH {L}, s AS (SELECT city, sector, count(*) FILTER (is_active) AS active_supply FROM l WHERE canonical_id IS NULL GROUP BY ALL) SELECT city, sector, active_supply FROM s ORDER BY active_supply DESC, city || '|' || coalesce(sector, '') LIMIT 300")
+def supply_table(spark: SparkSession, d: str) -> DataFrame:
+    return api.market_supply(rollups.supply_demand(adapters.listings(spark, d), as_of())).select("city", "sector", "active_supply")
+
+
+@query(f"""WITH {L}, t AS (SELECT city, sector, micro_market, property_type, listing_type, date_trunc('month', first_seen_at) AS period, count(*) AS listing_count, concat_ws('|', city, coalesce(sector, ''), micro_market, property_type, listing_type, strftime(date_trunc('month', first_seen_at), '%Y-%m')) AS key FROM l WHERE is_active AND canonical_id IS NULL GROUP BY ALL)
+  SELECT key, listing_count FROM t WHERE listing_type = 'rent' AND contains(lower(sector), 'brand#1') AND period >= TIMESTAMP '{AS_OF}' - INTERVAL 744 DAY ORDER BY period, listing_count DESC, key LIMIT 500""")
+def trends_table(spark: SparkSession, d: str) -> DataFrame:
+    return api.market_trends(rollups.locality_trends(adapters.listings(spark, d)), as_of(), sector="Brand#1", listing_type="rent", months=24).select("key", "listing_count")
+
+
+@query()
+def property_detail(spark: SparkSession, d: str) -> DataFrame:
+    """One listing with prices and duplicates (nested: rows only)."""
+    rows = adapters.listings(spark, d)
+    key = rows.agg(F.min("id")).first()[0]
+    prices = adapters.price_log(spark, d).withColumn("property_id", F.lit(key))
+    edges = rows.filter(F.col("id") != key).limit(3).select(F.lit(key).alias("canonical"), F.col("id").alias("duplicate"), F.lit(0.9).alias("score"))
+    return api.property_detail(rows, prices, edges, key).select("id", F.size("prices").alias("prices"), F.size("duplicates").alias("duplicates"))
+
+
+@query(f"SELECT event_id, event_type FROM events WHERE ts > TIMESTAMP '{LOG_AS_OF}' - INTERVAL 20 DAY ORDER BY ts DESC, event_id LIMIT 15")
+def run_log(spark: SparkSession, d: str) -> DataFrame:
+    runs = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("run_id"), "event_type", F.col("ts").cast("timestamp").alias("started_at"))
+    return api.recent_runs(runs, as_of(LOG_AS_OF), keep_days=20).select(F.col("run_id").alias("event_id"), "event_type")
+
+
+@query("""WITH p AS (SELECT doc_id, lang, text, regexp_extract_all(lower(substr(text, 1, 60)), '[a-z0-9]+') AS t, regexp_extract_all(lower(text), '[a-z0-9]+') AS b FROM documents),
+  s AS (SELECT doc_id, 5 * list_contains(t, 'the')::INT + list_contains(b, 'the')::INT + 5 * list_contains(t, 'moron')::INT + list_contains(b, 'moron')::INT AS text_score FROM p WHERE lang = 'en')
+  SELECT doc_id, text_score, count(*) OVER () AS total FROM s WHERE text_score > 0 ORDER BY text_score DESC, CAST(doc_id AS VARCHAR) LIMIT 100""")
+def post_search(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as posts."""
+    none = F.array().cast("array<string>")
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    rows = docs.select(F.col("doc_id").cast("string").alias("source_id"), F.substring("text", 1, 60).alias("title"), F.col("text").alias("body"), F.col("lang").alias("subreddit"), none.alias("detected_builders"), none.alias("detected_projects"))
+    return posts.search(rows, "the moron", subreddit="en", size=100).select(F.col("source_id").cast("long").alias("doc_id"), "text_score", "total")
+
+
+@query()
+def post_enrichment(spark: SparkSession, d: str) -> DataFrame:
+    """Documents through the rule tier (sentiment needs match offsets: rows only)."""
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    rows = docs.select("doc_id", F.lit("").alias("title"), F.col("text").alias("body"), F.lit("gurgaon").alias("subreddit"), F.array().cast("array<string>").alias("comments"))
+    return posts.enrich(rows, ["DLF Camellias", "Sobha City"]).select("doc_id", "detected_city", "sentiment", "relevance_score", F.size("topics").alias("topics"))
+
+
+@query("SELECT conv_id, least(12000, sum(length(text)) + count(*) - 1) AS chars FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations WHERE text <> '') WHERE r <= 25 GROUP BY 1")
+def thread_text(spark: SparkSession, d: str) -> DataFrame:
+    """Whole threads as one text: the first 25 turns, at most 12 000 characters."""
+    rows = spark.read.parquet(f"{d}/conversations.parquet").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda r: r["text"]).alias("said"))
+    return rows.select("conv_id", F.length(posts.full_text(F.lit(None), F.lit(None), F.col("said"))).cast("long").alias("chars"))
+
+
+@query()
+def property_scores(spark: SparkSession, d: str) -> DataFrame:
+    """All scores of active listings against trends, yields and builders (rows only; its parts have SQL of their own)."""
+    rows = adapters.listings(spark, d)
+    trust = adapters.builders(spark, d).select("builder_id", (F.col("established_year") % 100).cast("double").alias("trust_score"))
+    out = api.score_properties(rows, trust, rollups.locality_trends(rows), rollups.rental_yield(rows), as_of())
+    return out.select("id", "location_score", "risk_score", "investment_score")
+
+
+@query(f"""WITH p AS ({PROJECT_ROWS}), n AS (SELECT DISTINCT name AS name_key, 'city' || (project_id % 6) AS city FROM p), t AS (SELECT name AS name_key, project_id, CASE WHEN project_id % 4 = 0 THEN NULL ELSE city END AS city FROM p),
+  j AS (SELECT n.name_key, n.city, t.project_id, row_number() OVER (PARTITION BY n.name_key, n.city ORDER BY (t.city IS NULL)::INT, t.project_id) AS r FROM n JOIN t ON n.name_key = t.name_key AND (t.city IS NULL OR t.city = n.city)) SELECT name_key, city, project_id FROM j WHERE r = 1""")
+def resolve_projects(spark: SparkSession, d: str) -> DataFrame:
+    p = project_rows(spark, d)
+    names = p.select(F.col("name").alias("name_key"), F.concat(F.lit("city"), (F.col("project_id") % 6).cast("string")).alias("city")).distinct()
+    table = p.select(F.col("name").alias("name_key"), "project_id", F.when(F.col("project_id") % 4 != 0, F.col("city")).alias("city"))
+    return api.resolve_project(names, table).filter("project_id is not null")
+
+
+@query(f"""WITH p AS ({PROJECT_ROWS}), c AS (SELECT CASE project_id % 6 WHEN 0 THEN 'ggn' WHEN 1 THEN 'delhi' WHEN 2 THEN 'faridabad' WHEN 3 THEN 'gNoida' WHEN 4 THEN 'noida' END AS k, project_id % 9 = 0 AS stub, contains(name, 'ring') AS shop FROM p),
+  n AS (SELECT CASE WHEN k IS NULL THEN 'no_segment' WHEN NOT stub THEN k || CASE WHEN shop THEN 'Commercial' ELSE 'Residential' END || 'Projects' END AS segment, count(*) AS n FROM c GROUP BY 1),
+  s AS (SELECT k || c || 'Projects' AS segment FROM (VALUES ('ggn'), ('delhi'), ('faridabad'), ('gNoida'), ('noida')) a(k), (VALUES ('Residential'), ('Commercial')) b(c) UNION ALL SELECT 'no_segment' UNION ALL SELECT NULL)
+  SELECT s.segment, coalesce(n, 0) AS total FROM s LEFT JOIN n ON s.segment IS NOT DISTINCT FROM n.segment""")
+def project_feed_segments(spark: SparkSession, d: str) -> DataFrame:
+    towns = F.array(*[F.lit(x) for x in ("gurgaon", "delhi", "faridabad", "greater_noida", "noida", "sohna")])
+    rows = project_rows(spark, d).withColumn("town", F.get(towns, (F.col("project_id") % 6).cast("int")))
+    price = F.when(F.col("project_id") % 9 != 0, F.lit(1.0))
+    ok = feed.publishable_project(price, price, F.array(), F.array())
+    return feed.project_segments(rows, ok, F.col("name").contains("ring"), city="town")
+
+
+DIGITS = ["5", "999", "1000", "123456", "1234567", "45000000"]
+
+
+@query(told(DIGITS, [("5",), ("999",), ("1,000",), ("1,23,456",), ("12,34,567",), ("4,50,00,000",)], "shown"))
+def indian_digits(spark: SparkSession, d: str) -> DataFrame:
+    return inline(spark, DIGITS).select("x", feed.indian_digits(F.col("x").cast("long")).alias("shown"))

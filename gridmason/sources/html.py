@@ -282,6 +282,65 @@ def read_pages(pages: DataFrame, parsers: dict[str, Callable[[str, str | None],
     return pages.withColumn("page", run("url", "html", by))
 
 
+#: Address patterns: where a portal's city pages lie. {prefix}: property, or the kind of commercial space.
+SEARCH_URLS = {
+    "magicbricks": ("https://www.magicbricks.com/{prefix}-for-{deal}-in-{city}-{suffix}", "?page={page}"),
+    "squareyards": ("https://www.squareyards.com/new-projects-in-{city}", "?page={page}"),
+    "housing": ("https://housing.com/in/{section}/{city}", "?page={page}"),
+}
+
+
+def search_url(source: Column, town: Column, deal: Column, page: Column, prefix: str = "property") -> Column:
+    """The search page of a city: sale and rent have addresses of their own; the first page has no number."""
+    slug = F.replace(F.lower(F.trim(town)), F.lit(" "), F.lit("-"))
+    rent = deal == "rent"
+    out = F.lit(None).cast("string")
+    for name, (path, _) in SEARCH_URLS.items():
+        url = F.lit(path)
+        for key, value in (("prefix", F.lit(prefix)), ("deal", F.when(rent, "rent").otherwise("sale")), ("suffix", F.when(rent, "pppfr").otherwise("pppfs")), ("section", F.when(rent, "rent").otherwise("buy")), ("city", slug)):
+            url = F.replace(url, F.lit("{" + key + "}"), value)
+        if name == "squareyards":
+            url = F.when(rent, F.concat(F.lit("https://www.squareyards.com/"), slug, F.lit("/property-for-rent"))).otherwise(url)
+        out = F.when(source == name, url).otherwise(out)
+    return F.concat(out, F.when(page > 1, F.concat(F.lit("?page="), page.cast("string"))).otherwise(F.lit("")))
+
+
+# Where a listing's id stands in a portal's addresses.
+ID_PATTERNS = {
+    "magicbricks": [r"(?i)pdpid[-_]?([A-Za-z0-9]+)", r"(?i)/propertyDetails/[^?]*?-(\d{6,})", r"(?i)[?&]id=([A-Za-z0-9]+)"],
+    "housing": [r"(?i)/(?:page|projects/page)/(\d+)", r"(?i)[?&]id=([A-Za-z0-9]+)"],
+}
+
+
+def unit_tables(root: Node) -> list[dict]:
+    """Rows of price tables: configuration, area and price as text; an attribute with the area in square feet comes before the text."""
+    out = []
+    for row in root.select("tr"):
+        cells = [c for c in row.children if isinstance(c, Node) and c.tag in ("td", "th")]
+        text = [c.text() for c in cells]
+        plan = next((t for t in text if re.search(r"\b(bhk|rk|studio|plot|villa)\b", t, re.I)), None)
+        if plan and len(cells) >= 2:
+            sqft = next((n.attrs["data-sqft"] for n in row.walk() if "data-sqft" in n.attrs), None)
+            size = f"{sqft} sqft" if sqft else next((t for t in text if re.search(r"sq|acre|gaj", t, re.I)), None)
+            out.append({"configuration": plan, "area_text": size, "price_text": next((t for t in text if re.search(r"₹|rs|cr|lac|lakh|request", t, re.I)), None)})
+    return out
+
+
+def landmarks(root: Node) -> list[dict]:
+    """Places nearby, from lists whose items end in a distance; the first of each name."""
+    seen: dict[str, dict] = {}
+    for n in root.select("li, [data-attribute]"):
+        m = re.match(r"(.+?)[\s:(,-]+(\d+(?:\.\d+)?\s*(?:km|m)s?)\b", n.text(), re.I)
+        if m and len(m[1]) <= 60:
+            seen.setdefault(m[1].lower(), landmark(m[1].strip(), m[2]))
+    return list(seen.values())
+
+
+def has_next(root: Node) -> bool:
+    """Whether a search page has another: a rel=next link, or any card."""
+    return root.first("link[rel=next]", "a[rel=next]", "[class*=card]") is not None
+
+
 def record_kind(url: Column, source: Column) -> Column:
     """project or property."""
     return F.when(F.lower(url).contains("/project") | (source == "squareyards"), "project").otherwise("property")
