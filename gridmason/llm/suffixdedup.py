@@ -16,6 +16,7 @@ cross documents.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,9 +31,17 @@ from gridmason.llm.rolling import gram_hashes, mix, sliding_min
 
 GRAM = 24
 ROW = "bucket int, kind int, blob binary"
-RECORD = np.dtype([("gram", "<u8"), ("stretch", "<u8"), ("doc", "<i8"), ("lo", "<i4"), ("wins", "u1"), ("off", "u1")])
-CAND = np.dtype([("gram", "<u8"), ("doc", "<i8"), ("lo", "<i4"), ("wins", "u1"), ("off", "u1")])
-SPAN = np.dtype([("doc", "<i8"), ("start", "<i4"), ("end", "<i4")])
+RECORD = np.dtype([("gram", "<u8"), ("stretch", "<u8"), ("doc", "<i8"), ("tag", "<u2"), ("lo", "<i4"), ("wins", "u1"), ("off", "u1")])
+CAND = np.dtype([("gram", "<u8"), ("doc", "<i8"), ("tag", "<u2"), ("lo", "<i4"), ("wins", "u1"), ("off", "u1"), ("hot", "u1")])
+SPAN = np.dtype([("doc", "<i8"), ("tag", "<u2"), ("start", "<i4"), ("end", "<i4")])
+WINDOW = np.dtype([("one", "<u8"), ("two", "<u8"), ("doc", "<i8"), ("tag", "<u2"), ("start", "<i4")])
+#: Kinds of packed rows: records, spans on their way to a document, candidates, marks of hot grams, runs, windows, documents.
+RECORDS, SPANS, CANDS, MARKS, RUNS, WINDOWS, DOCS = 1, 2, 3, 4, 5, 6, 9
+
+
+def _tag(text: bytes) -> int:
+    """Tells rows that repeat a doc_id apart."""
+    return zlib.crc32(text) & 0xFFFF
 
 
 def _packed(a: np.ndarray) -> bytes:
@@ -97,6 +106,7 @@ def records(texts: list[bytes], docs: np.ndarray, length: int) -> np.ndarray:
     out = np.zeros(len(first), RECORD)
     owner = np.searchsorted(ends, lo, "right")
     out["gram"], out["doc"], out["lo"] = grams[at], docs[use][owner], lo - (ends - sizes)[owner]
+    out["tag"] = np.array([_tag(texts[i]) for i in use], np.uint16)[owner]
     out["wins"], out["off"] = hi - lo + 1, at - lo
     # a stretch lo .. hi + length is the windows at its ends, which cover it, and its shape
     whole = gram_hashes(units, length)
@@ -246,23 +256,60 @@ def resolve(runs: list[tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray]],
     who, begin = np.nonzero(edge == 1)
     _, until = np.nonzero(edge == -1)
     out = np.zeros(len(who), SPAN)
-    out["doc"], out["start"], out["end"] = cands["doc"][who], at[who] - until + 1, at[who] - begin + length
+    out["doc"], out["tag"], out["start"], out["end"] = cands["doc"][who], cands["tag"][who], at[who] - until + 1, at[who] - begin + length
+    return out
+
+
+def _spans(r: np.ndarray, length: int) -> np.ndarray:
+    """The stretches that records or windows cover."""
+    out = np.zeros(len(r), SPAN)
+    out["doc"], out["tag"] = r["doc"], r["tag"]
+    out["start"] = r["lo"] if "lo" in r.dtype.names else r["start"]
+    out["end"] = out["start"] + (r["wins"].astype(np.int64) - 1 if "wins" in r.dtype.names else 0) + length
+    return _merged(out)
+
+
+def _firsts(r: np.ndarray, at: str, *names: str) -> tuple[np.ndarray, np.ndarray]:
+    """Rows alike in names: the first by (doc_id, place) of each kind (sorted by kind), and all that come later."""
+    r = r[np.lexsort((r[at], r["doc"], *[r[n] for n in reversed(names)]))]
+    head = np.ones(len(r), bool)
+    head[1:] = np.any([r[n][1:] != r[n][:-1] for n in names], axis=0)
+    lead = np.flatnonzero(head)[np.cumsum(head) - 1]
+    return r[head], r[(r["doc"] != r["doc"][lead]) | (r[at] != r[at][lead])]
+
+
+def _as_cands(r: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(r), CAND)
+    for n in ("gram", "doc", "tag", "lo", "wins", "off"):
+        out[n] = r[n]
+    out["hot"] = hot
+    return out
+
+
+def windows(cands: np.ndarray, raw: np.ndarray, length: int) -> np.ndarray:
+    """Every window of some candidates of one text, by two hashes."""
+    one, half = gram_hashes(raw, length), gram_hashes(raw, length // 2)
+    n = cands["wins"].astype(np.int64)
+    start = np.repeat(cands["lo"].astype(np.int64) - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+    out = np.zeros(len(start), WINDOW)
+    out["one"], out["two"] = one[start], mix(half[start] + np.uint64(3) * mix(half[start + length - length // 2]))
+    out["doc"], out["tag"], out["start"] = np.repeat(cands["doc"], n), np.repeat(cands["tag"], n), start
     return out
 
 
 def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[int, list[bytes]], Iterator[bytes]]]:
-    """Buckets in order: (bucket, {kind: blobs} of the kinds below 9, blobs of kind 9 as they come)."""
+    """Buckets in order: (bucket, {kind: blobs} of the other kinds, documents as they come)."""
     flat = ((b, k, x) for batch in batches for b, k, x in zip(*(c.to_pylist() for c in batch.columns), strict=True))
     row = next(flat, None)
     while row is not None:
         bucket, small = row[0], {}
-        while row is not None and row[0] == bucket and row[1] < 9:
+        while row is not None and row[0] == bucket and row[1] < DOCS:
             small.setdefault(row[1], []).append(row[2])
             row = next(flat, None)
 
         def large() -> Iterator[bytes]:
             nonlocal row
-            while row is not None and row[0] == bucket and row[1] == 9:
+            while row is not None and row[0] == bucket and row[1] == DOCS:
                 yield row[2]
                 row = next(flat, None)
 
@@ -275,119 +322,149 @@ def _dealt(df: DataFrame, buckets: int) -> DataFrame:
     return df.repartitionById(parts(df.sparkSession), F.col("bucket")).sortWithinPartitions("bucket", "kind")
 
 
-def dedup(docs: DataFrame, length: int = 100, text: str = "text", kept: str = "kept") -> DataFrame:
+def dedup(docs: DataFrame, length: int = 100, text: str = "text", kept: str = "kept", hot_in_task: int = 1000, hot_in_all: int = 20_000) -> DataFrame:
     """docs (doc_id, text and any further columns) with ``kept`` binary (the remaining bytes), n_bytes, n_removed, n_spans and
     spans array<struct<start, end>> (maximal removed runs). Columns of docs with these names are replaced.
 
     Null text is empty text. Rows with a null doc_id are left out. Rows that repeat a doc_id are the same document as to order: of equal
-    strings at equal starts neither is earlier. Texts shorter than ``length`` lose nothing. No rows give no rows. ``length``: 48 to 200.
+    strings at equal starts neither is earlier (of two rows alike in id and in 16 bits of their text's checksum, both lose what either does). Texts shorter than ``length`` lose nothing. No rows give no rows. ``length``: 48 to 200.
+
+    What repeats within a task is settled there, so that a text or passage in a third of all rows sends one record a task. A gram with more than
+    ``hot_in_task`` different stretches in a task (a quarter of a million records), or ``hot_in_all`` altogether, takes another exact way: its windows, by
+    128-bit hashes, the first of each kind in the task, are dealt out by window instead of by gram.
     """
     spark = docs.sparkSession
     docs = docs.drop(kept, "n_bytes", "n_removed", "n_spans", "spans").filter("doc_id is not null").withColumn("doc_id", F.col("doc_id").cast("long"))
     buckets = max(1, parts(spark)) * 2
     columns = docs.columns
 
+    def to_docs(spans: np.ndarray, kind: int = SPANS) -> Iterator[tuple[int, int, bytes]]:
+        return _to_buckets(spans, _of_doc(spans["doc"], buckets), kind)
+
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from gridmason.llm.tokens import blocks
 
+        def packed(held: list[np.ndarray]) -> pa.RecordBatch:
+            """What repeats within the task is settled here; a gram with very many different stretches goes on as a mark, its records by their documents."""
+            heads, later = _firsts(np.concatenate(held), "lo", "gram", "stretch")
+            gram, place, many = np.unique(heads["gram"], return_inverse=True, return_counts=True)
+            hot = (many > hot_in_task)[place]
+            rows = [*to_docs(_spans(later, length)), *to_docs(_as_cands(heads[hot], np.ones(int(hot.sum()))), CANDS)]
+            marks = np.zeros(int((many > hot_in_task).sum()), [("gram", "<u8")])
+            marks["gram"] = gram[many > hot_in_task]
+            return _rows([*rows, *_to_buckets(marks, _of_gram(marks["gram"], buckets), MARKS), *_to_buckets(heads[~hot], _of_gram(heads["gram"][~hot], buckets), RECORDS)])
+
+        held: list[np.ndarray] = []
         for b in batches:
             ids, texts = b.column(0).to_numpy(zero_copy_only=False), [(t or "").encode("utf-8", "surrogatepass") for t in b.column(1).to_pylist()]
-            found = [records(texts[lo:hi], ids[lo:hi], length) for lo, hi in blocks(texts, 2_000_000)]
-            found = np.concatenate(found) if found else np.zeros(0, RECORD)
-            if len(found):
-                found = found[np.argsort(found["gram"], kind="stable")]
-                yield _rows(list(_to_buckets(found, _of_gram(found["gram"], buckets), 1)))
+            held += [r for lo, hi in blocks(texts, 500_000) if len(r := records(texts[lo:hi], ids[lo:hi], length))]
+            if sum(map(len, held)) > 250_000:
+                yield packed(held)
+                held = []
+        if held:
+            yield packed(held)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, blobs, _ in _by_bucket(batches):
-            r = np.concatenate([_unpacked(x, RECORD) for x in blobs[1]])
-            order = np.argsort(r["gram"], kind="stable")
-            r = r[order]
-            twin = np.zeros(len(r), bool)
-            twin[1:] = r["gram"][1:] == r["gram"][:-1]
-            twin[:-1] |= twin[1:]
-            r = r[twin]
-            if not len(r):
-                continue
-            r = r[np.lexsort((r["lo"], r["doc"], r["stretch"], r["gram"]))]
-            new_gram = np.r_[True, r["gram"][1:] != r["gram"][:-1]]
-            head = new_gram | np.r_[True, r["stretch"][1:] != r["stretch"][:-1]]
-            lead = np.flatnonzero(head)[np.cumsum(head) - 1]
-            later = (r["doc"] != r["doc"][lead]) | (r["lo"] != r["lo"][lead])
-            spans = np.zeros(int(later.sum()), SPAN)
-            spans["doc"], spans["start"] = r["doc"][later], r["lo"][later]
-            spans["end"] = spans["start"] + r["wins"][later] - 1 + length
-            group = np.cumsum(new_gram) - 1
-            several = np.bincount(group, weights=head)[group] > 1
-            rest = r[head & several]
-            cands = np.zeros(len(rest), CAND)
-            for n in CAND.names:
-                cands[n] = rest[n]
-            rows = [*_to_buckets(_merged(spans), _of_doc(_merged(spans)["doc"], buckets), 1), *_to_buckets(cands, _of_doc(cands["doc"], buckets), 2)]
+        for bucket, blobs, _ in _by_bucket(batches):
+            rows = [(bucket, k, x) for k in (SPANS, CANDS) for x in blobs.get(k, [])]
+            r = np.concatenate([_unpacked(x, RECORD) for x in blobs.get(RECORDS, [])] or [np.zeros(0, RECORD)])
+            marks = np.unique(np.concatenate([_unpacked(x, np.dtype([("gram", "<u8")]))["gram"] for x in blobs.get(MARKS, [])] or [np.zeros(0, np.uint64)]))
+            r = r[np.argsort(r["gram"], kind="stable")]
+            marked = np.isin(r["gram"], marks)
+            twin = marked.copy()
+            same = r["gram"][1:] == r["gram"][:-1]
+            twin[1:] |= same
+            twin[:-1] |= same
+            heads, later = _firsts(r[twin], "lo", "gram", "stretch")
+            _, place, many = np.unique(heads["gram"], return_inverse=True, return_counts=True)
+            hot = np.isin(heads["gram"], marks) | (many[place] > hot_in_all)
+            use = hot | (many[place] > 1)
+            rows += [*to_docs(_spans(later, length)), *to_docs(_as_cands(heads[use], hot[use]), CANDS)]
             if rows:
                 yield _rows(rows)
 
     def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Documents by bucket, whole rows as compressed Arrow streams."""
         options = pa.ipc.IpcWriteOptions(compression="zstd")
-        for b in batches:
-            bucket = _of_doc(b.column("doc_id").to_numpy(zero_copy_only=False), buckets)
-            table = pa.Table.from_batches([b])
+
+        def packed(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(held)
+            bucket = _of_doc(table.column("doc_id").to_numpy(zero_copy_only=False), buckets)
             for k in np.unique(bucket).tolist():
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, table.schema, options=options) as w:
                     w.write_table(table.take(pa.array(np.flatnonzero(bucket == k))))
-                yield _rows([(k, 9, sink.getvalue().to_pybytes())])
+                yield _rows([(k, DOCS, sink.getvalue().to_pybytes())])
+
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            held.append(b)
+            if sum(h.nbytes for h in held) > 16_000_000:
+                yield from packed(held)
+                held = []
+        if held:
+            yield from packed(held)
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The candidates' suffixes, as one front-coded sorted run for each bucket and target."""
-        held, n_held = [], 0
+        """The candidates' suffixes, as one front-coded sorted run for each target; windows of hot grams, the first of each kind."""
+        held: list[tuple] = []
+        seen: list[np.ndarray] = []
 
         def runs() -> Iterator[pa.RecordBatch]:
             cands, contexts, right = (np.concatenate(x) for x in zip(*held, strict=True))
             target = _of_gram(cands["gram"], buckets)
-            rows = []
-            for t in np.unique(target).tolist():
-                m = target == t
-                rows.append((t, 1, _front_code(cands[m], contexts[m], right[m], length)))
-            yield _rows(rows)
+            yield _rows([(t, RUNS, _front_code(cands[m], contexts[m], right[m], length)) for t in np.unique(target).tolist() for m in [target == t]])
+
+        def firsts() -> Iterator[pa.RecordBatch]:
+            heads, later = _firsts(np.concatenate(seen), "start", "one", "two")
+            yield _rows([*to_docs(_spans(later, length)), *_to_buckets(heads, _of_gram(heads["one"], buckets), WINDOWS)])
 
         for _, blobs, large in _by_bucket(batches):
-            cands = np.concatenate([_unpacked(x, CAND) for x in blobs.get(2, [])] or [np.zeros(0, CAND)])
+            cands = np.concatenate([_unpacked(x, CAND) for x in blobs.get(CANDS, [])] or [np.zeros(0, CAND)])
             cands = cands[np.argsort(cands["doc"], kind="stable")]
             for blob in large:
                 table = pa.ipc.open_stream(blob).read_all().select(["doc_id", text])
                 for doc, t in zip(table.column(0).to_pylist(), table.column(1).to_pylist(), strict=True):
-                    a, b = np.searchsorted(cands["doc"], [doc, doc + 1]) if doc < 2**63 - 1 else (np.searchsorted(cands["doc"], doc), len(cands))
-                    if a == b:
+                    mine = cands[np.searchsorted(cands["doc"], doc) : np.searchsorted(cands["doc"], doc, "right")]
+                    if not len(mine):
                         continue
-                    mine = cands[a:b]
-                    raw = np.frombuffer((t or "").encode("utf-8", "surrogatepass"), np.uint8)
-                    at = mine["lo"].astype(np.int64) + mine["off"]
-                    right = np.minimum(length, mine["lo"].astype(np.int64) + mine["wins"] - 1 + length - at)
-                    fits = at + right <= len(raw)  # rows that repeat an id share its candidates
-                    mine, at, right = mine[fits], at[fits], right[fits]
+                    body = (t or "").encode("utf-8", "surrogatepass")
+                    mine = mine[mine["tag"] == _tag(body)]
+                    raw = np.frombuffer(body, np.uint8)
+                    if (mine["hot"] == 1).any():
+                        seen.append(windows(mine[mine["hot"] == 1], raw, length))
+                        mine = mine[mine["hot"] == 0]
                     if not len(mine):
                         continue
+                    at = mine["lo"].astype(np.int64) + mine["off"]
+                    right = np.minimum(length, mine["lo"].astype(np.int64) + mine["wins"] - 1 + length - at)
                     padded = np.concatenate([np.zeros(length, np.uint8), raw, np.zeros(length, np.uint8)])
                     context = np.zeros((len(mine), 2 * length), np.uint8)
                     context[:, :length] = padded[(at + length)[:, None] - 1 - np.arange(length)[None]]
                     context[:, length:] = padded[(at + length)[:, None] + np.arange(length)[None]]
                     context[:, length:][np.arange(length)[None] >= right[:, None]] = 0
                     held.append((mine, context, right))
-                    n_held += len(mine)
-                if n_held > 100_000:
+                if sum(len(h[0]) for h in held) > 50_000:
                     yield from runs()
-                    held.clear()
-                    n_held = 0
+                    held = []
+                if sum(map(len, seen)) > 250_000:
+                    yield from firsts()
+                    seen = []
         if held:
             yield from runs()
+        if seen:
+            yield from firsts()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, blobs, _ in _by_bucket(batches):
-            spans = _merged(resolve([_decode_run(x, length) for x in blobs[1]], length))
-            if len(spans):
-                yield _rows(list(_to_buckets(spans, _of_doc(spans["doc"], buckets), 1)))
+        for bucket, blobs, _ in _by_bucket(batches):
+            rows = [(bucket, SPANS, x) for x in blobs.get(SPANS, [])]
+            if RUNS in blobs:
+                rows += to_docs(_merged(resolve([_decode_run(x, length) for x in blobs[RUNS]], length)))
+            if WINDOWS in blobs:
+                _, later = _firsts(np.concatenate([_unpacked(x, WINDOW) for x in blobs[WINDOWS]]), "start", "one", "two")
+                rows += to_docs(_spans(later, length))
+            if rows:
+                yield _rows(rows)
 
     schema = T.StructType(list(docs.schema.fields))
     for part in ((kept, "binary"), ("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long")):
@@ -396,15 +473,15 @@ def dedup(docs: DataFrame, length: int = 100, text: str = "text", kept: str = "k
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, blobs, large in _by_bucket(batches):
-            spans = _merged(np.concatenate([_unpacked(x, SPAN) for x in blobs.get(1, [])] or [np.zeros(0, SPAN)]))
+            spans = _merged(np.concatenate([_unpacked(x, SPAN) for x in blobs.get(SPANS, [])] or [np.zeros(0, SPAN)]))
             for blob in large:
                 table = pa.ipc.open_stream(blob).read_all()
                 new: list[list] = [[], [], [], [], []]
                 for doc, t in zip(table.column("doc_id").to_pylist(), table.column(text).to_pylist(), strict=True):
                     raw = (t or "").encode("utf-8", "surrogatepass")
-                    a = int(np.searchsorted(spans["doc"], doc))
-                    b = int(np.searchsorted(spans["doc"], doc, "right"))
-                    mine = [(s, min(e, len(raw))) for s, e in zip(spans["start"][a:b].tolist(), spans["end"][a:b].tolist(), strict=True) if s < len(raw)]
+                    own = spans[np.searchsorted(spans["doc"], doc) : np.searchsorted(spans["doc"], doc, "right")]
+                    own = own[own["tag"] == _tag(raw)] if len(own) else own
+                    mine = list(zip(own["start"].tolist(), own["end"].tolist(), strict=True))
                     keep, at = [], 0
                     for s, e in mine:
                         keep.append(raw[at:s])
@@ -420,18 +497,18 @@ def dedup(docs: DataFrame, length: int = 100, text: str = "text", kept: str = "k
 
     met = stash(_dealt(docs.select("doc_id", text).mapInArrow(find, ROW), buckets).mapInArrow(meet, ROW), "stretches")
     texts = docs.select("doc_id", text).mapInArrow(carry, ROW)
-    runs = _dealt(texts.unionAll(met.filter("kind = 2")), buckets).mapInArrow(collect, ROW)
+    runs = _dealt(texts.unionAll(met.filter(F.col("kind") == CANDS)), buckets).mapInArrow(collect, ROW)
     merged = stash(_dealt(runs, buckets).mapInArrow(merge, ROW), "suffix-spans")
-    return _dealt(docs.mapInArrow(carry, ROW).unionAll(met.filter("kind = 1")).unionAll(merged), buckets).mapInArrow(cut, schema)
+    return _dealt(docs.mapInArrow(carry, ROW).unionAll(met.filter(F.col("kind") == SPANS)).unionAll(merged), buckets).mapInArrow(cut, schema)
 
 
 def _merged(spans: np.ndarray) -> np.ndarray:
     """Spans joined where they touch or overlap, by document and start."""
     if not len(spans):
         return spans
-    spans = spans[np.lexsort((spans["start"], spans["doc"]))]
-    doc, start, end = spans["doc"], spans["start"].astype(np.int64), spans["end"].astype(np.int64)
-    change = np.r_[True, doc[1:] != doc[:-1]]
+    spans = spans[np.lexsort((spans["start"], spans["tag"], spans["doc"]))]
+    doc, tag, start, end = spans["doc"], spans["tag"], spans["start"].astype(np.int64), spans["end"].astype(np.int64)
+    change = np.r_[True, (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])]
     lift = np.cumsum(change) << 32  # a running maximum within documents
     far = np.maximum.accumulate(end + lift) - lift
     head = change.copy()
