@@ -36,7 +36,7 @@ _FLIP = _RNG.integers(0, 2**32, SYMBOLS, np.uint32)
 class Shingler:
     """shingles(texts) -> (hash of each different shingle, text by text; how many each text has)."""
 
-    def __init__(self, remember: int = 500_000):
+    def __init__(self, remember: int = 200_000):
         self.known: dict[bytes, int] = {}
         self.remember = remember
 
@@ -94,7 +94,7 @@ def signatures(s: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
 def _blocks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
     from gridmason.llm.tokens import blocks
 
-    return blocks(texts, 2_000_000)
+    return blocks(texts, 700_000)
 
 
 def describe(docs: DataFrame) -> DataFrame:
