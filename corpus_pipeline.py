@@ -18,7 +18,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language: rejects text without a letter, and long text that no language follows for even two characters on average."""
     told = langid.identify(docs.select(*COLUMNS), langid.fit(docs))
-    return told.filter("lang_pred <> 'und' and not (n_chars >= 200 and phrases_per_char > 0.5)").select(*COLUMNS)
+    return told.filter("lang_pred <> 'und' and not (length(text) >= 200 and phrases_per_char > 0.5)").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridmason.llm.common import parts, stash
+from gridmason.llm.common import parts, release, stash
 from gridmason.llm.rolling import gram_hashes, mix, sliding_min
 
 GRAM = 24
@@ -316,6 +316,7 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[in
         yield bucket, small, large()
         for _ in large():
             pass
+        release()
 
 
 def _dealt(df: DataFrame, buckets: int) -> DataFrame:
@@ -402,6 +403,7 @@ def dedup(docs: DataFrame, length: int = 100, text: str = "text", kept: str = "k
             if sum(h.nbytes for h in held) > 16_000_000:
                 yield from packed(held)
                 held = []
+                release()
         if held:
             yield from packed(held)
 

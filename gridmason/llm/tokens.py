@@ -19,6 +19,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from gridmason.llm.common import release
+
 _LATIN = "A-Za-zÀ-ÖØ-öø-įı-ɏ"
 #: A chunk that is a word: first in its text (marked) or after a line end, letters, plain punctuation.
 _WORD = f"^(?P<lead>LEAD)(?P<word>[{_LATIN}]+)(?P<tail>[.,!?;:|%*#$&]*)$"
@@ -181,3 +183,4 @@ def blocks(texts: list[str | None], chars: int = 1_500_000) -> Iterator[tuple[in
             at, held = i + 1, 0
     if at < len(texts):
         yield at, len(texts)
+    release()
