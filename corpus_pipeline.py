@@ -37,11 +37,11 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Thins the domains that exceed their weight beside clean text: a document stays if its hash, as a share of 1, is below its rate."""
+    """Thins the domains that exceed their weight beside clean text: a document that is likeliest of another domain stays if its hash, as a share of 1, is below its rate."""
     labels = mixing.label_domains(spark.read.parquet(f"{sf_dir}/labels.parquet"))
     told = mixing.mix(docs, labels, WEIGHTS, whole="clean")
     share = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
-    gone = stash(told.filter((F.col("rate") < 0.999) & (share >= F.col("rate"))).select("doc_id").distinct(), "thinned")
+    gone = stash(told.filter((F.col("domain") != "clean") & (F.col("rate") < 0.999) & (share >= F.col("rate"))).select("doc_id").distinct(), "thinned")
     return docs.select(*COLUMNS).join(F.broadcast(gone) if gone.count() <= 2_000_000 else gone, "doc_id", "left_anti")
 
 

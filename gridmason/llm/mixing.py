@@ -12,14 +12,17 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gridmason.llm.common import stash
 
-HASHED = 1 << 14
+HASHED = 1 << 16
 BINS = 8
+#: Longer texts count as so many words: evidence is learned by presence, and adds up with every occurrence.
+EVIDENCE = 300
 
 
 def _literal(values: list[float]) -> Column:
@@ -27,31 +30,31 @@ def _literal(values: list[float]) -> Column:
     return F.expr("array(" + ",".join(f"{v!r}D" if math.isfinite(v) else "0D" for v in map(float, values)) + ")")
 
 
-def _words(text: str = "text") -> Column:
-    return F.split(F.lower(text), " ")
+def _bucket(word: Column) -> Column:
+    return F.pmod(F.xxhash64(word), F.lit(HASHED))
 
 
-def _bucket(word: Column) -> Column:
-    return F.pmod(F.xxhash64(word), F.lit(HASHED)).cast("int")
+#: Per document: how many words start with a capital or a digit, end in a symbol, are one, hold a line end, and their bytes.
+COUNTS = ("upper", "digit", "symbol", "alone", "lines", "bytes")
 
 
-def _statistics(text: str = "text") -> list[Column]:
-    """Shares of a text, each cut into BINS bins of rising width."""
-    n = F.greatest(F.length(text), F.lit(1)).cast("double")
+def _counts(w: Column) -> list[Column]:
+    """Sums over the words of a document, in generated code."""
+    first, last = F.ascii(w), F.ascii(F.right(w, F.lit(1)))
+    symbols = [ord(c) for c in "%*#$&|!=_~^"]
+    flags = [first.between(65, 90), first.between(48, 57), last.isin(symbols), first.isin(symbols), F.instr(w, "\n") > 0]
+    return [*[F.sum(f.cast("int")).alias(n) for n, f in zip(COUNTS, flags, strict=False)], F.sum(F.octet_length(w)).alias("bytes")]
 
-    def share(chars: str) -> Column:
-        return (F.length(text) - F.length(F.translate(text, chars, ""))) / n
 
-    def binned(x: Column) -> Column:
-        return F.least(F.floor(F.log2(1 + x * 255)), F.lit(BINS - 1)).cast("int")
+def _binned() -> Column:
+    """array<int>: the shares of the counts, and the size, each in one of BINS bins of rising width."""
+    shares = [F.least(F.floor(F.log2(1 + F.col(c) / F.col("tokens") * 255)), F.lit(BINS - 1)).cast("int") for c in COUNTS[:-1]]
+    return F.array(*shares, F.least(F.floor(F.log2(F.col("bytes") + 1) / 2), F.lit(BINS - 1)).cast("int"))
 
-    return [
-        binned(share("%*#$&|!=_~^<>{}[]")),
-        binned(share("ABCDEFGHIJKLMNOPQRSTUVWXYZ")),
-        binned(share("0123456789")),
-        binned(share("\n")),
-        F.least(F.floor(F.log2(n) / 2), F.lit(BINS - 1)).cast("int"),
-    ]
+
+def _exploded(rows: DataFrame, *keep: str) -> DataFrame:
+    """A row for each word (between single spaces) of each of rows(row, text, ...)."""
+    return rows.select("row", *keep, F.split("text", " ").alias("ws")).select("row", *keep, F.explode("ws").alias("w"))
 
 
 class Classifier:
@@ -64,7 +67,7 @@ class Classifier:
 def fit(docs: DataFrame, labelled: DataFrame, per_domain: int = 1500) -> Classifier:
     """``labelled(doc_id, domain)``. Learns from at most ``per_domain`` labelled documents of each domain, those with the smallest hashes of
     doc_id: a bounded sample. Null labels are left out; of several labels of a doc_id the first by name counts. The
-    driver gets at most domains * (HASHED + 5 * BINS) counts."""
+    driver gets at most domains * (HASHED + 6 * BINS) counts."""
     labelled = labelled.filter("doc_id is not null and domain is not null").groupBy("doc_id").agg(F.min("domain").alias("domain"))
     shares = {r["domain"]: r["count"] for r in labelled.groupBy("domain").count().collect()}
     domains = sorted(shares)
@@ -72,10 +75,11 @@ def fit(docs: DataFrame, labelled: DataFrame, per_domain: int = 1500) -> Classif
         return Classifier([], [], [], [])
     picked = labelled.withColumn("r", F.row_number().over(Window.partitionBy("domain").orderBy(F.xxhash64("doc_id"), "doc_id"))).filter(F.col("r") <= per_domain)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked.select("doc_id", "domain")), "doc_id")
-    rows = stash(rows.select("domain", F.array_distinct(F.transform(_words(), _bucket)).alias("w"), F.array(*_statistics()).alias("s")), "mixing-sample")
-    n = {r["domain"]: r["count"] for r in rows.groupBy("domain").count().collect()}
-    seen = {(r["domain"], r["b"]): r["n"] for r in rows.select("domain", F.explode("w").alias("b")).groupBy("domain", "b").agg(F.count("*").alias("n")).collect()}
-    stat = {(r["domain"], r["i"], r["b"]): r["n"] for r in rows.select("domain", F.posexplode("s").alias("i", "b")).groupBy("domain", "i", "b").agg(F.count("*").alias("n")).collect()}
+    words = stash(_exploded(rows.withColumn("row", F.monotonically_increasing_id()), "domain").withColumn("b", _bucket(F.col("w"))), "mixing-sample")
+    told = words.groupBy("row", "domain").agg(F.count("*").alias("tokens"), *_counts(F.col("w"))).select("domain", _binned().alias("s"))
+    n = {r["domain"]: r["count"] for r in told.groupBy("domain").count().collect()}
+    seen = {(r["domain"], r["b"]): r["n"] for r in words.select("row", "domain", "b").distinct().groupBy("domain", "b").agg(F.count("*").alias("n")).collect()}
+    stat = {(r["domain"], r["i"], r["b"]): r["n"] for r in told.select("domain", F.posexplode("s").alias("i", "b")).groupBy("domain", "i", "b").agg(F.count("*").alias("n")).collect()}
     base = domains[0]
     total = sum(shares.values())
     prior, words, bins = [], [], []
@@ -85,78 +89,89 @@ def fit(docs: DataFrame, labelled: DataFrame, per_domain: int = 1500) -> Classif
         for b in range(HASHED):
             x, y = seen.get((d, b), 0), seen.get((base, b), 0)
             odds = math.log((x + 0.5) / (n.get(d, 0) + 1)) - math.log((y + 0.5) / (n.get(base, 0) + 1))
-            column.append(round(odds * (x + y) / (x + y + 10), 4) if abs(odds) > 1 else 0.0)  # rare or common buckets say little
+            column.append(round(odds, 4) if abs(odds) > 4 * math.sqrt(1 / (x + 0.5) + 1 / (y + 0.5)) else 0.0)  # only what is no chance: a long text adds up thousands
         words.append(column)
-        bins.append([[round(math.log((stat.get((d, i, b), 0) + 1) / (n.get(d, 0) + BINS)) - math.log((stat.get((base, i, b), 0) + 1) / (n.get(base, 0) + BINS)), 4) for b in range(BINS)] for i in range(5)])
+        bins.append([[round(math.log((stat.get((d, i, b), 0) + 1) / (n.get(d, 0) + BINS)) - math.log((stat.get((base, i, b), 0) + 1) / (n.get(base, 0) + BINS)), 4) for b in range(BINS)] for i in range(len(COUNTS))])
     return Classifier(domains, prior, words, bins)
 
 
 def posteriors(docs: DataFrame, model: Classifier) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, tokens (words between single spaces), p array<double> in the order of model.domains. Whole texts, no shuffle; null text is empty (one token, the
-    prior of such statistics)."""
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rest = model.domains[1:]
+    """docs(doc_id, text) -> doc_id, tokens (words between single spaces), p array<double> in the order of model.domains. Whole texts; null text is empty (one token).
+
+    Words are exploded, looked up and summed by row in generated code; a row's words are all in one task, so that what is shuffled is
+    one row of sums for each document.
+    """
+    rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("row", F.monotonically_increasing_id())
     if not model.domains:
         return rows.select("doc_id", F.size(F.split("text", " ")).cast("long").alias("tokens"), F.array().cast("array<double>").alias("p"))
-    rows = rows.select("doc_id", _words().alias("w"), F.array(*_statistics()).alias("s"))
-    start = F.struct(*[F.lit(0.0).alias(f"z{j}") for j in range(len(rest))], F.lit(0).alias("none"))
-    tables = [_literal(w) for w in model.words]
-    word_sums = F.aggregate("w", start, lambda acc, w: F.struct(*[(acc[f"z{j}"] + F.get(tables[j], _bucket(w))).alias(f"z{j}") for j in range(len(rest))], F.lit(0).alias("none")))
-    rows = rows.select("doc_id", F.size("w").cast("long").alias("tokens"), "s", word_sums.alias("z"))
+    words = _exploded(rows, "doc_id").withColumn("b", _bucket(F.col("w")))
+    names = [f"z{j}" for j in range(len(model.words))]
+    known = [(b, *x) for b, x in enumerate(zip(*model.words, strict=True)) if any(x)]
+    table = docs.sparkSession.createDataFrame(known, "b bigint, " + ", ".join(f"{n} double" for n in names)) if names else None
+    words = words if table is None else words.join(F.broadcast(table), "b", "left")  # at most HASHED rows
+    rows = words.groupBy("row", "doc_id").agg(F.count("*").alias("tokens"), *_counts(F.col("w")), *[F.coalesce(F.sum(n), F.lit(0.0)).alias(n) for n in names])
+    rows = rows.select("doc_id", "tokens", *names, _binned().alias("s"))
     odds = [F.lit(0.0)]
-    for j in range(len(rest)):
-        z = F.lit(model.prior[j]) + F.col(f"z.z{j}")
-        for i in range(5):
+    for j in range(len(model.words)):
+        z = F.lit(model.prior[j]) + F.col(f"z{j}") * F.least(F.lit(1.0), F.lit(float(EVIDENCE)) / F.col("tokens"))
+        for i in range(len(COUNTS)):
             z = z + F.get(_literal(model.bins[j][i]), F.col("s")[i])
         odds.append(z)
     rows = rows.select("doc_id", "tokens", F.array(*odds).alias("o")).withColumn("o", F.transform("o", lambda x: F.exp(F.greatest(x - F.array_max("o"), F.lit(-60.0)))))
     return rows.select("doc_id", "tokens", F.transform("o", lambda x: x / F.aggregate("o", F.lit(0.0), lambda a, b: a + b)).alias("p"))
 
 
-def _largest_eigenvalue(m: list[list[float]], rounds: int = 200) -> float:
-    v = [1.0] * len(m)
-    value = 0.0
-    for _ in range(rounds):
-        w = [sum(a * b for a, b in zip(row, v, strict=True)) for row in m]
-        value = math.sqrt(sum(x * x for x in w))
-        if not value:
-            return 1.0
-        v = [x / value for x in w]
-    return value
-
-
-def rates(table: DataFrame, targets: list[float], max_steps: int = 60, tolerance: float = 1e-4) -> tuple[Column, list[float]]:
-    """For ``table(tokens, p)``: the expression of a row's rate, and the relative misfit of each domain.
+def rates(table: DataFrame, targets: list[float], max_steps: int = 60, tolerance: float = 1e-3, write_every: int = 8) -> tuple[DataFrame, list[float]]:
+    """``table(tokens, p, ...)`` with a rate for each row, and the misfit of each domain as a share of all tokens.
 
     Minimises half the sum over domains of (total - target)^2 / (all tokens * present total), in the metric that weights a document by its tokens, from
-    rates of 1: step size one over the largest eigenvalue, then projection onto rates >= 0. Ends when every domain is within ``tolerance`` of its target.
+    rates of 1, by accelerated projected gradient: from the last rates, moved on a little along their last change, a step of one over
+    the problem's largest eigenvalue, then projection onto rates >= 0. Ends when every domain is within ``tolerance`` (of all tokens) of its target. Every ``write_every``
+    steps the rates are written, so that a step folds over few others.
     """
     d = len(targets)
     sums = table.agg(F.sum("tokens").alias("all"), *[F.sum(F.col("tokens") * F.col("p")[i]).alias(f"t{i}") for i in range(d)], *[F.sum(F.col("tokens") * F.col("p")[i] * F.col("p")[j]).alias(f"m{i}_{j}") for i in range(d) for j in range(i, d)]).first()
     if not sums["all"] or not d:
-        return F.lit(1.0), []
+        return table.withColumn("rate", F.lit(1.0)), []
     total = float(sums["all"])
     present = [max(sums[f"t{i}"] / total, 1e-12) for i in range(d)]
     gram = [[sums[f"m{min(i, j)}_{max(i, j)}"] / total / math.sqrt(present[i] * present[j]) for j in range(d)] for i in range(d)]
-    step = 1 / _largest_eigenvalue(gram)
+    step = 1 / max(float(np.linalg.eigvalsh(gram)[-1]), 1e-9)
     aims = [t / total for t in targets]
-    steps: list[list[float]] = []
+    steps: list[list[float]] = []  # momentum, then a weight for each domain
 
-    def rate() -> Column:
+    def states() -> Column:
+        """struct<last, now>: the rates before and after the last step."""
+        start = F.struct(F.col("_last").alias("last"), F.col("_now").alias("now"))
         if not steps:
-            return F.lit(1.0)
-        flat = F.expr("array(" + ",".join("array(" + ",".join(f"{v!r}D" for v in s) + ")" for s in steps) + ")")
-        return F.aggregate(flat, F.lit(1.0), lambda r, s: F.greatest(F.lit(0.0), r - F.aggregate(F.zip_with(F.col("p"), s, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)))
-
-    for _ in range(max_steps):
-        r = rate()
-        got = table.select((F.col("tokens") * r).alias("x"), "p").agg(*[F.sum(F.col("x") * F.col("p")[i]).alias(f"t{i}") for i in range(d)]).first()
-        miss = [got[f"t{i}"] / total - aims[i] for i in range(d)]
-        off = [abs(m) / max(a, 1e-9) for m, a in zip(miss, aims, strict=True)]
+            return start
+        flat = F.expr("array(" + ",".join("array(" + ",".join(f"{float(v)!r}D" for v in s) + ")" for s in steps) + ")")
+
+        def fold(s: Column, g: Column) -> Column:
+            moved = s["now"] + g[0] * (s["now"] - s["last"])
+            for i in range(d):
+                moved = moved - g[i + 1] * F.col("p")[i]
+            return F.struct(s["now"].alias("last"), F.greatest(F.lit(0.0), moved).alias("now"))
+
+        return F.aggregate(flat, start, fold)
+
+    columns = table.columns
+    table = table.withColumns({"_last": F.lit(1.0), "_now": F.lit(1.0)})
+    t = 1.0
+    for k in range(max_steps):
+        after = (1 + math.sqrt(1 + 4 * t * t)) / 2
+        momentum, t = (t - 1) / after, after
+        s = F.col("s")
+        rows = table.select("tokens", "p", "_last", "_now", states().alias("s")).select("p", (F.col("tokens") * s["now"]).alias("x"), (F.col("tokens") * (s["now"] + momentum * (s["now"] - s["last"]))).alias("y"))
+        got = rows.agg(*[F.sum(F.col(c) * F.col("p")[i]).alias(f"{c}{i}") for c in "xy" for i in range(d)]).first()
+        off = [abs(got[f"x{i}"] / total - a) for i, a in enumerate(aims)]
         if max(off) < tolerance:
             break
-        steps.append([step * m / q for m, q in zip(miss, present, strict=True)])
-    return rate(), off
+        steps.append([momentum, *[float(step * (got[f"y{i}"] / total - aims[i]) / present[i]) for i in range(d)]])
+        if k % write_every == write_every - 1:
+            table = stash(table.withColumn("s", states()).select(*columns, F.col("s.last").alias("_last"), F.col("s.now").alias("_now")), "rates")
+            steps = []
+    return table.withColumn("s", states()).select(*columns, F.col("s.now").alias("rate")), off
 
 
 def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], per_domain: int = 1500, whole: str | None = None) -> DataFrame:
@@ -178,9 +193,9 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], per_dom
         targets = [p if i == k else min(p, present[k] * w / max(given[k], 1e-9)) for i, (p, w) in enumerate(zip(present, given, strict=True))]
     else:
         targets = [w / sum(given) * sum(present) for w in given]
-    rate, _ = rates(table, targets)
+    table, _ = rates(table, targets)
     names = F.array(*[F.lit(d) for d in model.domains])
-    return table.select("doc_id", "tokens", F.get(names, F.array_position("p", F.array_max("p")).cast("int") - 1).alias("domain"), "p", rate.alias("rate"))
+    return table.select("doc_id", "tokens", F.get(names, F.array_position("p", F.array_max("p")).cast("int") - 1).alias("domain"), "p", "rate")
 
 
 def label_domains(labels: DataFrame) -> DataFrame:
