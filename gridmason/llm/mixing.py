@@ -4,13 +4,14 @@ A classifier learned from a labelled table (naive Bayes over hashed words and bi
 a posterior over domains. Nonnegative document rates r are then fitted by projected gradient least squares so that the
 expected token totals of the domains, sum of r * tokens * posterior, match the targets.
 
-A gradient step needs one residual per domain, whatever the number of documents; a document's rate is the fold of all steps so far over
-its posterior, so an iteration is one aggregation over the table of posteriors and nothing is written in between.
+A gradient step needs one number per domain, whatever the number of documents; a document's rate follows from these and its
+posterior, so an iteration is one aggregation over the table of posteriors and nothing is written in between.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -121,61 +122,63 @@ def posteriors(docs: DataFrame, model: Classifier) -> DataFrame:
     return rows.select("doc_id", "tokens", F.transform("o", lambda x: x / F.aggregate("o", F.lit(0.0), lambda a, b: a + b)).alias("p"))
 
 
-def rates(table: DataFrame, targets: list[float], max_steps: int = 60, tolerance: float = 1e-3, write_every: int = 8) -> tuple[DataFrame, list[float]]:
-    """``table(tokens, p, ...)`` with a rate for each row, and the misfit of each domain as a share of all tokens.
+def rates(table: DataFrame, targets: list[float], max_steps: int = 100, tolerance: float = 1e-4) -> tuple[DataFrame, list[float]]:
+    """``table(tokens, p, ...)`` with a rate for each row, and the misfit of each domain relative to its target.
 
-    Minimises half the sum over domains of (total - target)^2 / (all tokens * present total), in the metric that weights a document by its tokens, from
-    rates of 1, by accelerated projected gradient: from the last rates, moved on a little along their last change, a step of one over
-    the problem's largest eigenvalue, then projection onto rates >= 0. Ends when every domain is within ``tolerance`` (of all tokens) of its target. Every ``write_every``
-    steps the rates are written, so that a step folds over few others.
+    Minimises half the sum over domains of (total - target)^2 / (all tokens * present total), in the metric that weights a document by its tokens, by a
+    projected gradient step from rates of 1 whose gradient is that at its own end: rate = max(0, 1 - g . p). The longer the step, the closer the
+    minimum; g is found by Newton steps, each one aggregation or a few, while the step is lengthened. Ends when every domain is within ``tolerance`` of its target, as a
+    share of that target, or after ``max_steps`` aggregations (no rates may meet the targets): then the best rates seen are returned, and their misfits tell what is missed.
     """
     d = len(targets)
-    sums = table.agg(F.sum("tokens").alias("all"), *[F.sum(F.col("tokens") * F.col("p")[i]).alias(f"t{i}") for i in range(d)], *[F.sum(F.col("tokens") * F.col("p")[i] * F.col("p")[j]).alias(f"m{i}_{j}") for i in range(d) for j in range(i, d)]).first()
-    if not sums["all"] or not d:
+    if not d:
         return table.withColumn("rate", F.lit(1.0)), []
-    total = float(sums["all"])
-    present = [max(sums[f"t{i}"] / total, 1e-12) for i in range(d)]
-    gram = [[sums[f"m{min(i, j)}_{max(i, j)}"] / total / math.sqrt(present[i] * present[j]) for j in range(d)] for i in range(d)]
-    step = 1 / max(float(np.linalg.eigvalsh(gram)[-1]), 1e-9)
-    aims = [t / total for t in targets]
-    steps: list[list[float]] = []  # momentum, then a weight for each domain
-
-    def states() -> Column:
-        """struct<last, now>: the rates before and after the last step."""
-        start = F.struct(F.col("_last").alias("last"), F.col("_now").alias("now"))
-        if not steps:
-            return start
-        flat = F.expr("array(" + ",".join("array(" + ",".join(f"{float(v)!r}D" for v in s) + ")" for s in steps) + ")")
-
-        def fold(s: Column, g: Column) -> Column:
-            moved = s["now"] + g[0] * (s["now"] - s["last"])
-            for i in range(d):
-                moved = moved - g[i + 1] * F.col("p")[i]
-            return F.struct(s["now"].alias("last"), F.greatest(F.lit(0.0), moved).alias("now"))
-
-        return F.aggregate(flat, start, fold)
-
-    columns = table.columns
-    table = table.withColumns({"_last": F.lit(1.0), "_now": F.lit(1.0)})
-    t = 1.0
-    for k in range(max_steps):
-        after = (1 + math.sqrt(1 + 4 * t * t)) / 2
-        momentum, t = (t - 1) / after, after
-        s = F.col("s")
-        rows = table.select("tokens", "p", "_last", "_now", states().alias("s")).select("p", (F.col("tokens") * s["now"]).alias("x"), (F.col("tokens") * (s["now"] + momentum * (s["now"] - s["last"]))).alias("y"))
-        got = rows.agg(*[F.sum(F.col(c) * F.col("p")[i]).alias(f"{c}{i}") for c in "xy" for i in range(d)]).first()
-        off = [abs(got[f"x{i}"] / total - a) for i, a in enumerate(aims)]
-        if max(off) < tolerance:
-            break
-        steps.append([momentum, *[float(step * (got[f"y{i}"] / total - aims[i]) / present[i]) for i in range(d)]])
-        if k % write_every == write_every - 1:
-            table = stash(table.withColumn("s", states()).select(*columns, F.col("s.last").alias("_last"), F.col("s.now").alias("_now")), "rates")
-            steps = []
-    return table.withColumn("s", states()).select(*columns, F.col("s.now").alias("rate")), off
-
-
-def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], per_domain: int = 1500, whole: str | None = None) -> DataFrame:
-    """``docs(doc_id, text)`` -> doc_id, tokens, domain (the likeliest), p, rate.
+    pairs = [(i, j) for i in range(d) for j in range(i, d)]
+
+    def rate(g: np.ndarray) -> Column:
+        return F.greatest(F.lit(0.0), F.lit(1.0) - sum((F.lit(float(x)) * F.col("p")[i] for i, x in enumerate(g)), F.lit(0.0)))
+
+    def sums(g: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """All tokens; the domains' totals; the products of the posteriors over the documents with a rate above 0."""
+        rows = table.select("p", "tokens", rate(g).alias("r"))
+        on = F.when(F.col("r") > 0, F.col("tokens")).otherwise(0)
+        got = rows.agg(F.sum("tokens").alias("all"), *[F.sum(F.col("tokens") * F.col("r") * F.col("p")[i]).alias(f"t{i}") for i in range(d)], *[F.sum(on * F.col("p")[i] * F.col("p")[j]).alias(f"m{i}_{j}") for i, j in pairs]).first()
+        gram = [[got[f"m{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(d)] for i in range(d)]
+        return float(got["all"] or 0), np.array([got[f"t{i}"] or 0.0 for i in range(d)]), np.array(gram)
+
+    g = np.zeros(d)
+    total, at, gram = sums(g)
+    if not total:
+        return table.withColumn("rate", F.lit(1.0)), []
+    aims, at, gram = np.array(targets) / total, at / total, gram / total
+    present = np.maximum(at, 1e-12)
+
+    def size(v: np.ndarray) -> float:
+        return math.sqrt(float((v * v / present).sum()))
+
+    best, length, steps = (size(at - aims), g, at), 1.0, 1
+    while steps < max_steps and (np.abs(at - aims) >= tolerance * np.maximum(aims, 1e-9)).any():
+        off = present * g / length - (at - aims)
+        move = -np.linalg.solve(np.diag(present) / length + gram, off)
+        part, old = 1.0, g
+        while True:
+            g = old + part * move
+            _, at, gram = sums(g)
+            at, gram, steps = at / total, gram / total, steps + 1
+            now = present * g / length - (at - aims)
+            if size(now) <= size(off) * (1 - 0.1 * part) or part < 0.01 or steps >= max_steps:
+                break
+            part /= 3
+        best = min(best, (size(at - aims), g, at), key=lambda x: x[0])
+        if size(now) < max(0.05 * size(at - aims), 1e-12):
+            length = min(10 * length, 1e12)
+    if (np.abs(at - aims) >= tolerance * np.maximum(aims, 1e-9)).any():
+        _, g, at = best
+    return table.withColumn("rate", rate(g)), [float(x) for x in np.abs(at - aims) / np.maximum(aims, 1e-9)]
+
+
+def mix_with_misfit(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], per_domain: int = 1500, whole: str | None = None) -> tuple[DataFrame, dict[str, float]]:
+    """``docs(doc_id, text)`` -> doc_id, tokens, domain (the likeliest), p, rate; and by how much of its target each domain's expected total misses it.
 
     Targets are ``weights`` (scaled to sum 1) times all tokens. With ``whole``, a domain's name, that domain keeps its present expected total and
     every other one is thinned to its weight relative to it, never raised: rates then only drop what there is too much of. Domains without a weight have target 0;
@@ -185,7 +188,7 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], per_dom
     table = stash(posteriors(docs, model), "posteriors")
     given = [weights.get(d, 0.0) for d in model.domains]
     if not sum(given):
-        return table.select("doc_id", "tokens", F.lit(None).cast("string").alias("domain"), "p", F.lit(1.0).alias("rate"))
+        return table.select("doc_id", "tokens", F.lit(None).cast("string").alias("domain"), "p", F.lit(1.0).alias("rate")), {}
     sums = table.agg(*[F.coalesce(F.sum(F.col("tokens") * F.col("p")[i]), F.lit(0.0)).alias(f"t{i}") for i in range(len(given))]).first()
     present = [sums[f"t{i}"] for i in range(len(given))]
     if whole in model.domains:
@@ -193,9 +196,17 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], per_dom
         targets = [p if i == k else min(p, present[k] * w / max(given[k], 1e-9)) for i, (p, w) in enumerate(zip(present, given, strict=True))]
     else:
         targets = [w / sum(given) * sum(present) for w in given]
-    table, _ = rates(table, targets)
+    table, off = rates(table, targets)
     names = F.array(*[F.lit(d) for d in model.domains])
-    return table.select("doc_id", "tokens", F.get(names, F.array_position("p", F.array_max("p")).cast("int") - 1).alias("domain"), "p", "rate")
+    return table.select("doc_id", "tokens", F.get(names, F.array_position("p", F.array_max("p")).cast("int") - 1).alias("domain"), "p", "rate"), dict(zip(model.domains, off, strict=False))
+
+
+def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], per_domain: int = 1500, whole: str | None = None, tolerance: float = 1e-4) -> DataFrame:
+    """The table of ``mix_with_misfit``; warns of targets that it misses by ``tolerance`` or more of themselves."""
+    table, off = mix_with_misfit(docs, labelled, weights, per_domain, whole)
+    if missed := {d: m for d, m in off.items() if m >= tolerance}:
+        warnings.warn("targets not met, by a share of each: " + ", ".join(f"{d} {m:.2g}" for d, m in missed.items()), stacklevel=2)
+    return table
 
 
 def label_domains(labels: DataFrame) -> DataFrame:

@@ -384,7 +384,7 @@ def test_mixing(spark):
     assert sum(right) / len(right) > 0.95
     total = sum(r["tokens"] for r in got)
     for j, d in enumerate(("clean", "low", "toxic")):
-        assert sum(r["rate"] * r["tokens"] * r["p"][j] for r in got) == pytest.approx(weights[d] * total, abs=2e-3 * total)
+        assert sum(r["rate"] * r["tokens"] * r["p"][j] for r in got) == pytest.approx(weights[d] * total, rel=2e-3)
     thin = mixing.mix(docs, labelled, {"clean": 0.9, "low": 0.05, "toxic": 0.05}, whole="clean").collect()
     assert all(r["rate"] > 0.98 for r in thin if r["domain"] == "clean" and r["doc_id"] is not None and r["doc_id"] < 1000) and max(r["rate"] for r in thin) < 1.01
     assert {r["rate"] for r in mixing.mix(docs, labelled.limit(0), weights).collect()} == {1.0}
@@ -410,6 +410,33 @@ def test_rates_match_numpy(spark):
     assert np.allclose(n * got @ p, aims, atol=1e-4 * n.sum()) and np.allclose(n * rate @ p, aims, rtol=1e-5)
 
 
+@pytest.mark.parametrize(("spread", "shares", "tolerance"), [(1, [0.7, 0.25, 0.05], 1e-6), (0.1, [0.9, 0.0992, 0.0008], 1e-4)])
+def test_small_targets_are_met(spark, spread, shares, tolerance):
+    """Also one that is less than a thousandth of all tokens."""
+    r = np.random.default_rng(3)
+    p, n = r.dirichlet([spread] * 3, 200), r.integers(1, 500, 200)
+    table = spark.createDataFrame([(int(a), [float(x) for x in b]) for a, b in zip(n, p, strict=True)], "tokens long, p array<double>")
+    aims = np.array(shares) * n.sum()
+    fitted, off = mixing.rates(table, aims.tolist(), tolerance=tolerance)
+    got = fitted.collect()
+    sums = sum(x["rate"] * x["tokens"] * np.array(x["p"]) for x in got)
+    assert max(off) < tolerance and min(x["rate"] for x in got) >= 0 and np.allclose(sums, aims, rtol=tolerance, atol=0)
+
+
+def test_missed_targets_are_told(spark):
+    docs = spark.createDataFrame([(i, f"same words in each {i}") for i in range(40)], "doc_id long, text string")
+    labelled = spark.createDataFrame([(i, "clean" if i % 2 else "toxic") for i in range(40)], "doc_id long, domain string")
+    weights = {"clean": 0.99, "toxic": 0.01}
+    table, off = mixing.mix_with_misfit(docs, labelled, weights)
+    got = table.collect()
+    total = sum(x["tokens"] for x in got)
+    for j, d in enumerate(("clean", "toxic")):
+        aim = weights[d] * total
+        assert off[d] == pytest.approx(abs(sum(x["rate"] * x["tokens"] * x["p"][j] for x in got) - aim) / aim) and off[d] > 0.01
+    with pytest.warns(UserWarning, match="toxic"):
+        mixing.mix(docs, labelled, weights)
+
+
 def test_crc_mod(spark):
     got = [r["m"] for r in spark.createDataFrame([("12",), (None,)], "x string").select(crc_mod(F.col("x"), 4).alias("m")).collect()]
     assert got == [zlib.crc32(b"12") % 4, None]
