@@ -42,8 +42,28 @@ def _dominates(a: Filling, b: Filling) -> bool:
     return sum(b) <= sum(a) and place(0)
 
 
+def fullest(gap: int, counts: dict[int, int]) -> Filling:
+    """A filling of ``gap`` with the highest sum that the lengths that remain can reach, by however many items."""
+    mask = (1 << (gap + 1)) - 1
+    reach, before = 1, []  # sums so far, as a bit set; (length, items taken at once, sums without them)
+    for s in sorted((s for s, n in counts.items() if n > 0 and s <= gap), reverse=True):
+        left, k = min(counts[s], gap // s), 1
+        while left and not reach >> gap & 1:
+            k = min(k, left)
+            before.append((s, k, reach))
+            reach |= reach << (s * k) & mask
+            left, k = left - k, 2 * k
+    total, out = reach.bit_length() - 1, []
+    for s, k, sums in reversed(before):
+        if not sums >> total & 1:
+            out += [s] * k
+            total -= s * k
+    return tuple(sorted(out, reverse=True))
+
+
 def fillings(gap: int, counts: dict[int, int], most_items: int = 4, most: int = 6) -> list[Filling]:
-    """Undominated fillings of ``gap`` from the lengths that remain, best fit first, at most ``most``.
+    """Fillings of ``gap`` from the lengths that remain, best fit first, about ``most``: undominated ones of at most ``most_items`` items, topped up
+    with what their gap still holds; where none of these fills it, the fullest of any number of items comes first.
 
     Sums that k items reach are a bit set; the highest reachable one is the best fit. Fillings are tried by falling sum and
     falling largest item: an item in place of several with its sum dominates them, and what is hard to place goes first.
@@ -86,36 +106,50 @@ def fillings(gap: int, counts: dict[int, int], most_items: int = 4, most: int =
                 if len(found) >= most:
                     break
         total -= 1
-    return found or [()]
+    out = []
+    for f in found:
+        if sum(f) < gap:
+            f = tuple(sorted((*f, *fullest(gap - sum(f), {s: n - f.count(s) for s, n in counts.items()})), reverse=True))
+        out.append(f)
+    if not found or sum(found[0]) < gap:
+        out.append(fullest(gap, counts))
+    return sorted(dict.fromkeys(out), key=sum, reverse=True)
 
 
 def best_fit(hist: dict[int, int], capacity: int) -> list[tuple[int, Filling]]:
-    """Best-fit decreasing over a histogram: bins with the same content are one entry [room -> {filling: bins}]."""
+    """Best-fit decreasing over a histogram: bins with the same content are one entry [room -> {filling: bins}].
+
+    An item goes to the smallest room that holds it, and the next of its length to the room that this leaves, as long as that holds one: so each bin
+    taken gets as many as fit, or what is left of them.
+    """
     rooms: dict[int, dict[Filling, int]] = {}
+
+    def put(room: int, f: Filling, s: int, k: int, n: int) -> None:
+        to = rooms.setdefault(room - k * s, {})
+        to[(*f, *(s,) * k)] = to.get((*f, *(s,) * k), 0) + n
+
     for s in sorted(hist, reverse=True):
         left = hist[s]
-        room = s
-        while left and room <= capacity:
-            for f in list(rooms.get(room, {})):
-                k = min(room // s, 1)
-                n = min(left // k, rooms[room][f])
+        for room in sorted(r for r in rooms if r >= s):
+            fs = rooms.pop(room)
+            for f, bins in fs.items():
+                k = room // s
+                n = min(left // k, bins)
                 if n:
-                    rooms[room][f] -= n
-                    if not rooms[room][f]:
-                        del rooms[room][f]
-                    to = rooms.setdefault(room - s, {})
-                    to[(*f, s)] = to.get((*f, s), 0) + n
-                    left -= n
-                if not left:
-                    break
-            room += 1
-            if room > capacity and left:  # a new bin for each of as many as then fill up together
-                k = min(left, capacity // s)
-                n = left // k
-                to = rooms.setdefault(capacity - k * s, {})
-                to[(s,) * k] = to.get((s,) * k, 0) + n
-                left -= n * k
-                room = s if left else room
+                    put(room, f, s, k, n)
+                    left -= n * k
+                if n < bins and left:  # the last bin taken gets fewer
+                    put(room, f, s, left, 1)
+                    n, left = n + 1, 0
+                if n < bins:
+                    put(room, f, s, 0, bins - n)
+            if not left:
+                break
+        k = capacity // s
+        if left // k:
+            put(capacity, (), s, k, left // k)
+        if left % k:
+            put(capacity, (), s, left % k, 1)
     return [(n, f) for fs in rooms.values() for f, n in fs.items()]
 
 

@@ -141,6 +141,39 @@ def test_bin_completion_is_near_exact():
     assert sum(t for t, _ in packing.complete_bins(big)) <= sum(t for t, _ in packing.best_fit(big, 1024))
 
 
+def test_packing_is_no_worse_than_best_fit_decreasing():
+    import bisect
+    import random
+
+    def plain(hist, capacity):
+        rooms = []
+        for s in sorted(hist, reverse=True):
+            for _ in range(hist[s]):
+                i = bisect.bisect_left(rooms, s)
+                bisect.insort(rooms, (rooms.pop(i) if i < len(rooms) else capacity) - s)
+        return len(rooms)
+
+    hists = [({824: 10, 30: 60}, 1024)]
+    for seed in range(60):
+        r = random.Random(seed)
+        hist = Counter(r.choice([r.randint(1, 200), r.randint(1, 20)]) for _ in range(r.randint(1, 200)))
+        hist[r.randint(1, 15)] += r.randint(50, 400)  # a hot short length
+        hists.append((hist, 200))
+    for hist, capacity in hists:
+        for plan in (packing.best_fit(hist, capacity), packing.complete_bins(hist, capacity, nodes=200)):
+            used = Counter()
+            for times, f in plan:
+                assert sum(f) <= capacity
+                used.update({s: times * f.count(s) for s in set(f)})
+            assert used == Counter(hist) and sum(t for t, _ in plan) <= plain(hist, capacity)
+
+
+def test_fillings_take_as_many_items_as_fit():
+    assert packing.fillings(200, {30: 60})[0] == (30,) * 6
+    assert sum(packing.fillings(200, {33: 60, 17: 60})[0]) == 200
+    assert packing.fullest(100, {30: 2, 7: 3}) == (30, 30, 7, 7, 7) and packing.fullest(5, {6: 1}) == ()
+
+
 def test_fillings_are_undominated():
     found = packing.fillings(10, {7: 1, 3: 2, 6: 1, 4: 1, 1: 5})
     assert found[0] in ((7, 3), (6, 4)) and all(sum(f) <= 10 for f in found)
