@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -80,6 +81,17 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def smallest(df: DataFrame, by: str, h: str, k: int, counts: dict[str, int]) -> DataFrame:
+    """At most k rows of df for each value of ``by`` (a class of which there are few), those with the smallest ``h``: 64-bit hashes, all different. ``counts``: rows by class.
+
+    A class with more rows is first cut at the hash under which about twice as many rows are as are wanted, so that the window sorts
+    a bounded number of rows of a class, whatever its size. (Should too few hashes lie there, fewer rows than k come out.)"""
+    cut = [(c, int(-(1 << 63) + min(1.0, (2 * k + 50) / n) * ((1 << 64) - 1025))) for c, n in counts.items()]
+    cuts = df.sparkSession.createDataFrame(cut, f"{by} string, _cut bigint")
+    under = df.join(F.broadcast(cuts), by).filter(F.col(h) <= F.col("_cut")).drop("_cut")
+    return under.withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy(h))).filter(F.col("_r") <= k).drop("_r")
+
+
 #: The most rows of (id) that are broadcast to filter a scan; beyond it the same semi-join is shuffled.
 BROADCAST_IDS = 2_000_000
 

@@ -456,18 +456,81 @@ def test_small_targets_are_met(spark, spread, shares, tolerance):
     assert max(off) < tolerance and min(x["rate"] for x in got) >= 0 and np.allclose(sums, aims, rtol=tolerance, atol=0)
 
 
+@pytest.mark.parametrize("most", [float("inf"), 1.0])
+def test_rates_are_the_nearest_to_one(spark, most):
+    """Against plain gradient steps in numpy on the multipliers of: least change of the rates, in tokens, that meets the targets; some documents keep a rate of 1."""
+    r = np.random.default_rng(5)
+    p, n = r.dirichlet([0.3] * 3, 300), r.integers(1, 500, 300)
+    held = np.arange(300) % 7 == 0
+    table = spark.createDataFrame([(i, int(a), [float(x) for x in b], bool(h)) for i, (a, b, h) in enumerate(zip(n, p, held, strict=True))], "i int, tokens long, p array<double>, h boolean")
+    now = n @ p
+    aims = now * np.array([0.9, 0.8, 0.5])
+    fitted, off = mixing.rates(table, aims.tolist(), tolerance=1e-6, fixed=F.col("h"), most=most)
+    got = np.array([x["rate"] for x in fitted.orderBy("i").collect()])
+    multipliers = np.zeros(3)
+    for _ in range(40_000):
+        rate = np.where(held, 1, np.clip(1 - p @ multipliers, 0, most))
+        multipliers += ((n * rate) @ p - aims) / now
+    assert max(off) < 1e-6 and (got[held] == 1).all() and got.max() <= most
+    assert np.allclose(got, rate, atol=1e-4)
+
+
+def test_mixing_awkward_rows(spark):
+    docs = frame(spark).withColumn("tokens", F.lit("x")).withColumn("rate", F.lit(-1)).withColumn("domain", F.lit("none"))
+    ids = [r["doc_id"] for r in docs.collect()]
+    labelled = spark.createDataFrame([(i, "abc"[k % 3]) for k, i in enumerate(ids)] + [(ids[0], "a"), (None, "b"), (12345678, "c")], "doc_id long, domain string")
+    got = mixing.mix(docs, labelled, {"a": 0.4, "b": 0.3, "c": 0.3}).collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"]) for r in got if r["doc_id"] is not None) == sorted((i is None, i) for i in ids if i is not None) and len(got) == len(ids)
+    assert all(r["rate"] >= 0 and abs(sum(r["p"]) - 1) < 1e-9 and set(r["misfit"]) == {"a", "b", "c"} for r in got)
+    by_id = {}
+    for r in got:  # repeated rows are judged alike
+        assert by_id.setdefault((r["doc_id"], r["tokens"]), (r["p"], r["rate"])) == (r["p"], r["rate"])
+    assert max(r["tokens"] for r in got) >= 30_000
+    same = spark.createDataFrame([(i, "one text") for i in range(6)], "doc_id long, text string")
+    even = mixing.mix(same, same.select("doc_id", F.when(F.col("doc_id") % 2 == 0, "b").otherwise("a").alias("domain")), {"a": 0.5, "b": 0.5}).collect()
+    assert all(abs(r["p"][0] - 0.5) < 1e-3 for r in even) and len({r["domain"] for r in even}) == 1
+
+
+def test_classifier_learns_rare_domains(spark):
+    """Domains of few documents, inflected words, held-out rows."""
+    import random
+
+    r = random.Random(2)
+    rows = []
+    for i in range(600):
+        kind = "toxic" if i % 20 == 0 else "clean"
+        w = words(8000 + i, 40).split()
+        if kind == "toxic":
+            w = [*w, "vilest" + r.choice(["er", "ing", "ed"]), "GRUNTLE,"]
+        rows.append((i, " ".join(w), kind))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labelled = spark.createDataFrame([(i, k) for i, _, k in rows if i < 400], "doc_id long, domain string")
+    told = {x["doc_id"]: x["p"][1] > 0.5 for x in mixing.posteriors(docs, mixing.fit(docs, labelled)).collect()}
+    assert all(told[i] == (k == "toxic") for i, _, k in rows if i >= 400)
+
+
+def test_smallest(spark):
+    from gridmason.llm.common import smallest
+
+    df = spark.range(20_000).select(F.when(F.col("id") % 10 == 0, "x").otherwise("y").alias("c"), F.xxhash64("id").alias("h"))
+    got = smallest(df, "c", "h", 100, {"x": 2000, "y": 18_000}).collect()
+    rows = df.collect()
+    for c in "xy":
+        assert sorted(r["h"] for r in got if r["c"] == c) == sorted(r["h"] for r in rows if r["c"] == c)[:100]
+    assert smallest(df, "c", "h", 5000, {"x": 2000, "y": 18_000}).filter("c = 'x'").count() == 2000
+
+
 def test_missed_targets_are_told(spark):
     docs = spark.createDataFrame([(i, f"same words in each {i}") for i in range(40)], "doc_id long, text string")
     labelled = spark.createDataFrame([(i, "clean" if i % 2 else "toxic") for i in range(40)], "doc_id long, domain string")
     weights = {"clean": 0.99, "toxic": 0.01}
-    table, off = mixing.mix_with_misfit(docs, labelled, weights)
-    got = table.collect()
+    with pytest.warns(UserWarning, match="toxic"):
+        got = mixing.mix(docs, labelled, weights).collect()
+    off = got[0]["misfit"]
     total = sum(x["tokens"] for x in got)
     for j, d in enumerate(("clean", "toxic")):
         aim = weights[d] * total
         assert off[d] == pytest.approx(abs(sum(x["rate"] * x["tokens"] * x["p"][j] for x in got) - aim) / aim) and off[d] > 0.01
-    with pytest.warns(UserWarning, match="toxic"):
-        mixing.mix(docs, labelled, weights)
 
 
 def test_crc_mod(spark):
