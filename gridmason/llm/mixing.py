@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from gridmason.llm.common import smallest, stash
 
 BINS = 8
-#: What may stand around a word.
-EDGES = ".,;:!?\"'()[]"
+#: What stands between words.
+BETWEEN = r"""[ \t\r\n.,;:!?"()\[\]]+"""
 #: So many first letters of a longer word are a key of their own: invented and inflected words share them.
 BEGINNING = 4
 #: Statistics of a text: capitals in a row, digits, symbols, line ends (each as a share of its length), different words (as a share of all), and its length.
@@ -34,24 +34,24 @@ def _literal(values: list[float]) -> Column:
     return F.expr("array(" + ",".join(f"{v!r}D" if math.isfinite(v) else "0D" for v in map(float, values)) + ")")
 
 
+def _words(text: Column) -> Column:
+    return F.split(F.lower(text), BETWEEN)
+
+
 def _described(rows: DataFrame, *keep: str) -> DataFrame:
-    """rows(text, ...) -> tokens (words between white space), s (array<int>: the bins of STATISTICS), keys (array<long>: hashes of the different words without
-    EDGES in lower case, and of the beginnings of longer ones; may hold a null). Whole texts; null text is empty (one token)."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = rows.select(*keep, text.alias("text"), F.split(text, "[ \\t\\r\\n]").alias("ws"))
-    word = lambda w: F.lower(F.btrim(w, F.lit(EDGES)))
-    rows = rows.select(*keep, "text", F.size("ws").cast("long").alias("tokens"), F.array_distinct("ws").alias("ws"))
-    rows = rows.select(*keep, "text", "tokens", F.size("ws").alias("different"), F.array_distinct(F.transform("ws", word)).alias("ws"))
+    """rows(text, ...) -> tokens (words), s (array<int>: the bins of STATISTICS), keys (array<long>: hashes of the different words in lower case, and of the different
+    beginnings of longer ones; may hold a null). Whole texts; null text is empty (one token)."""
+    rows = rows.select(*keep, F.coalesce(F.col("text"), F.lit("")).alias("text")).select(*keep, "text", _words(F.col("text")).alias("ws"))
+    start = lambda w: F.when(F.length(w) > BEGINNING, F.xxhash64(F.substring(w, 1, BEGINNING), F.lit("~")))
+    rows = rows.select(*keep, "text", F.size("ws").cast("long").alias("tokens"), F.array_distinct(F.transform("ws", lambda w: F.xxhash64(w))).alias("words"), F.array_distinct(F.transform("ws", start)).alias("starts"))
     n = F.greatest(F.length("text"), F.lit(1))
 
     def share(x: Column, of: Column) -> Column:
         return F.least(F.floor(F.log2(1 + x / of * 255)), F.lit(BINS - 1)).cast("int")
 
     counted = [share(F.regexp_count("text", F.lit(p)), n) for p in ("[A-Z][A-Z]", "[0-9]", "[%*#$&|!=_~^]", "\n")]
-    s = F.array(*counted, share(F.col("different"), F.col("tokens")), F.least(F.floor(F.log2(n + 1) / 2), F.lit(BINS - 1)).cast("int"))
-    start = lambda w: F.when(F.length(w) > BEGINNING, F.xxhash64(F.substring(w, 1, BEGINNING), F.lit("~")))
-    keys = F.array_distinct(F.concat(F.transform("ws", lambda w: F.xxhash64(w)), F.transform("ws", start)))
-    return rows.select(*keep, "tokens", s.alias("s"), keys.alias("keys"))
+    s = F.array(*counted, share(F.size("words"), F.col("tokens")), F.least(F.floor(F.log2(n + 1) / 2), F.lit(BINS - 1)).cast("int"))
+    return rows.select(*keep, "tokens", s.alias("s"), F.concat("words", "starts").alias("keys"))
 
 
 class Classifier:
@@ -156,20 +156,21 @@ def fit(docs: DataFrame, labelled: DataFrame, per_domain: int = 1500, ridge: flo
 
 
 def posteriors(docs: DataFrame, model: Classifier) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, tokens (words between white space), p array<double> in the order of model.domains. Whole texts; null text is empty (one token).
+    """docs(doc_id, text) -> doc_id, tokens (words), p array<double> in the order of model.domains. Whole texts; null text is empty (one token).
 
-    A row's keys are looked up and summed in the task that reads it, so that what is shuffled is one row of sums for each document.
+    A row's keys are looked up and summed in the task that reads it, so that what is shuffled is one row of sums for each document. (explode_outer: for an inner
+    one the optimizer would work the keys out twice, to leave out empty arrays, of which there are none.)
     """
     rows = docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id())
     if not model.domains:
-        return rows.select("doc_id", F.size(F.split(F.coalesce("text", F.lit("")), "[ \\t\\r\\n]")).cast("long").alias("tokens"), F.array().cast("array<double>").alias("p"))
+        return rows.select("doc_id", F.size(_words(F.coalesce("text", F.lit("")))).cast("long").alias("tokens"), F.array().cast("array<double>").alias("p"))
     rows = _described(rows, "row", "doc_id")
     names = [f"z{j}" for j in range(len(model.prior))]
     given = [sum((F.get(_literal(model.bins[j][i]), F.col("s")[i]) for i in range(len(STATISTICS))), F.lit(model.prior[j])) for j in range(len(names))]
     rows = rows.select("row", "doc_id", "tokens", "keys", *[z.alias(f"b{j}") for j, z in enumerate(given)])
     if names and model.keys:
         table = docs.sparkSession.createDataFrame([(k, *w) for k, w in model.keys.items()], "key bigint, " + ", ".join(f"{n} double" for n in names))
-        hits = rows.select("row", "doc_id", "tokens", *[f"b{j}" for j in range(len(names))], F.explode("keys").alias("key")).join(F.broadcast(table), "key", "left")  # as many keys as the bounded sample gives
+        hits = rows.select("row", "doc_id", "tokens", *[f"b{j}" for j in range(len(names))], F.explode_outer("keys").alias("key")).join(F.broadcast(table), "key", "left")  # as many keys as the bounded sample gives
         rows = hits.groupBy("row", "doc_id", "tokens", *[f"b{j}" for j in range(len(names))]).agg(*[F.coalesce(F.sum(n), F.lit(0.0)).alias(n) for n in names])
         odds = [F.col(f"b{j}") + F.col(n) for j, n in enumerate(names)]
     else:
