@@ -282,7 +282,7 @@ def read_pages(pages: DataFrame, parsers: dict[str, Callable[[str, str | None],
     return pages.withColumn("page", run("url", "html", by))
 
 
-#: Address patterns: where a portal's city pages lie. {prefix}: property, or the kind of commercial space.
+# Address patterns, where a portal's city pages lie. {prefix}: property, or the kind of commercial space.
 SEARCH_URLS = {
     "magicbricks": ("https://www.magicbricks.com/{prefix}-for-{deal}-in-{city}-{suffix}", "?page={page}"),
     "squareyards": ("https://www.squareyards.com/new-projects-in-{city}", "?page={page}"),
