@@ -17,22 +17,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from gridmason.llm.common import small_batches
+from gridmason.llm.common import small_batches, smallest, stash
 
-UNKNOWN, SPACE, DIGIT, MARK = 0, 1, 2, 3
+SPACE, DIGIT, MARK, LETTER = 1, 2, 3, 4
 SCHEMA = "lang_pred string, score double, phrases_per_char double"
 
 
 @lru_cache(1)
 def _kinds() -> np.ndarray:
-    """By code point: 0 other, 1 white space, 2 digit, 3 mark, 4 letter; unassigned and other symbols are marks."""
+    """By code point: 1 white space, 2 digit, 3 mark, 4 letter; unassigned and other symbols are marks."""
     out = np.full(0x110000, MARK, np.uint8)
     for i in range(0x110000):
         c = chr(i)
         if c.isalpha():
-            out[i] = 4
+            out[i] = LETTER
         elif c.isspace():
             out[i] = SPACE
         elif c.isdigit():
@@ -44,16 +43,24 @@ def _points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-@lru_cache(4)
-def _classes(alphabet: str) -> np.ndarray:
-    """Class of each code point: letters of the alphabet have their own, in either case; the rest by kind."""
-    kinds = _kinds()
-    out = np.where(kinds == 4, UNKNOWN, kinds).astype(np.uint8)
+#: Letters with a class of their own in a language, and classes that its further letters share by code point.
+OWN, SHARED = 200, 32
+
+
+def _classes(sample: str) -> tuple[np.ndarray, int]:
+    """The class of each code point, and their number: the sample's OWN commonest letters have one each, in either case; other letters one of SHARED; the rest goes by kind."""
+    counts: dict[str, int] = {}
+    for c in sample.lower():
+        if c.isalpha() and len(c.upper()) == 1:
+            counts[c] = counts.get(c, 0) + 1
+    alphabet = sorted(sorted(counts, key=lambda c: (-counts[c], c))[:OWN])
+    kinds, first = _kinds(), 3 + len(alphabet)
+    out = np.where(kinds == 4, first + np.arange(0x110000) % SHARED, kinds - 1).astype(np.uint8)
     for i, c in enumerate(alphabet):
         for x in {c, c.upper(), c.lower()}:
             if len(x) == 1:
-                out[ord(x)] = 4 + i
-    return out
+                out[ord(x)] = 3 + i
+    return out, first + SHARED
 
 
 def suffix_automaton(seq: list[int], width: int) -> np.ndarray:
@@ -93,45 +100,46 @@ def suffix_automaton(seq: list[int], width: int) -> np.ndarray:
 class Model:
     """``samples``: text of each language. Pickles as those; the tables are built where they are used."""
 
-    def __init__(self, samples: dict[str, str], alphabet_size: int = 120):
+    def __init__(self, samples: dict[str, str]):
         self.langs = sorted(samples)
         self.samples = [samples[k] for k in self.langs]
-        counts: dict[str, int] = {}
-        for s in self.samples:
-            for c in s.lower():
-                if c.isalpha() and len(c.upper()) == 1:
-                    counts[c] = counts.get(c, 0) + 1
-        self.alphabet = "".join(sorted(sorted(counts, key=lambda c: (-counts[c], c))[:alphabet_size]))
         self.built = None
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"built": None}
 
-    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-        """One flat table of all languages; entries are (row of the next state << 1) | whether a phrase starts with this character."""
+    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """One flat table of all languages; entries are (row of the next state << 1) | whether a phrase starts with this character. Also where texts
+        start in it, the bits of a phrase, and the class of each code point, by language."""
         if self.built is None:
-            width, cls = 4 + len(self.alphabet), _classes(self.alphabet)
-            flat, roots, bits, base = [], [], [], 0
+            flat, roots, bits, classes, base = [], [], [], [], 0
             for text in self.samples:
+                cls, width = _classes(text)
                 seq = cls[_points(text)]
                 table = suffix_automaton(seq.tolist(), width)
                 fresh = len(table)  # where a text starts, and what follows a character that the sample lacks
                 again = np.where(table[0] >= 0, table[0], fresh)
                 table = np.vstack([table, np.full((1, width), -1, np.int32)])
                 to, starts = np.where(table >= 0, table, again), table < 0
-                flat.append((((to.astype(np.int64) * width + base) << 1) | starts).astype(np.int32).reshape(-1))
+                flat.append((((to.astype(np.int64) * width + base) << 1) | starts).reshape(-1))
                 roots.append(fresh * width + base)
                 bits.append(np.log2(max(2, len(seq))))
+                classes.append(cls)
                 base += table.size
-            self.built = np.concatenate(flat), np.array(roots, np.int32), np.array(bits), width
+            kind = np.int32 if base < 1 << 30 else np.int64
+            self.built = np.concatenate(flat).astype(kind), np.array(roots, kind), np.array(bits), np.stack(classes)
         return self.built
 
     def phrases(self, texts: list[str], block: int = 1024) -> np.ndarray:
-        """Phrases of each text (rows) in each language (columns). Phrases also end at every ``block`` characters."""
-        table, roots, _, _ = self.tables()
-        cls = _classes(self.alphabet)
+        """Phrases of each text (rows) in each language (columns).
+
+        Texts are matched in blocks, many in step, each from the start state; then the first characters of every later block are matched again from
+        the state in which the block before it ends, until both ways are in the same state: from there on they are one. A block that ends
+        in another state than thought sends the next one through this once more. The result is that of one pass over the whole text.
+        """
+        table, roots, _, classes = self.tables()
         points = [_points(t) for t in texts]
-        codes = cls[np.concatenate(points)] if points else np.zeros(0, np.uint8)
+        codes = np.ascontiguousarray(classes[:, np.concatenate(points)]) if points else np.zeros((len(roots), 0), np.uint8)
         size = np.array([len(p) for p in points], np.int64)
         n_blocks = -(-size // block)
         owner = np.repeat(np.arange(len(texts)), n_blocks)
@@ -139,6 +147,9 @@ class Model:
         start = (np.cumsum(size) - size)[owner] + k * block
         length = np.minimum(block, size[owner] - k * block)
         order = np.argsort(-length, kind="stable")
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        before = np.where(k > 0, place[np.maximum(np.arange(len(order)) - 1, 0)], -1)[order]
         start, length, owner = start[order], length[order], owner[order]
         active = np.searchsorted(-length, -np.arange(int(length[0]) if len(length) else 0), "left")
         at = np.repeat(roots[:, None] << 1, len(owner), 1)
@@ -146,9 +157,35 @@ class Model:
         for t, m in enumerate(active.tolist()):
             now = at[:, :m]
             np.right_shift(now, 1, out=now)
-            now += codes[start[:m] + t]
+            now += codes[:, start[:m] + t]
             np.take(table, now, out=now, mode="clip")
             count[:, :m] += now & 1
+        alone, alone_ends, ends, after = count.copy(), at >> 1, at >> 1, np.full(len(owner), -1)
+        after[before[before >= 0]] = np.flatnonzero(before >= 0)
+        todo = np.flatnonzero(before >= 0)
+        while len(todo):
+            which, extra = todo, np.zeros((len(roots), len(todo)), np.int32)
+            slot = np.arange(len(todo))
+            true, fresh = ends[:, before[which]], np.repeat(roots[:, None], len(which), 1)
+            changed = []
+            for t in range(block + 1):
+                met, out_of = (true == fresh).all(0), t >= length[which]
+                for done, end in ((which[met], alone_ends[:, which[met]]), (which[out_of & ~met], true[:, out_of & ~met])):
+                    new = (end != ends[:, done]).any(0)
+                    ends[:, done] = end
+                    changed.append(done[new])
+                going = ~(met | out_of)
+                if not going.all():
+                    which, slot, true, fresh = which[going], slot[going], true[:, going], fresh[:, going]
+                if not len(which):
+                    break
+                code = codes[:, start[which] + t]
+                true, fresh = table[true + code], table[fresh + code]
+                extra[:, slot] += (true & 1) - (fresh & 1)
+                true, fresh = true >> 1, fresh >> 1
+            count[:, todo] = alone[:, todo] + extra
+            todo = after[np.concatenate(changed)]
+            todo = todo[todo >= 0]
         out = np.zeros((len(texts), len(roots)), np.int64)
         np.add.at(out, owner, count.T)
         return out
@@ -168,17 +205,21 @@ class Model:
 
 
 def fit(train: DataFrame, text: str = "text", lang: str = "lang", per_lang: int = 200, chars: int = 24_000) -> Model:
-    """From labelled rows: for each language, the ``per_lang`` different texts with the smallest hashes, of each as many of its characters
-    (from its start) as make ``chars`` together: a bounded sample, whatever the table's size. Null text or language is left out; no labelled row gives a model that predicts "und"."""
-    rows = train.select(F.col(text).alias("text"), F.col(lang).alias("lang")).filter("text is not null and lang is not null and trim(text) <> ''")
-    keys = rows.select("lang", F.xxhash64("text").alias("h")).distinct()
-    keys = keys.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("r") <= per_lang).drop("r")
+    """From labelled rows: for each language, the ``per_lang`` different texts with the smallest hashes, each of which gives an equal share of ``chars`` characters, from a
+    place in it that its hash tells: a bounded sample, whatever the table's size. Null text or language is left out; no labelled row gives a model that predicts "und"."""
+    rows = train.select(F.col(text).alias("text"), F.col(lang).alias("lang")).filter("text is not null and lang is not null and trim(text) <> ''").withColumn("h", F.xxhash64("text"))
+    keys = stash(rows.select("lang", "h").distinct(), "langid-keys")
+    counts = {r["lang"]: r["count"] for r in keys.groupBy("lang").count().collect()}
+    if not counts:
+        return Model({})
+    share = F.create_map(*[F.lit(x) for c, n in counts.items() for x in (c, max(1, chars // min(n, per_lang)))])
+    rows = rows.join(F.broadcast(smallest(keys, "lang", "h", per_lang, counts)), ["lang", "h"]).withColumn("n", F.try_element_at(share, "lang"))
+    place = F.pmod(F.xxhash64("h", F.lit(5)), F.greatest(F.length("text") - F.col("n"), F.lit(0)) + 1) + 1
+    picked = rows.select("lang", "h", F.substring(F.col("text"), place.cast("int"), F.col("n")).alias("text")).dropDuplicates(["lang", "h"])
     got: dict[str, dict[int, str]] = {}
-    picked = rows.withColumn("h", F.xxhash64("text")).join(F.broadcast(keys), ["lang", "h"]).select("lang", "h", F.substring("text", 1, 4000).alias("text")).dropDuplicates(["lang", "h"])
     for r in picked.collect():
         got.setdefault(r["lang"], {})[r["h"]] = r["text"]
-    share = {k: sorted(v.items()) for k, v in got.items()}
-    return Model({k: "\n".join(t[: max(200, chars // len(v))] for _, t in v)[:chars] for k, v in share.items()})
+    return Model({k: "\n".join(t for _, t in sorted(v.items())) for k, v in got.items()})
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", keep_text: bool = True) -> DataFrame:

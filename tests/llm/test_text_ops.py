@@ -344,12 +344,42 @@ def phrases_by_hand(text, sample, classes):
 
 def test_cross_parsing_counts_greedy_phrases():
     m = langid.Model({"a": words(1, 200, "abcd"), "b": words(2, 200, "cdef")})
-    texts = [words(i, 20, "abcdefz1,") for i in range(6)] + ["q", "abab"]
+    texts = [words(i, 20, "abcdefz1,") for i in range(6)] + ["q", "abab", ""]
+    classes = m.tables()[3]
+    for block in (1024, 16, 3, 1):
+        got = m.phrases(texts, block)
+        for i, t in enumerate(texts):
+            for j, s in enumerate(m.samples):
+                assert int(got[i, j]) == phrases_by_hand(t, s, classes[j])
+
+
+def test_phrases_cross_blocks():
+    """Long texts: a text against itself is one phrase, and blocks change nothing."""
+    long = words(5, 3000, "abcdefgh")
+    m = langid.Model({"a": long, "b": words(6, 3000, "abcdefgh"), "c": "ab" * 700})
+    texts = [long, long[100:9000], words(7, 2000, "abcdefgh"), "ab" * 4000, "abc" * 3000, ""]
     got = m.phrases(texts)
-    cls = langid._classes(m.alphabet)
-    for i, t in enumerate(texts):
-        for j, s in enumerate(m.samples):
-            assert int(got[i, j]) == phrases_by_hand(t, s, cls)
+    assert got[0, 0] == got[1, 0] == 1
+    assert (got == m.phrases(texts, 1 << 20)).all() and (got == m.phrases(texts, 50)).all()
+
+
+def test_large_scripts_are_told_apart():
+    import random
+
+    r = random.Random(4)
+    han = [chr(0x4E00 + i) for i in range(3000)]
+    a, b = han[:1500], han[1500:]
+    text = lambda x, n: "".join(r.choice(x) for _ in range(n))
+    m = langid.Model({"a": text(a, 12_000), "b": text(b, 12_000)})
+    got, _, _ = m.predict([text(a, 300), text(b, 300), text(a, 300)])
+    assert got == ["a", "b", "a"]
+
+
+def test_langid_repeated_rows_and_ties(spark):
+    rows = [(1, "same words here", "en"), (1, "same words here", "en"), (2, "same words here", "fr"), (3, "same words here", "fr")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.identify(df.unionAll(df), langid.fit(df)).collect()
+    assert len(got) == 8 and {r["lang_pred"] for r in got} == {"en"} and len({r["score"] for r in got}) == 1  # a tie goes to the first by name
 
 
 def test_language(spark):
