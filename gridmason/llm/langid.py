@@ -43,24 +43,27 @@ def _points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-#: Letters with a class of their own in a language, and classes that its further letters share by code point.
+#: Letters with a class of their own in a language, and classes that the further letters of its sample share by code point.
 OWN, SHARED = 200, 32
 
 
 def _classes(sample: str) -> tuple[np.ndarray, int]:
-    """The class of each code point, and their number: the sample's OWN commonest letters have one each, in either case; other letters one of SHARED; the rest goes by kind."""
+    """The class of each code point, and their number: the sample's OWN commonest letters have one each, in either case; its further letters one of SHARED;
+    letters that it lacks have one that nothing follows; the rest goes by kind."""
     counts: dict[str, int] = {}
     for c in sample.lower():
         if c.isalpha() and len(c.upper()) == 1:
             counts[c] = counts.get(c, 0) + 1
-    alphabet = sorted(sorted(counts, key=lambda c: (-counts[c], c))[:OWN])
-    kinds, first = _kinds(), 3 + len(alphabet)
-    out = np.where(kinds == 4, first + np.arange(0x110000) % SHARED, kinds - 1).astype(np.uint8)
-    for i, c in enumerate(alphabet):
-        for x in {c, c.upper(), c.lower()}:
-            if len(x) == 1:
-                out[ord(x)] = 3 + i
-    return out, first + SHARED
+    common = sorted(counts, key=lambda c: (-counts[c], c))
+    alphabet, further = sorted(common[:OWN]), common[OWN:]
+    kinds, first = _kinds(), 4 + len(alphabet)
+    out = np.where(kinds == LETTER, 3, kinds - 1).astype(np.uint8)
+    for group, of in ((alphabet, lambda i, c: 4 + i), (further, lambda i, c: first + ord(c) % SHARED)):
+        for i, c in enumerate(group):
+            for x in {c, c.upper(), c.lower()}:
+                if len(x) == 1:
+                    out[ord(x)] = of(i, c)
+    return out, first + (SHARED if further else 0)
 
 
 def suffix_automaton(seq: list[int], width: int) -> np.ndarray:
