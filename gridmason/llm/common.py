@@ -5,7 +5,9 @@ from __future__ import annotations
 import atexit
 import shutil
 import uuid
+from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -138,6 +140,34 @@ def components(edges: DataFrame, label: str = "cc", max_rounds: int = 60) -> Dat
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(roots.select("node", F.col("node").alias("component")))
 
 
+def minimise(f: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray, rounds: int = 150, memory: int = 8, enough: float = 1e-8) -> np.ndarray:
+    """The minimum of a convex f (value and gradient) by limited-memory quasi-Newton steps."""
+    value, slope = f(x)
+    moves: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(rounds):
+        step, parts = slope.copy(), []
+        for dx, dg in reversed(moves):
+            parts.append((dx @ step) / (dx @ dg))
+            step -= parts[-1] * dg
+        step *= (moves[-1][0] @ moves[-1][1]) / (moves[-1][1] @ moves[-1][1]) if moves else 1 / max(1.0, float(np.linalg.norm(slope)))
+        for (dx, dg), a in zip(moves, reversed(parts), strict=True):
+            step += dx * (a - (dg @ step) / (dx @ dg))
+        t, down = 1.0, float(step @ slope)
+        while True:
+            there = x - t * step
+            new, new_slope = f(there)
+            if new <= value - 1e-4 * t * down or t < 1e-9:
+                break
+            t /= 2
+        if (there - x) @ (new_slope - slope) > 1e-12:
+            moves = [*moves, (there - x, new_slope - slope)][-memory:]
+        settled = abs(value - new) < enough * max(1.0, abs(value))
+        x, value, slope = there, new, new_slope
+        if settled:
+            break
+    return x
+
+
 def crc_mod(col: Column | str, m: int) -> Column:
     """crc32 of the value as text, modulo m."""
     return F.pmod(F.crc32(F.col(col) if isinstance(col, str) else col), F.lit(m))

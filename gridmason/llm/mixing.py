@@ -12,13 +12,12 @@ from __future__ import annotations
 
 import math
 import warnings
-from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridmason.llm.common import smallest, stash
+from gridmason.llm.common import minimise, smallest, stash
 
 BINS = 8
 #: What stands between words.
@@ -61,34 +60,6 @@ class Classifier:
         self.domains, self.prior, self.keys, self.bins = domains, prior, keys, bins
 
 
-def _minimise(f: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray, rounds: int = 150, memory: int = 8) -> np.ndarray:
-    """The minimum of a convex f (value and gradient) by limited-memory quasi-Newton steps."""
-    value, slope = f(x)
-    moves: list[tuple[np.ndarray, np.ndarray]] = []
-    for _ in range(rounds):
-        step, parts = slope.copy(), []
-        for dx, dg in reversed(moves):
-            parts.append((dx @ step) / (dx @ dg))
-            step -= parts[-1] * dg
-        step *= (moves[-1][0] @ moves[-1][1]) / (moves[-1][1] @ moves[-1][1]) if moves else 1 / max(1.0, float(np.linalg.norm(slope)))
-        for (dx, dg), a in zip(moves, reversed(parts), strict=True):
-            step += dx * (a - (dg @ step) / (dx @ dg))
-        t, down = 1.0, float(step @ slope)
-        while True:
-            there = x - t * step
-            new, new_slope = f(there)
-            if new <= value - 1e-4 * t * down or t < 1e-9:
-                break
-            t /= 2
-        if (there - x) @ (new_slope - slope) > 1e-12:
-            moves = [*moves, (there - x, new_slope - slope)][-memory:]
-        settled = abs(value - new) < 1e-8 * max(1.0, abs(value))
-        x, value, slope = there, new, new_slope
-        if settled:
-            break
-    return x
-
-
 def _softmax_fit(rows: list[list[int]], width: int, label: np.ndarray, weight: np.ndarray, n_labels: int, ridge: float) -> np.ndarray:
     """[feature, label] weights of a multinomial logistic regression; rows: the features (of 0 to width - 1) that each row has, the last one the constant, which bears no penalty."""
     at = np.concatenate([np.array(r, np.int64) for r in rows])
@@ -109,7 +80,7 @@ def _softmax_fit(rows: list[list[int]], width: int, label: np.ndarray, weight: n
         slope = np.column_stack([np.bincount(at, off[owner, k], width) for k in range(n_labels)]) + penalty * w
         return float(value), slope.ravel()
 
-    return _minimise(loss, np.zeros(width * n_labels)).reshape(width, n_labels)
+    return minimise(loss, np.zeros(width * n_labels)).reshape(width, n_labels)
 
 
 def fit(docs: DataFrame, labelled: DataFrame, per_domain: int = 1500, ridge: float = 1.0) -> Classifier:

@@ -2,25 +2,24 @@
 
 Voters (lexicons of words, patterns inside words, repetition of suspicious ones) look at a document and vote toxic,
 clean or abstain. A generative label model estimates each voter's accuracy, and which voters repeat each other, from
-their agreement alone; its posteriors on unlabelled documents train a linear classifier over word features. Labelled rows serve to
-choose the lexicons and to calibrate the scores, nothing else.
+their agreement alone, over all documents; its posteriors train a linear classifier over word features. Labelled rows serve to
+choose the lexicons, to tell the share of toxic texts, and to calibrate the scores.
 """
 
 from __future__ import annotations
 
 import math
 import re
-import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from gridmason.llm.common import small_batches
+from gridmason.llm.common import minimise, small_batches, smallest, stash
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -35,54 +34,71 @@ def features_of_word(word: str) -> list[str]:
     return list(out)
 
 
+#: Penalty of the classifier's squared weights, against the mean loss of a document.
+RIDGE = 3e-4
+
 Key = tuple[str, int]  # a feature, and in how many places a document must have it at least
 
 
-class Voter:
-    """Toxic if the document has one of the keys (or ``least`` of them), clean if it is long and has none, else abstains."""
+class Voters:
+    """Voters over keys: voter j votes toxic if a document has at least ``least[j]`` of its keys (``holds``: key x voter), clean if the document is long and no voter votes toxic, else abstains."""
 
-    def __init__(self, name: str, keys: set[Key], least: int = 1, clean_from: int = 30):
-        self.name, self.keys, self.least, self.clean_from = name, keys, least, clean_from
+    def __init__(self, names: list[str], holds: np.ndarray, least: np.ndarray):
+        self.names, self.holds, self.least = names, holds.astype(np.float32), least
 
-    def vote(self, found: set[Key], n_words: int) -> int:
-        return 1 if len(self.keys & found) >= self.least else -1 if n_words >= self.clean_from else 0
+    def votes(self, keys: np.ndarray, long: np.ndarray) -> np.ndarray:
+        """[document, voter]: 1 toxic, -1 clean, 0 abstains."""
+        hit = keys.astype(np.float32) @ self.holds >= self.least
+        return np.where(hit, 1, np.where((long & ~hit.any(1))[:, None], -1, 0)).astype(np.int8)
 
 
 class LabelModel:
-    """P(toxic | votes): EM for each voter's rate of toxic votes in either class, and for the rate of texts that some voters call clean and
-    none toxic; only these speak (that one of many lexicons is silent says nothing). A voter's log-odds are divided by 1 + the sum of its positive
-    correlations with other voters given the class, so that copies of a voter count once. The class prior stays as given."""
+    """P(toxic | votes): EM for each voter's rate of toxic votes in either class, and for the rate of texts that voters call clean (these are the same texts for all voters, so that
+    their clean votes are one). A voter's log-odds are divided by 1 + the sum of its positive
+    correlations with other voters given the class, so that copies of a voter count once. The class prior stays as given.
+
+    A round needs sums over the documents only: how many of either class, with a vote of each voter, with those of each pair of voters."""
 
     def __init__(self, prior: float):
         self.prior = prior
+        self.table: np.ndarray | None = None
 
-    def fit(self, votes: np.ndarray, rounds: int = 40) -> np.ndarray:
-        """The posteriors of the rows of votes."""
+    def sums(self, votes: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Toxic and all documents, silent ones, votes by voter, by pair: rows of votes counted ``weight`` times, by the posteriors as they are now."""
         hit = (votes == 1).astype(float)
-        silent = self._silent(votes).astype(float)
-        q, self.weight = np.where(hit.any(1), 0.9, self.prior / 10), np.ones(votes.shape[1])
+        out = []
+        for c in (weight * self.posterior(votes), weight):
+            out.append(np.concatenate([[c.sum(), c @ self._silent(votes)], c @ hit, ((hit * c[:, None]).T @ hit).ravel()]))
+        return np.concatenate(out)
+
+    def fit_sums(self, total: Callable[[Callable[[np.ndarray, np.ndarray], np.ndarray]], np.ndarray], rounds: int = 40) -> None:
+        """``total(f)`` adds up f(votes, weight) over all documents."""
         for _ in range(rounds):
+            toxic, everything = total(self.sums).reshape(2, -1)
+            n = int(round((-1 + math.sqrt(1 + 4 * (len(toxic) - 2))) / 2))
+            old = self.table
+            parts = [(x[0], x[1], x[2 : 2 + n], x[2 + n :].reshape(n, n)) for x in (everything - toxic, toxic)]
             # toxic votes on clean texts are rare: few seen, few believed
-            self.table = np.stack([((hit * c[:, None]).sum(0) + s) / (c.sum() + 1) for c, s in ((1 - q, 0.01), (q, 0.5))])
-            self.silence = [float(np.clip((silent * c).sum() / max(c.sum(), 1e-9), 0.01, 0.99)) for c in (1 - q, q)]
-            self.weight = self._discount(votes, q)
-            new = self.posterior(votes)
-            if np.abs(new - q).max() < 1e-4:
+            self.table = np.stack([(hits + s) / (size + 1) for (size, _, hits, _), s in zip(parts, (0.01, 0.5), strict=True)])
+            self.silence = [float(np.clip(silent / max(size, 1e-9), 0.01, 0.99)) for size, silent, _, _ in parts]
+            self.weight = self._discount(parts)
+            if old is not None and np.abs(self.table - old).max() < 1e-5:
                 break
-            q = new
-        return q
+
+    def fit(self, votes: np.ndarray, rounds: int = 40) -> np.ndarray:
+        """The posteriors of the rows of votes."""
+        self.fit_sums(lambda f: f(votes, np.ones(len(votes))), rounds)
+        return self.posterior(votes)
 
     @staticmethod
     def _silent(votes: np.ndarray) -> np.ndarray:
         return (votes == -1).any(1) & ~(votes == 1).any(1)
 
-    def _discount(self, votes: np.ndarray, q: np.ndarray) -> np.ndarray:
-        total = np.zeros(votes.shape[1])
-        votes = (votes == 1).astype(float)  # all abstain together on short texts, which says nothing
-        for c in (1 - q, q):
-            w = c / max(c.sum(), 1e-9)
-            x = votes - (votes * w[:, None]).sum(0)
-            cov = (x * w[:, None]).T @ x
+    def _discount(self, parts: list[tuple[float, float, np.ndarray, np.ndarray]]) -> np.ndarray:
+        total = np.zeros(len(parts[0][2]))
+        for size, _, hits, pairs in parts:  # toxic votes only: all abstain together on short texts, which says nothing
+            size = max(size, 1e-9)
+            cov = pairs / size - np.outer(hits, hits) / size**2
             sd = np.sqrt(np.maximum(np.diag(cov), 1e-4))
             self.correlation = np.clip(cov / np.outer(sd, sd), 0, 1)
             np.fill_diagonal(self.correlation, 0)
@@ -90,6 +106,8 @@ class LabelModel:
         return 1 / (1 + total)
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
+        if self.table is None:  # where EM starts
+            return np.where((votes == 1).any(1), 0.9, self.prior / 10)
         odds = np.maximum(np.log(self.table[1] / self.table[0]), 0) * self.weight
         z = math.log(self.prior / (1 - self.prior)) + (votes == 1) @ odds + self._silent(votes) * math.log(self.silence[1] / self.silence[0])
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
@@ -135,24 +153,10 @@ def keys_of(found: Counter) -> set[Key]:
     return {(f, k) for f, n in found.items() for k in (1, 2, 3) if n >= k}
 
 
-def _representatives(texts: list[str]) -> list[int]:
-    """One of each group of texts that share the smallest of their five-word sequences: copies would pass for evidence."""
-    seen: set = set()
-    keep = []
-    for i, t in enumerate(texts):
-        words = t.lower().split()
-        grams = {" ".join(words[j : j + 5]) for j in range(max(1, len(words) - 4))}
-        marks = sorted(hash_text(g) for g in grams)[:2]
-        if not seen.intersection(marks):
-            keep.append(i)
-        seen.update(marks)
-    return keep
-
-
-def hash_text(s: str) -> int:
-    import xxhash
-
-    return xxhash.xxh64_intdigest(s)
+def _marks(words: list[str]) -> list[int]:
+    """The two smallest hashes of a text's five-word sequences."""
+    grams = {" ".join(words[j : j + 5]) for j in range(max(1, len(words) - 4))}
+    return sorted(xxhash.xxh64_intdigest(g) >> 1 for g in grams)[:2]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float, rounds: int = 30) -> np.ndarray:
@@ -170,106 +174,191 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float, rounds:
     return beta
 
 
-def train(labelled: list[tuple[str, int]], unlabelled: list[str], prior: float | None = None, most_groups: int = 80) -> Model:
-    """labelled: (text, toxic), in any proportion; prior: the share of toxic texts (default: theirs). Few or no toxic rows give a model that scores every text by the prior."""
-    labelled = sorted({(t or "", int(y)) for t, y in labelled})
-    labelled = [labelled[i] for i in _representatives([t for t, _ in labelled])]
-    unlabelled = sorted({t or "" for t in unlabelled})
-    unlabelled = [unlabelled[i] for i in _representatives(unlabelled)]
-    n_toxic = sum(y for _, y in labelled)
+class Lexicons:
+    """Groups of keys that tell toxic labelled documents from the others; keys that are parts of each other are one group."""
+
+    def __init__(self, groups: list[list[Key]], base: float, clean_weight: float):
+        self.groups, self.base, self.clean_weight = groups, base, clean_weight
+        self.keys = [k for g in groups for k in g]
+        self.index = {k: i for i, k in enumerate(self.keys)}
+        self.probe = Model(dict.fromkeys(self.keys, 0.0), 0.0, 1.0, 0.0, [], [])
+
+    def present(self, words: Counter) -> np.ndarray:
+        out = np.zeros(len(self.keys), bool)
+        out[[self.index[k] for k in keys_of(self.probe._of(words)) & self.index.keys()]] = True
+        return out
+
+    def voters(self) -> Voters:
+        holds = np.zeros((len(self.keys), len(self.groups) + 2))
+        for j, g in enumerate(self.groups):
+            holds[[self.index[k] for k in g], j] = 1
+        holds[[self.index[g[0]] for g in self.groups], -2] = holds[:, -1] = 1
+        names = [f"{'lexicon' if g[0][0][0] == 'w' else 'pattern'} {g[0][0][2:]} {g[0][1]}" for g in self.groups]
+        return Voters([*names, "two groups", "many keys"], holds, np.array([1] * len(self.groups) + [2, 6]))
+
+
+def lexicons(labelled: list[tuple[int, Counter]], prior: float | None = None) -> Lexicons:
+    """From (toxic, words) of labelled documents, in any proportion: every key that three toxic ones have and few others, with more evidence than chance among so many keys gives. prior: the share of toxic texts (default: theirs)."""
+    n_toxic = sum(y for y, _ in labelled)
     n_clean = len(labelled) - n_toxic
     if not n_toxic or not n_clean:
-        return Model({}, 0.0, 1.0, -3.0, [], [])
+        return Lexicons([], min(max(prior or 0.0, 0.001), 0.9), 1.0)
+    hashes: dict[str, np.ndarray] = {}  # of a word's features
+
+    def of(word: str) -> np.ndarray:
+        if word not in hashes:
+            hashes[word] = np.array([xxhash.xxh64_intdigest(f) & 0xFFFFFF for f in features_of_word(word)], np.int64)
+        return hashes[word]
+
     # features that at least three toxic rows have: counted by hash first, since most occur once
     slots = np.zeros(1 << 24, np.uint8)
-    for t, y in labelled:
-        if y:
-            own = {zlib.crc32(f.encode()) & 0xFFFFFF for w in set(_WORD.findall(t.lower())) for f in features_of_word(w)}
-            at = np.fromiter(own, np.int64, len(own))
+    for y, words in labelled:
+        if y and words:
+            at = np.unique(np.concatenate([of(w) for w in words]))
             slots[at] = np.minimum(slots[at], 250) + 1
+    often: dict[str, list[str]] = {}
 
-    def present(text: str) -> Counter:
+    def present(words: Counter) -> Counter:
         out: Counter = Counter()
-        for w, n in Counter(_WORD.findall(text.lower())).items():
-            for f in features_of_word(w):
-                if slots[zlib.crc32(f.encode()) & 0xFFFFFF] >= 3:
-                    out[f] += n
+        for w, n in words.items():
+            if w not in often:
+                often[w] = [f for f in features_of_word(w) if slots[xxhash.xxh64_intdigest(f) & 0xFFFFFF] >= 3]
+            for f in often[w]:
+                out[f] += n
         return out
 
     toxic_df, clean_df = Counter(), Counter()
-    for t, y in labelled:
+    for y, words in labelled:
         if y:
-            toxic_df.update(keys_of(present(t)))
+            toxic_df.update(keys_of(present(words)))
     wanted = {f for (f, _), n in toxic_df.items() if n >= 3}
-    for t, y in labelled:
+    for y, words in labelled:
         if not y:
-            clean_df.update(keys_of(Counter({f: n for f, n in present(t).items() if f in wanted})))
+            clean_df.update(keys_of(Counter({f: n for f, n in present(words).items() if f in wanted})))
     base = min(max(prior or n_toxic / len(labelled), 0.001), 0.9)
     clean_weight = (1 - base) / base * n_toxic / n_clean  # clean rows that one in the sample stands for, in toxic ones
-    need = math.log(max(10, len(toxic_df)))
+    need, share = math.log(max(10, len(toxic_df))), n_toxic / len(labelled)
 
     def evidence(f: Key) -> float:
-        """Log-likelihood ratio of the feature's toxic share against the base rate."""
-        a, b = toxic_df[f], clean_df[f] * clean_weight
+        """Log-likelihood ratio of the toxic share of the sample's documents with the key, against that of all its documents."""
+        a, b = toxic_df[f], clean_df[f]
         p = (a + 0.1) / (a + b + 0.2)
-        return a * math.log(p / base) + b * math.log((1 - p) / (1 - base)) if p > base else 0.0
+        return a * math.log(p / share) + b * math.log((1 - p) / (1 - share)) if p > share else 0.0
 
     good = [(evidence(f), f) for f, a in toxic_df.items() if a >= 3 and clean_df[f] * clean_weight <= 0.2 * a]
     good = sorted(((e, f) for e, f in good if e > need), key=lambda x: (-x[0], -len(x[1][0]), x[1]))
-    groups: list[list[Key]] = []  # features that are parts of each other: the strongest leads
+    groups: list[list[Key]] = []  # the strongest key leads
     cores: list[str] = []
     for _, f in good:
         core = f[0][2:].strip("^$")
         home = next((i for i, lead in enumerate(cores) if core in lead or lead in core), None)
-        if home is None and len(groups) < most_groups:
+        if home is None:
             groups.append([f])
             cores.append(core)
-        elif home is not None and len(groups[home]) < 4:
+        else:
             groups[home].append(f)
-    chosen = [f for g in groups for f in g]
-    if not chosen:
-        return Model({}, 0.0, 1.0, math.log(base / (1 - base)), [], [])
-    voters = [Voter(f"{'lexicon' if g[0][0][0] == 'w' else 'pattern'} {g[0][0][2:]} {g[0][1]}", set(g)) for g in groups]
-    voters += [Voter("two groups", {g[0] for g in groups}, 2), Voter("many keys", set(chosen), 6)]
-    index = {k: i for i, k in enumerate(chosen)}
-    probe = Model(dict.fromkeys(chosen, 0.0), 0.0, 1.0, 0.0, [], [])
-
-    def rows(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        x, v = np.zeros((len(texts), len(chosen))), np.zeros((len(texts), len(voters)), np.int64)
-        for r, t in enumerate(texts):
-            counts = Counter(_WORD.findall(t.lower()))
-            keys = keys_of(probe._of(counts)) & index.keys()
-            x[r, [index[k] for k in keys]] = 1
-            total = sum(counts.values())
-            v[r] = [q.vote(keys, total) for q in voters]
-        return x, v
-
-    x, votes = rows(unlabelled)
-    labels = LabelModel(base)
-    q = labels.fit(votes)
-    beta = _logistic(x, q, np.ones(len(q)), 1.0)
-    weight, bias = beta[:-1], float(beta[-1])
-    xl, _ = rows([t for t, _ in labelled])
-    y = np.array([y for _, y in labelled], float)
-    slope, shift = _logistic((xl @ weight + bias)[:, None], y, np.where(y == 1, 1.0, clean_weight), 0.01).tolist()  # calibration on labelled rows
-    slope = max(slope, 0.2)
-    accuracy = [float(x) for x in labels.table[1] / (labels.table[1] + labels.table[0])]
-    return Model({f: float(w) for f, w in zip(chosen, weight, strict=True) if w}, bias, float(slope), float(shift), [v.name for v in voters], accuracy)
-
-
-def fit(docs: DataFrame, labels: DataFrame, per_label: int = 1200, unlabelled: int = 3000) -> Model:
-    """``labels(doc_id, toxic)``: the rows to learn from. Learns from at most ``per_label`` labelled documents of either label and
-    ``unlabelled`` documents, those with the smallest hashes: a bounded sample whatever the tables' size. Null labels are left out; of a doc_id with several labels the highest counts."""
-    spark = docs.sparkSession
+    return Lexicons(groups, base, clean_weight)
+
+
+def _words_of(texts: list[str | None]) -> list[Counter]:
+    return [Counter(_WORD.findall((t or "").lower())) for t in texts]
+
+
+def _labelled_words(rows: DataFrame) -> list[tuple[int, Counter]]:
+    """rows(text, toxic) -> (toxic, words): counted where the rows are; of a group of texts that share one of the two smallest of their five-word sequences' hashes
+    one stays, since copies would pass for evidence. The driver gets the different words of a bounded number of documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            marks = [_marks((t or "").lower().split()) for t in texts]
+            found = [sorted((w, min(n, 3)) for w, n in c.items()) for c in _words_of(texts)]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(marks, pa.list_(pa.int64())), pa.array([[w for w, _ in f] for f in found], pa.list_(pa.string())), pa.array([[n for _, n in f] for f in found], pa.list_(pa.int32()))], names=["toxic", "marks", "words", "ns"])
+
+    got = rows.select("text", "toxic").mapInArrow(run, "toxic int, marks array<bigint>, words array<string>, ns array<int>").collect()
+    seen: set[int] = set()
+    out = []
+    for r in sorted(got, key=lambda r: (r["marks"], r["toxic"], r["words"])):
+        if not seen.intersection(r["marks"]):
+            out.append((r["toxic"], Counter(dict(zip(r["words"], r["ns"], strict=True)))))
+        seen.update(r["marks"])
+    return out
+
+
+def patterns(docs: DataFrame, lex: Lexicons, clean_from: int = 30) -> DataFrame:
+    """(keys: bits of the lexicons' keys, long: whether there are ``clean_from`` words, n: how many different texts) over all rows of docs(text)."""
+    small_batches(docs.sparkSession)
+    lex = docs.sparkSession.sparkContext.broadcast(lex)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = _words_of(batch.column(1).to_pylist())
+            bits = [np.packbits(lex.value.present(w)).tobytes() for w in words]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.binary()), pa.array([sum(w.values()) >= clean_from for w in words], pa.bool_())], names=["h", "keys", "long"])
+
+    rows = docs.select(F.xxhash64(F.lower("text")).alias("h"), "text").mapInArrow(run, "h long, keys binary, long boolean")
+    return stash(rows.dropDuplicates(["h"]).groupBy("keys", "long").agg(F.count("*").alias("n")), "toxicity-patterns")
+
+
+class Sums:
+    """Adds up a function of (keys, long, n) over a table of patterns; at most ``tasks`` partial sums come to the driver."""
+
+    def __init__(self, table: DataFrame, n_keys: int, tasks: int = 64):
+        self.table, self.n_keys = table.coalesce(tasks), n_keys
+
+    def __call__(self, f: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+        n_keys = self.n_keys
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = None
+            for batch in batches:
+                raw = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+                keys = np.unpackbits(raw, axis=1)[:, :n_keys].astype(bool)
+                part = f(keys, batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy().astype(float))
+                total = part if total is None else total + part
+            if total is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float64).tobytes()], pa.binary())], names=["sums"])
+
+        got = [np.frombuffer(r["sums"], np.float64) for r in self.table.mapInArrow(run, "sums binary").collect()]
+        return sum(got[1:], got[0]) if got else f(np.zeros((0, n_keys), bool), np.zeros(0, bool), np.zeros(0))
+
+
+def fit(docs: DataFrame, labels: DataFrame, per_label: int = 1200) -> Model:
+    """``labels(doc_id, toxic)``: the rows to learn from. Chooses the lexicons from at most ``per_label`` labelled documents of either label, those with the smallest hashes of
+    doc_id: a bounded sample of labelled rows. The label model and the classifier then learn from the votes on all different texts of docs, which stay in a table of vote
+    patterns; each step is a sum over it. Null labels are left out; of a doc_id with several labels the highest counts. Few or no toxic rows, or an empty table, give a model that scores every text by the prior."""
     known = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    shares = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
-    prior = shares.get(1, 0) / max(1, sum(shares.values()))
-    w = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    known = known.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= per_label).select("doc_id", "toxic")
-    got = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "toxic").collect()
-    some = docs.select("doc_id").filter("doc_id is not null").orderBy(F.xxhash64("doc_id", F.lit(7))).limit(unlabelled)
-    others = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id", "left_semi").select("text").limit(unlabelled).collect()
-    return train([(r["text"], r["toxic"]) for r in got], [r["text"] for r in others], prior)
+    shares = {str(r["toxic"]): r["count"] for r in known.groupBy("toxic").count().collect()}
+    prior = shares.get("1", 0) / max(1, sum(shares.values()))
+    if not shares:
+        return Model({}, 0.0, 1.0, -3.0, [], [])
+    small_batches(docs.sparkSession)
+    known = known.select("doc_id", F.col("toxic").cast("string").alias("toxic"), F.xxhash64("doc_id").alias("h"))
+    picked = smallest(known, "toxic", "h", per_label, shares).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    labelled = _labelled_words(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id"))
+    lex = lexicons(labelled, prior)
+    if not lex.keys:
+        return Model({}, 0.0, 1.0, math.log(lex.base / (1 - lex.base)) if prior else -3.0, [], [])
+    sums, voters, model = Sums(patterns(docs, lex), len(lex.keys)), lex.voters(), LabelModel(lex.base)
+    model.fit_sums(lambda f: sums(lambda keys, long, n: f(voters.votes(keys, long), n)))
+    size = sums(lambda keys, long, n: np.array([n.sum()]))[0]
+
+    def loss(beta: np.ndarray) -> tuple[float, np.ndarray]:
+        def part(keys: np.ndarray, long: np.ndarray, n: np.ndarray) -> np.ndarray:
+            q, z = model.posterior(voters.votes(keys, long)), keys @ beta[:-1] + beta[-1]
+            off = n / size * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - q)
+            return np.concatenate([[(n / size) @ (np.logaddexp(0, z) - q * z)], off @ keys, [off.sum()]])
+
+        got = sums(part)
+        return float(got[0] + 0.5 * RIDGE * (beta[:-1] ** 2).sum()), got[1:] + RIDGE * np.append(beta[:-1], 0.0)
+
+    beta = minimise(loss, np.append(np.zeros(len(lex.keys)), math.log(lex.base / (1 - lex.base))), rounds=60, enough=1e-6)
+    weight, bias = beta[:-1], float(beta[-1])
+    raw = np.array([lex.present(words) @ weight + bias for _, words in labelled])
+    y = np.array([y for y, _ in labelled], float)
+    slope, shift = _logistic(raw[:, None], y, np.where(y == 1, 1.0, lex.clean_weight), 0.01).tolist()  # calibration on labelled rows
+    accuracy = [float(x) for x in model.table[1] / (model.table[1] + model.table[0])]
+    return Model({f: float(w) for f, w in zip(lex.keys, weight, strict=True) if w}, bias, float(max(slope, 0.2)), float(shift), voters.names, accuracy)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.7, keep_text: bool = True) -> DataFrame:

@@ -422,6 +422,40 @@ def test_toxicity(spark):
     assert {r["predicted"] for r in toxicity.score(docs, none).collect()} == {0}
 
 
+def test_toxicity_awkward_rows(spark):
+    docs = frame(spark)  # nulls, empties, a very long text, repeated rows, a column named score
+    bad = spark.createDataFrame([(20_000 + i, words(500 + i, 40) + " vilest rotten", "en", "s", 1, "x", 0.1, 1, "n") for i in range(12)], docs.schema)
+    docs = docs.unionAll(bad)
+    labels = docs.select("doc_id", (F.col("doc_id") >= 20_000).cast("int").alias("toxic"))
+    model = toxicity.fit(docs, labels)
+    got = toxicity.score(docs, model)
+    assert got.columns.count("score") == 1 and got.count() == docs.count()
+    rows = got.collect()
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.7) for r in rows)
+    assert all(r["predicted"] == int((r["doc_id"] or 0) >= 20_000) for r in rows)
+    by_text = {}
+    assert all(by_text.setdefault(r["text"], r["score"]) == r["score"] for r in rows)  # repeated rows and ties score alike
+    assert toxicity.score(docs.limit(0), model).count() == 0
+    empty = toxicity.fit(docs.limit(0), labels)
+    assert {r["predicted"] for r in toxicity.score(docs, empty).collect()} == {0}
+    assert "text" not in toxicity.score(docs, model, keep_text=False).columns
+
+
+def test_label_model_sums_over_the_table(spark):
+    """EM over the table of vote patterns of all different texts, against EM over the votes of each text in one array."""
+    bad = ["vile", "rotten", "gruntle"]
+    texts = [words(i, 40) + (" " + " ".join(bad[: i % 4]) if i % 5 == 0 else "") for i in range(200)]
+    docs = spark.createDataFrame([(t,) for t in texts + texts[:50]], "text string")
+    lex = toxicity.Lexicons([[(f"w:{b}", 1)] for b in bad], 0.1, 1.0)
+    voters, far, near = lex.voters(), toxicity.LabelModel(0.1), toxicity.LabelModel(0.1)
+    sums = toxicity.Sums(toxicity.patterns(docs, lex), len(lex.keys))
+    far.fit_sums(lambda f: sums(lambda keys, long, n: f(voters.votes(keys, long), n)))
+    keys = np.array([[b in t.split() for b in bad] for t in texts])
+    near.fit(voters.votes(keys, np.ones(len(texts), bool)))
+    assert np.allclose(far.table, near.table) and np.allclose(far.weight, near.weight) and np.allclose(far.silence, near.silence)
+    assert sums(lambda keys, long, n: np.array([n.sum()]))[0] == len(texts)
+
+
 def test_label_model_discounts_copies():
     r = np.random.default_rng(0)
     y = r.random(4000) < 0.2
