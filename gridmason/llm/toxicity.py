@@ -13,6 +13,7 @@ import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -120,9 +121,24 @@ class Model:
         self.weights, self.bias, self.slope, self.shift, self.voters, self.accuracies = weights, bias, slope, shift, voters, accuracies
         self.features = {f for f, _ in weights}
         self.cache: dict[str, tuple[str, ...]] = {}
+        self.finder = None
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"cache": {}}
+        return self.__dict__ | {"cache": {}, "finder": None}
+
+    def _in(self, word: str) -> tuple[str, ...]:
+        """Those of features_of_word(word) that count: what they are made of is searched for all at once."""
+        if self.finder is None:
+            parts: dict[str, list[str]] = {}
+            for f in self.features:
+                parts.setdefault({"w": f"^{f[2:]}$", "p": f"^{f[2:]}", "g": f[2:]}[f[0]], []).append(f)
+            self.finder = ahocorasick.Automaton()
+            for part, fs in parts.items():
+                self.finder.add_word(part, tuple(fs))
+            self.finder.make_automaton()
+        w = f"^{word}$"
+        found = {f for _, fs in self.finder.iter(w) for f in fs}
+        return tuple(f for f in found if f[0] != "p" or len(f) - 2 < len(word)) if found else ()
 
     def _of(self, words: Counter) -> Counter:
         """In how many places the text has each feature that counts."""
@@ -132,7 +148,7 @@ class Model:
         for w, n in words.items():
             fs = get(w)
             if fs is None:
-                fs = self.cache[w] = tuple(f for f in features_of_word(w) if f in self.features)
+                fs = self.cache[w] = self._in(w) if self.features else ()
             for f in fs:
                 found[f] += n
         return found
@@ -203,26 +219,23 @@ def lexicons(labelled: list[tuple[int, Counter]], prior: float | None = None) ->
     n_clean = len(labelled) - n_toxic
     if not n_toxic or not n_clean:
         return Lexicons([], min(max(prior or 0.0, 0.001), 0.9), 1.0)
-    hashes: dict[str, np.ndarray] = {}  # of a word's features
-
-    def of(word: str) -> np.ndarray:
-        if word not in hashes:
-            hashes[word] = np.array([xxhash.xxh64_intdigest(f) & 0xFFFFFF for f in features_of_word(word)], np.int64)
-        return hashes[word]
-
-    # features that at least three toxic rows have: counted by hash first, since most occur once
-    slots = np.zeros(1 << 24, np.uint8)
+    # toxic rows that have a feature, counted by its hash first, since most occur once
+    slots = np.zeros(1 << 24, np.uint16)
     for y, words in labelled:
         if y and words:
-            at = np.unique(np.concatenate([of(w) for w in words]))
-            slots[at] = np.minimum(slots[at], 250) + 1
+            own = {xxhash.xxh64_intdigest(f) & 0xFFFFFF for w in words for f in features_of_word(w)}
+            at = np.fromiter(own, np.int64, len(own))
+            slots[at] = np.minimum(slots[at], 65_000) + 1
+    # what a key must have in evidence, and so many toxic rows at least (were no other to have it)
+    need, share = math.log(max(10, int((slots >= 3).sum()))), n_toxic / len(labelled)
+    least = max(3, math.floor(need / -math.log(share)))
     often: dict[str, list[str]] = {}
 
     def present(words: Counter) -> Counter:
         out: Counter = Counter()
         for w, n in words.items():
             if w not in often:
-                often[w] = [f for f in features_of_word(w) if slots[xxhash.xxh64_intdigest(f) & 0xFFFFFF] >= 3]
+                often[w] = [f for f in features_of_word(w) if slots[xxhash.xxh64_intdigest(f) & 0xFFFFFF] >= least]
             for f in often[w]:
                 out[f] += n
         return out
@@ -231,13 +244,12 @@ def lexicons(labelled: list[tuple[int, Counter]], prior: float | None = None) ->
     for y, words in labelled:
         if y:
             toxic_df.update(keys_of(present(words)))
-    wanted = {f for (f, _), n in toxic_df.items() if n >= 3}
+    wanted = {f for (f, _), n in toxic_df.items() if n >= least}
     for y, words in labelled:
         if not y:
             clean_df.update(keys_of(Counter({f: n for f, n in present(words).items() if f in wanted})))
     base = min(max(prior or n_toxic / len(labelled), 0.001), 0.9)
     clean_weight = (1 - base) / base * n_toxic / n_clean  # clean rows that one in the sample stands for, in toxic ones
-    need, share = math.log(max(10, len(toxic_df))), n_toxic / len(labelled)
 
     def evidence(f: Key) -> float:
         """Log-likelihood ratio of the toxic share of the sample's documents with the key, against that of all its documents."""
@@ -245,7 +257,7 @@ def lexicons(labelled: list[tuple[int, Counter]], prior: float | None = None) ->
         p = (a + 0.1) / (a + b + 0.2)
         return a * math.log(p / share) + b * math.log((1 - p) / (1 - share)) if p > share else 0.0
 
-    good = [(evidence(f), f) for f, a in toxic_df.items() if a >= 3 and clean_df[f] * clean_weight <= 0.2 * a]
+    good = [(evidence(f), f) for f, a in toxic_df.items() if a >= least and clean_df[f] * clean_weight <= 0.2 * a]
     good = sorted(((e, f) for e, f in good if e > need), key=lambda x: (-x[0], -len(x[1][0]), x[1]))
     groups: list[list[Key]] = []  # the strongest key leads
     cores: list[str] = []

@@ -441,6 +441,16 @@ def test_toxicity_awkward_rows(spark):
     assert "text" not in toxicity.score(docs, model, keep_text=False).columns
 
 
+def test_features_found_together():
+    import random
+
+    r = random.Random(3)
+    pool = ["".join(r.choice("abc") for _ in range(r.randint(1, 12))) for _ in range(400)]
+    features = sorted({f for w in pool[:200] for f in toxicity.features_of_word(w)})[::3]
+    m = toxicity.Model({(f, 1): 1.0 for f in features}, 0.0, 1.0, 0.0, [], [])
+    assert all(sorted(m._in(w)) == sorted(set(toxicity.features_of_word(w)) & set(features)) for w in pool)
+
+
 def test_label_model_sums_over_the_table(spark):
     """EM over the table of vote patterns of all different texts, against EM over the votes of each text in one array."""
     bad = ["vile", "rotten", "gruntle"]
