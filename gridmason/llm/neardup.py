@@ -1,10 +1,10 @@
 """MinHash near-duplicate detection by a multi-index Hamming join.
 
-A document's five-word shingles become a signature of 65 b-bit MinHash symbols, which agree in a share of places near the
-Jaccard similarity. Two signatures are close if they differ in at most ``radius`` places. The signature is split into
-13 chunks of 5: by the pigeonhole principle a pair within 25 = 2 * 13 - 1 differences has a chunk with at most one, so enumerating one
-allowed error per chunk (each symbol left out in turn) gives 65 keys of which such a pair shares one for certain; a pair of
-similarity 0.75 shares none with a probability of 2e-6. Links are confirmed on the full shingle sets.
+A document's five-word shingles become a signature of 64 b-bit MinHash symbols, which agree in a share of places near the
+Jaccard similarity. Two signatures are close if they differ in at most ``radius`` places: 31 by default, half of them less one. The signature is split into
+16 chunks of 4: by the pigeonhole principle a pair within 31 = 2 * 16 - 1 differences has a chunk with at most one, so enumerating one
+allowed error per chunk (each symbol left out in turn) gives 64 keys of which every pair within the radius shares one for certain. A pair of
+similarity 0.75 is farther apart with a probability of 1e-5. Links are confirmed on the full shingle sets.
 
 Documents with equal sets are one class before any of this. Pairs within a bucket are never listed: each class is first held
 against its buckets' smallest members only, and linked to the nearest if the full sets agree. Only components that this leaves apart are
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from gridmason.llm.common import components, parts, semi_by_ids, stash
 from gridmason.llm.rolling import mix
 
-WORDS, CHUNKS, WIDTH = 5, 13, 5
+WORDS, CHUNKS, WIDTH = 5, 16, 4
 SYMBOLS = CHUNKS * WIDTH
 _RNG = np.random.default_rng(20240229)
 _PLACE = _RNG.integers(1, 2**63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -324,13 +324,21 @@ def _in_blocks(rows: DataFrame, key: str, block_rows: int) -> DataFrame:
     return rows.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("blocks", "other")
 
 
-def link(docs: DataFrame, num: int = 75, den: int = 100, radius: int = 31, block_rows: int = 4096) -> DataFrame:
+#: Differences within which a pair shares a key for certain.
+RADIUS = 2 * CHUNKS - 1
+#: A component's classes find their smallest doc_id by so many keys: one component may hold a third of all classes.
+SALTS = 16
+
+
+def link(docs: DataFrame, num: int = 75, den: int = 100, radius: int = RADIUS, block_rows: int = 4096) -> DataFrame:
     """``docs(doc_id, text)`` -> doc_id, n_shingles, component_id, kept: documents whose shingle sets reach a Jaccard
     similarity of num / den are linked; component_id is the smallest doc_id of what links reach.
 
     Null, empty and wordless texts have an empty set and are linked with nothing. Fewer than five words are one shingle. Rows with a null doc_id
     are left out; rows that repeat an id are documents of their own. Equal sets are linked whatever their number. No rows give no rows.
     """
+    if radius > RADIUS:
+        raise ValueError(f"a pair more than {RADIUS} places apart may share no key")
     spark = docs.sparkSession
     told = stash(describe(docs), "shingled")
     classes = told.filter("n_shingles > 0").groupBy("name").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
@@ -360,8 +368,10 @@ def link(docs: DataFrame, num: int = 75, den: int = 100, radius: int = 31, block
         rows = rows.select("cluster", "i", "j", "block", "cid", "comp", "blob").repartition(parts(spark), "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "block")
         links = links.unionAll(stash(_links_in_clusters(rows, num, den), "more-links"))
         found = components(links, "classes-linked")
-    of_class = classes.select("cid", "name", "rep").join(found.toDF("cid", "comp"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-    lowest = of_class.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    labels = of_class.join(lowest, "comp").select("name", "component_id")
+    of_class = classes.select("cid", "name", "rep").join(found.toDF("cid", "comp"), "cid", "left").withColumn("salt", F.pmod(F.xxhash64("cid"), F.lit(SALTS)))
+    lowest = of_class.filter("comp is not null").groupBy("comp").agg(F.min("rep").alias("component_id"))
+    lowest = lowest.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    linked = of_class.filter("comp is not null").join(lowest, ["comp", "salt"]).select("name", "component_id")
+    labels = linked.unionAll(of_class.filter("comp is null").select("name", F.col("rep").alias("component_id")))
     out = told.select("doc_id", "n_shingles", "name").join(labels, "name", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))

@@ -231,6 +231,48 @@ def test_near_duplicates(spark, rows):
     assert Counter(tuple(r) for r in got) == groups([(i, t) for i, t in rows if i is not None])
 
 
+def test_pairs_within_the_radius_share_a_key(spark):
+    """Differences spread over the chunks as evenly as can be, and at random: 31 of 64 always leave a key, and more can leave none."""
+    import random
+
+    r = random.Random(1)
+    base = [r.randrange(-(2**15), 2**15) for _ in range(neardup.SYMBOLS)]
+
+    def changed(places):
+        return [x ^ 1 if i in places else x for i, x in enumerate(base)]
+
+    two_each = [c * neardup.WIDTH + k for c in range(neardup.CHUNKS) for k in (0, 1)]
+    cases = [set(two_each[:31]), *[set(r.sample(range(neardup.SYMBOLS), 31)) for _ in range(200)], set(two_each)]
+    rows = [(0, base), *[(i + 1, changed(p)) for i, p in enumerate(cases)]]
+    keys = {}
+    for x in neardup._keys(spark.createDataFrame(rows, "cid long, sig array<smallint>")).collect():
+        keys.setdefault(x["cid"], set()).add(x["key"])
+    shared = [bool(keys[0] & keys[i + 1]) for i in range(len(cases))]
+    assert all(shared[:-1]) and not shared[-1]
+    with pytest.raises(ValueError, match="share no key"):
+        neardup.link(frame(spark), radius=32)
+
+
+def test_recall_at_the_threshold(spark):
+    """Pairs of similarity 0.75 to 0.80, the farthest that count: all are found."""
+    import random
+
+    r = random.Random(8)
+    rows, linked = [], {}
+    for i in range(300):
+        w = words(70_000 + i, 200).split()
+        v = list(w)
+        while True:  # one edited word costs five shingles of either text
+            v[r.randrange(len(v))] = f"z{r.randrange(10**9)}"
+            a, b = ({" ".join(x[k : k + 5]) for k in range(len(x) - 4)} for x in (w, v))
+            if len(a & b) / len(a | b) < 0.78:
+                break
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(v))]
+        linked[i] = 100 * len(a & b) >= 75 * len(a | b)
+    got = {x["doc_id"]: x["component_id"] for x in neardup.link(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(linked.values()) > 200 and all((got[2 * i + 1] == 2 * i) == want for i, want in linked.items())
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 160)] + [(7, 7), (None, 3), (500, 499)]
     got = components(spark.createDataFrame(edges, "a long, b long"))
