@@ -2,14 +2,16 @@
 
 With M the largest norm, a vector x becomes (x, sqrt(M^2 - |x|^2)) and a query (q, 0): the highest inner products are then the
 smallest distances, |q' - x'|^2 = |q|^2 + M^2 - 2 q.x. Every vector is keyed by its nearest pivot (cell) and its distance to it;
-a cell is dealt into blocks of bounded size, sorted by that distance. A query reads its home block first, which bounds
-its k-th score; then, of every block whose distances the triangle inequality doesn't exclude, annuli around its
-own distance to the pivot, outwards until the bound stops it. Bounds carry a slack for rounding; scores are exact integers.
+a cell is cut into bands of that distance, and a band dealt into blocks of bounded size. A query reads its home block first, which bounds
+its k-th score; then, of every band whose distances the triangle inequality doesn't exclude, annuli around its
+own distance to the pivot, outwards until the bound stops it. Vectors travel to a block that some query reads, once for so many of its queries;
+blocks that none reads stay where they are. Bounds carry a slack for rounding; scores are exact integers.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -58,23 +60,24 @@ def _nearest(x: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return home, np.sqrt(((x - pivots[home]) ** 2).sum(1))
 
 
-def top_k(vectors: DataFrame, k: int = 10, scale: float = 1024.0, query_mod: int = 100, id_col: str = "vec_id", vec: str = "embedding", n_pivots: int = 32, block_rows: int = 4096, block_queries: int = 4096, sample: int = 2048) -> DataFrame:
+def top_k(vectors: DataFrame, k: int = 10, scale: float = 1024.0, query_mod: int = 100, id_col: str = "vec_id", vec: str = "embedding", **index: int) -> DataFrame:
     """For each row whose id is divisible by ``query_mod``: the k highest integer inner products of floor(scale * x) with
     every other row, ties to the smaller id: query_id, rank, vec_id, score.
 
-    Rows with a null id, or whose vector is null, empty, or holds a null or non-finite component, take no part; nor do
-    vectors of another length than most have (ties: the shorter). Rows that repeat an id are rows of their own: each is a candidate, and each a
-    query if its id qualifies. Fewer than k other rows: all of them. Pivots come from at most ``sample`` rows; every row is
-    indexed. Scores must fit a long.
+    Rows with a null id, or whose vector is null, empty, or holds a null or non-finite component, take no part; vectors of different lengths have
+    no product: each length is searched by itself. Rows that repeat an id are rows of their own: each is a candidate, and each a
+    query if its id qualifies. Fewer than k other rows: all of them. Scores must fit a long. ``index``: see ``top_k_of_length``.
     """
     spark = vectors.sparkSession
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec).cast("array<double>").alias("e")).filter(f"vec_id is not null and {_usable('e')}")
-    dims = rows.groupBy(F.size("e").alias("d")).agg(F.count("*").alias("n")).collect()
-    if not dims:
-        return empty
-    dim = min(dims, key=lambda r: (-r["n"], r["d"]))["d"]
-    rows = rows.filter(F.size("e") == dim)
+    lengths = sorted(r["d"] for r in rows.select(F.size("e").alias("d")).distinct().collect())
+    out = [top_k_of_length(rows.filter(F.size("e") == d), d, k, scale, query_mod, **index) for d in lengths]
+    return reduce(DataFrame.unionAll, out) if out else spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+
+
+def top_k_of_length(rows: DataFrame, dim: int, k: int, scale: float, query_mod: int, n_pivots: int = 32, bands: int = 64, block_rows: int = 4096, block_queries: int = 4096, sample: int = 2048) -> DataFrame:
+    """``top_k`` of rows(vec_id, e) with usable vectors of one length. Pivots come from at most ``sample`` rows; every row is
+    indexed. ``bands`` of a cell hold about as many rows each; ``block_rows`` and ``block_queries`` meet in a task at most."""
     norm2 = F.expr(f"aggregate(e, 0D, (s, x) -> s + floor({scale}D * x) * floor({scale}D * x))")
     m2 = float(rows.agg(F.max(norm2)).first()[0])
     some = rows.orderBy(F.xxhash64("vec_id"), "e").limit(sample).select("e").toPandas()["e"]
@@ -90,13 +93,24 @@ def top_k(vectors: DataFrame, k: int = 10, scale: float = 1024.0, query_mod: int
                 yield pd.DataFrame({"uid": f["uid"], "vec_id": f["vec_id"], "cell": home.astype(np.int32), "dist": dist, "x": [r.tobytes() for r in x]})
 
     index = stash(rows.withColumn("uid", F.monotonically_increasing_id()).select("uid", "vec_id", "e").mapInPandas(assign, "uid long, vec_id long, cell int, dist double, x binary"), "pivot-index")
-    cells = {r["cell"]: r for r in index.groupBy("cell").agg(F.count("*").alias("n"), F.min("dist").alias("lo"), F.max("dist").alias("hi")).collect()}
-    blocks = {c: -(-r["n"] // block_rows) for c, r in cells.items()}
-    per_cell = F.create_map(*[F.lit(x) for c, n in blocks.items() for x in (c, n)])
-    dealt = index.withColumn("block", F.pmod(F.xxhash64("uid"), per_cell[F.col("cell")]).cast("int"))
+    cuts = index.groupBy("cell").agg(F.percentile_approx("dist", [i / bands for i in range(1, bands)], 10_000).alias("cuts")).collect()
+    of_cell = F.create_map(*[x for r in cuts for x in (F.lit(r["cell"]), F.array(*[F.lit(c) for c in sorted(set(r["cuts"]))]))])
+    dealt = index.withColumn("band", F.size(F.filter(of_cell[F.col("cell")], lambda c: c < F.col("dist"))))
+    held = {(r["cell"], r["band"]): r for r in dealt.groupBy("cell", "band").agg(F.count("*").alias("n"), F.min("dist").alias("lo"), F.max("dist").alias("hi")).collect()}
+    blocks = {key: -(-r["n"] // block_rows) for key, r in held.items()}
+    per_band = F.create_map(*[F.lit(x) for (c, b), n in blocks.items() for x in (c * bands + b, n)])
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("uid"), per_band[F.col("cell") * bands + F.col("band")]).cast("int"))
     queries = dealt.filter(F.pmod("vec_id", F.lit(query_mod)) == 0)
-    n_chunks = max(1, -(-queries.count() // block_queries))  # queries of a block that meet in one task are bounded too
-    queries = queries.withColumn("chunk", F.pmod(F.xxhash64("uid", F.lit(5)), F.lit(n_chunks)).cast("int"))
+    where = ["cell", "band", "block"]
+
+    def meet(asked: DataFrame, label: str) -> DataFrame:
+        """Each block with the queries that read it, at most ``block_queries`` in a task; a block is copied only where it has more, and not sent if it has none."""
+        asked = stash(asked, label)
+        chunks = asked.groupBy(*where).agg(F.ceil(F.count("*") / block_queries).cast("int").alias("chunks"))
+        asked = asked.join(chunks, where).withColumn("chunk", F.pmod(F.xxhash64("uid", F.lit(5)), F.col("chunks")).cast("int"))
+        sent = dealt.join(chunks, where).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        at = [*where, "chunk"]
+        return sent.select(*at, "uid", "vec_id", "dist", "x").groupBy(*at).cogroup(asked.select(*at, "uid", "vec_id", "x", "bound").groupBy(*at)).applyInPandas(search, "uid long, query_id long, vec_id long, score long")
 
     def search(_key: tuple, held: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         """Best k of a block for each query; asked.bound: a k-th score found elsewhere."""
@@ -136,28 +150,27 @@ def top_k(vectors: DataFrame, k: int = 10, scale: float = 1024.0, query_mod: int
                 got += [(quid, qid, int(i), int(s)) for s, i in zip(*best[0], strict=True)]
         return pd.DataFrame(got, columns=["uid", "query_id", "vec_id", "score"]).astype("int64")
 
-    schema = "uid long, query_id long, vec_id long, score long"
-    vecs = dealt.select("uid", "vec_id", "cell", "block", "dist", "x", F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1))).alias("chunk"))
-    at = ["cell", "block", "chunk"]
-    home = queries.withColumn("bound", F.lit(float("-inf")))
-    first = stash(vecs.groupBy(*at).cogroup(home.groupBy(*at)).applyInPandas(search, schema), "topk-home")
+    first = stash(meet(queries.select("uid", "vec_id", "x", F.lit(float("-inf")).alias("bound"), *where), "topk-asked-home"), "topk-home")
     bounds = first.groupBy("uid").agg(F.when(F.count("*") >= k, F.min("score").cast("double")).otherwise(F.lit(float("-inf"))).alias("bound"))
-    lows = {c: (r["lo"], r["hi"]) for c, r in cells.items()}
+    ranges = [(c, b, r["lo"], r["hi"]) for (c, b), r in held.items()]
 
     def probe(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """The other blocks that a query has to read."""
+        cell, band, lo, hi = (np.array(x) for x in zip(*ranges, strict=True))
         for f in frames:
             for r in f.itertuples(index=False):
                 q = np.frombuffer(r.x, np.float64)
                 radius = np.sqrt(max(float((q**2).sum()) + m2 - 2 * r.bound, 0)) + slack if r.bound > -np.inf else np.inf
-                at = np.sqrt(((np.append(q, 0.0) - pivots) ** 2).sum(1))
-                todo = [(c, b) for c, (lo, hi) in lows.items() if max(at[c] - hi, lo - at[c], 0) <= radius for b in range(blocks[c]) if (c, b) != (r.cell, r.block)]
+                at = np.sqrt(((np.append(q, 0.0) - pivots) ** 2).sum(1))[cell]
+                near = np.flatnonzero(np.maximum(at - hi, lo - at) <= radius)
+                todo = [(c, b, i) for c, b in zip(cell[near].tolist(), band[near].tolist(), strict=True) for i in range(blocks[c, b]) if (c, b, i) != (r.cell, r.band, r.block)]
                 if todo:
-                    yield pd.DataFrame({"uid": r.uid, "vec_id": r.vec_id, "x": [r.x] * len(todo), "bound": r.bound, "cell": np.array([c for c, _ in todo], np.int32), "block": np.array([b for _, b in todo], np.int32), "chunk": r.chunk})
+                    c, b, i = (np.array(x, np.int32) for x in zip(*todo, strict=True))
+                    yield pd.DataFrame({"uid": r.uid, "vec_id": r.vec_id, "x": [r.x] * len(todo), "bound": r.bound, "cell": c, "band": b, "block": i})
 
     asked = queries.join(bounds, "uid", "left").withColumn("bound", F.coalesce("bound", F.lit(float("-inf"))))
-    asked = asked.select("uid", "vec_id", "x", "bound", "cell", "block", "chunk").mapInPandas(probe, "uid long, vec_id long, x binary, bound double, cell int, block int, chunk int")
-    second = vecs.groupBy(*at).cogroup(asked.groupBy(*at)).applyInPandas(search, schema)
+    asked = asked.select("uid", "vec_id", "x", "bound", *where).mapInPandas(probe, "uid long, vec_id long, x binary, bound double, cell int, band int, block int")
+    second = meet(asked, "topk-asked")
     order = Window.partitionBy("uid").orderBy(F.desc("score"), "vec_id")
     best = first.unionAll(second).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return best.select("query_id", "rank", "vec_id", "score")

@@ -8,13 +8,10 @@ RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.
 
 def best(rows, k, mod):
     ok = [(i, np.floor(1024 * np.array(v, np.float64)).astype(np.int64)) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
-    sizes = [len(v) for _, v in ok]
-    dim = max(set(sizes), key=lambda s: (sizes.count(s), -s)) if sizes else 0
-    ok = [(i, v) for i, v in ok if len(v) == dim]
     out = []
     for a, (q, x) in enumerate(ok):
         if q % mod == 0:
-            s = sorted((-int(x @ y), i) for b, (i, y) in enumerate(ok) if a != b)[:k]
+            s = sorted((-int(x @ y), i) for b, (i, y) in enumerate(ok) if a != b and len(x) == len(y))[:k]
             out += [(q, r + 1, i, -n) for r, (n, i) in enumerate(s)]
     return sorted(out)
 
@@ -30,9 +27,9 @@ def test_top_k(spark, case):
     if case == "empty":
         rows = []
     if case == "odd":
-        rows += [(1000, None), (1001, []), (1002, [1.0] * 7 + [None]), (1003, [float("nan")] * 8), (1004, [float("inf")] * 8), (1005, [1.0, 2.0]), (None, [1.0] * 8), (20, [9.0] * 8), (20, [9.0] * 8), (2000, [0.0] * 8), (2020, [1000.0] * 8)]
+        rows += [(1000, None), (1001, []), (1002, [1.0] * 7 + [None]), (1003, [float("nan")] * 8), (1004, [float("inf")] * 8), (1005, [1.0, 2.0]), (1040, [3.0, 1.0]), (1060, [0.5]), (None, [1.0] * 8), (20, [9.0] * 8), (20, [9.0] * 8), (2000, [0.0] * 8), (2020, [1000.0] * 8)]
     df = spark.createDataFrame([(i, v, 3, "c") for i, v in rows], "vec_id long, embedding array<float>, cell int, score string").repartition(3)
-    got = topk.top_k(df, k=10, query_mod=20, n_pivots=6, block_rows=50, sample=100)
+    got = topk.top_k(df, k=10, query_mod=20, n_pivots=6, bands=4, block_rows=50, block_queries=7, sample=100)
     assert sorted(tuple(x) for x in got.collect()) == best(rows, 10, 20)
 
 
