@@ -61,9 +61,40 @@ def fullest(gap: int, counts: dict[int, int]) -> Filling:
     return tuple(sorted(out, reverse=True))
 
 
-def fillings(gap: int, counts: dict[int, int], most_items: int = 4, most: int = 6) -> list[Filling]:
-    """Fillings of ``gap`` from the lengths that remain, best fit first, about ``most``: undominated ones of at most ``most_items`` items, topped up
-    with what their gap still holds; where none of these fills it, the fullest of any number of items comes first.
+def every_filling(gap: int, counts: dict[int, int]) -> Iterator[Filling]:
+    """All undominated fillings of ``gap`` from the lengths that remain, by any number of items, by falling sum."""
+    sizes = sorted((s for s, n in counts.items() if n > 0 and s <= gap), reverse=True)
+    mask = (1 << (gap + 1)) - 1
+    reach = [1]  # from the smallest length on: the sums that these lengths reach
+    for s in reversed(sizes):
+        bits, left, k = reach[-1], min(counts[s], gap // s), 1
+        while left:
+            k = min(k, left)
+            bits |= bits << (s * k) & mask
+            left, k = left - k, 2 * k
+        reach.append(bits)
+    reach.reverse()
+
+    def build(i: int, total: int, taken: Filling) -> Iterator[Filling]:
+        if not total:
+            yield taken
+        elif i < len(sizes):
+            for k in range(min(counts[sizes[i]], total // sizes[i]), -1, -1):
+                if reach[i + 1] >> (total - k * sizes[i]) & 1:
+                    yield from build(i + 1, total - k * sizes[i], taken + (sizes[i],) * k)
+
+    found: list[Filling] = []
+    for total in range(gap, -1, -1):
+        if reach[0] >> total & 1:
+            for f in build(0, total, ()):
+                if not any(_dominates(g, f) for g in found):
+                    found.append(f)
+                    yield f
+
+
+def likely_fillings(gap: int, counts: dict[int, int], most_items: int = 4, most: int = 6, sums: int = 40) -> list[Filling]:
+    """The fillings of ``gap`` that are tried first, about ``most``: undominated ones of at most ``most_items`` items among the ``sums`` highest sums, topped up
+    with what their gap still holds; where none of these fills it, the fullest of any number of items comes first. ``every_filling`` has the rest.
 
     Sums that k items reach are a bit set; the highest reachable one is the best fit. Fillings are tried by falling sum and
     falling largest item: an item in place of several with its sum dominates them, and what is hard to place goes first.
@@ -96,7 +127,7 @@ def fillings(gap: int, counts: dict[int, int], most_items: int = 4, most: int =
 
     total = every.bit_length() - 1
     tries = 0
-    while total > 0 and len(found) < most and tries < 40:
+    while total > 0 and len(found) < most and tries < sums:
         if every >> total & 1:
             tries += 1
             for first, k in ((s, k) for s in sizes for k in range(1, len(reach)) if s <= total and reach[k - 1] >> (total - s) & 1):
@@ -153,13 +184,38 @@ def best_fit(hist: dict[int, int], capacity: int) -> list[tuple[int, Filling]]:
     return [(n, f) for fs in rooms.values() for f, n in fs.items()]
 
 
-def complete_bins(hist: dict[int, int], capacity: int = 1024, nodes: int = 4_000, restarts: int = 10) -> list[tuple[int, Filling]]:
+def _options(top: int, gap: int, counts: dict[int, int], first: list[Filling], full: bool) -> Iterator[tuple[Filling, int]]:
+    """(filling around top, how often): the likely ones as often as the counts last; with ``full``, then these fewer times, then every other one, each time from often to once."""
+
+    def most(f: Filling) -> int:
+        return min(counts[s] // f.count(s) for s in set(f))
+
+    whole = [(top, *f) for f in first]
+    times = {f: most(f) for f in whole}
+    yield from times.items()
+    if not full:
+        return
+    for f, n in times.items():
+        yield from ((f, k) for k in range(n - 1, 0, -1))
+    counts = {**counts, top: counts[top] - 1}
+    for f in every_filling(gap, counts):
+        f = (top, *f)
+        if f not in times:
+            counts[top] += 1
+            n = most(f)
+            counts[top] -= 1
+            yield from ((f, k) for k in range(n, 0, -1))
+
+
+def complete_bins(hist: dict[int, int], capacity: int = 1024, nodes: int | None = 8_000, restarts: int = 10) -> list[tuple[int, Filling]]:
     """Bin completion: [(times, filling)] that uses every length of hist as often as it occurs.
 
-    Depth first: around the largest remaining length, each undominated filling is applied as often as the counts last. The
+    Depth first: around the largest remaining length, undominated fillings are applied. The
     best-fit completion comes first. Best-fit decreasing is the first incumbent; a branch whose waste so far leaves no chance
-    of beating the incumbent is cut, and the search ends once the lower bound is met or after ``nodes`` nodes. These are shared
-    by ``restarts`` searches, all but the first with now and then another filling tried first (seeded: the plan is the same each time).
+    of beating the incumbent is cut, and the search ends once the lower bound is met or ``nodes`` fillings have been applied. These are shared
+    by ``restarts`` searches. Those before the last keep to the likely fillings, as often as the counts last, all but the first with now and then another one tried first (seeded:
+    the plan is the same each time); the last goes through every undominated filling, and applies each as often as the counts last, then fewer times. With nodes of
+    None there is only that one and no limit: the result is the fewest bins there can be.
     """
     hist = {s: n for s, n in hist.items() if n}
     total = sum(s * n for s, n in hist.items())
@@ -169,32 +225,30 @@ def complete_bins(hist: dict[int, int], capacity: int = 1024, nodes: int = 4_000
     if best_bins <= bound:
         return best
 
-    def options(counts: dict[int, int]) -> tuple[int, list[Filling]]:
+    def options(counts: dict[int, int], rng: random.Random | None, full: bool) -> Iterator[tuple[Filling, int]]:
         top = max(counts)
         counts[top] -= 1
-        found = fillings(capacity - top, counts)
+        found = likely_fillings(capacity - top, counts)
         counts[top] += 1
-        return top, found
+        if rng and len(found) > 1 and rng.random() < 0.2:
+            found.insert(0, found.pop(rng.randrange(1, len(found))))
+        return _options(top, capacity - top, dict(counts), found, full)
 
-    for restart in range(restarts):
-        rng = random.Random(restart)
+    for restart in range(restarts if nodes is not None else 1):
+        full = nodes is None or restart == restarts - 1
+        rng = random.Random(restart) if restart and not full else None
         counts, path = dict(hist), []
-        frames: list[list] = []  # [largest length, fillings still to try, what is applied]
+        frames: list[list] = []  # [what to try, what is applied]
         waste = bins = visited = 0
         while best_bins > bound:
             # even without further waste, a branch needs ceil((total + waste) / capacity) bins
             if counts and -(-(total + waste) // capacity) < best_bins:
-                visited += 1
-                if visited > nodes // restarts:
-                    break
-                top, found = options(counts)
-                if restart and len(found) > 1 and rng.random() < 0.2:
-                    found.insert(0, found.pop(rng.randrange(1, len(found))))
-                frames.append([top, found, None])
+                frames.append([options(counts, rng, full), None])
             elif not counts and bins < best_bins:
                 best, best_bins = list(path), bins
-            while frames:
-                top, found, applied = frames[-1]
+            step = None
+            while frames and step is None:
+                untried, applied = frames[-1]
                 if applied:
                     times, f = applied
                     for s in f:
@@ -202,13 +256,14 @@ def complete_bins(hist: dict[int, int], capacity: int = 1024, nodes: int = 4_000
                     waste -= times * (capacity - sum(f))
                     bins -= times
                     path.pop()
-                if found:
-                    break
-                frames.pop()
-            if not frames:
+                    frames[-1][1] = None
+                step = next(untried, None)
+                if step is None:
+                    frames.pop()
+            visited += 1
+            if step is None or (nodes is not None and visited > nodes // restarts):
                 break
-            f = (top, *found.pop(0))
-            times = min(counts[s] // f.count(s) for s in set(f))
+            f, times = step
             for s in f:
                 counts[s] -= times
             for s in set(f):
@@ -216,7 +271,7 @@ def complete_bins(hist: dict[int, int], capacity: int = 1024, nodes: int = 4_000
                     del counts[s]
             waste += times * (capacity - sum(f))
             bins += times
-            frames[-1][2] = (times, f)
+            frames[-1][1] = (times, f)
             path.append((times, f))
     return best
 

@@ -141,6 +141,29 @@ def test_bin_completion_is_near_exact():
     assert sum(t for t, _ in packing.complete_bins(big)) <= sum(t for t, _ in packing.best_fit(big, 1024))
 
 
+def test_bin_completion_without_a_limit_is_exact():
+    import random
+
+    for seed in range(60):
+        r = random.Random(seed)
+        sizes = [r.choice([r.randint(1, 60), r.randint(5, 30), 17]) for _ in range(9)]
+        plan = packing.complete_bins(Counter(sizes), 100, nodes=None)
+        assert sum(t for t, _ in plan) == exact_bins(sizes, 100)
+
+
+def test_every_undominated_filling_is_found():
+    import itertools
+    import random
+
+    for seed in range(20):
+        r = random.Random(seed)
+        items = [r.randint(1, 20) for _ in range(8)]
+        got = list(packing.every_filling(40, Counter(items)))
+        sets = {tuple(sorted(c, reverse=True)) for k in range(9) for c in itertools.combinations(items, k) if sum(c) <= 40}
+        assert set(got) <= sets and [sum(f) for f in got] == sorted(map(sum, got), reverse=True)
+        assert all(any(packing._dominates(g, f) for g in got) for f in sets)
+
+
 def test_packing_is_no_worse_than_best_fit_decreasing():
     import bisect
     import random
@@ -169,13 +192,13 @@ def test_packing_is_no_worse_than_best_fit_decreasing():
 
 
 def test_fillings_take_as_many_items_as_fit():
-    assert packing.fillings(200, {30: 60})[0] == (30,) * 6
-    assert sum(packing.fillings(200, {33: 60, 17: 60})[0]) == 200
+    assert packing.likely_fillings(200, {30: 60})[0] == (30,) * 6
+    assert sum(packing.likely_fillings(200, {33: 60, 17: 60})[0]) == 200
     assert packing.fullest(100, {30: 2, 7: 3}) == (30, 30, 7, 7, 7) and packing.fullest(5, {6: 1}) == ()
 
 
 def test_fillings_are_undominated():
-    found = packing.fillings(10, {7: 1, 3: 2, 6: 1, 4: 1, 1: 5})
+    found = packing.likely_fillings(10, {7: 1, 3: 2, 6: 1, 4: 1, 1: 5})
     assert found[0] in ((7, 3), (6, 4)) and all(sum(f) <= 10 for f in found)
     assert packing._dominates((5, 5), (3, 2, 4)) and not packing._dominates((5, 4), (3, 3, 3))
 
