@@ -16,11 +16,11 @@ cross documents.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,17 +31,17 @@ from gridmason.llm.rolling import gram_hashes, mix, sliding_min
 
 GRAM = 24
 ROW = "bucket int, kind int, blob binary"
-RECORD = np.dtype([("gram", "<u8"), ("stretch", "<u8"), ("doc", "<i8"), ("tag", "<u2"), ("lo", "<i4"), ("wins", "u1"), ("off", "u1")])
-CAND = np.dtype([("gram", "<u8"), ("doc", "<i8"), ("tag", "<u2"), ("lo", "<i4"), ("wins", "u1"), ("off", "u1"), ("hot", "u1")])
-SPAN = np.dtype([("doc", "<i8"), ("tag", "<u2"), ("start", "<i4"), ("end", "<i4")])
-WINDOW = np.dtype([("one", "<u8"), ("two", "<u8"), ("doc", "<i8"), ("tag", "<u2"), ("start", "<i4")])
+RECORD = np.dtype([("gram", "<u8"), ("stretch", "<u8"), ("doc", "<i8"), ("tag", "<u8"), ("lo", "<i4"), ("wins", "u1"), ("off", "u1")])
+CAND = np.dtype([("gram", "<u8"), ("doc", "<i8"), ("tag", "<u8"), ("lo", "<i4"), ("wins", "u1"), ("off", "u1"), ("hot", "u1")])
+SPAN = np.dtype([("doc", "<i8"), ("tag", "<u8"), ("start", "<i4"), ("end", "<i4")])
+WINDOW = np.dtype([("one", "<u8"), ("two", "<u8"), ("doc", "<i8"), ("tag", "<u8"), ("start", "<i4")])
 #: Kinds of packed rows: records, spans on their way to a document, candidates, marks of hot grams, runs, windows, documents.
 RECORDS, SPANS, CANDS, MARKS, RUNS, WINDOWS, DOCS = 1, 2, 3, 4, 5, 6, 9
 
 
 def _tag(text: bytes) -> int:
     """Tells rows that repeat a doc_id apart."""
-    return zlib.crc32(text) & 0xFFFF
+    return xxhash.xxh3_64_intdigest(text)
 
 
 def _packed(a: np.ndarray) -> bytes:
@@ -106,7 +106,7 @@ def records(texts: list[bytes], docs: np.ndarray, length: int) -> np.ndarray:
     out = np.zeros(len(first), RECORD)
     owner = np.searchsorted(ends, lo, "right")
     out["gram"], out["doc"], out["lo"] = grams[at], docs[use][owner], lo - (ends - sizes)[owner]
-    out["tag"] = np.array([_tag(texts[i]) for i in use], np.uint16)[owner]
+    out["tag"] = np.array([_tag(texts[i]) for i in use], np.uint64)[owner]
     out["wins"], out["off"] = hi - lo + 1, at - lo
     # a stretch lo .. hi + length is the windows at its ends, which cover it, and its shape
     whole = gram_hashes(units, length)
@@ -328,7 +328,7 @@ def dedup(docs: DataFrame, length: int = 100, text: str = "text", kept: str = "k
     spans array<struct<start, end>> (maximal removed runs). Columns of docs with these names are replaced.
 
     Null text is empty text. Rows with a null doc_id are left out. Rows that repeat a doc_id are the same document as to order: of equal
-    strings at equal starts neither is earlier (of two rows alike in id and in 16 bits of their text's checksum, both lose what either does). Texts shorter than ``length`` lose nothing. No rows give no rows. ``length``: 48 to 200.
+    strings at equal starts neither is earlier. Texts shorter than ``length`` lose nothing. No rows give no rows. ``length``: 48 to 200.
 
     What repeats within a task is settled there, so that a text or passage in a third of all rows sends one record a task. A gram with more than
     ``hot_in_task`` different stretches in a task (a quarter of a million records), or ``hot_in_all`` altogether, takes another exact way: its windows, by
