@@ -36,6 +36,36 @@ def test_stages(spark, tmp_path):
     assert {"doc_id", "sequence_id", "offset", "length"} <= set(packed.columns) and {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == set(texts["mixing"])
 
 
+def test_repeated_rows_and_null_ids_in_stages(spark, tmp_path):
+    a, b, c = words(201, 60), words(202, 60), words(203, 60)
+    near = a.split()
+    near[3] = "other"
+    rows = [(5, a), (5, a), (7, " ".join(near)), (None, a), (None, b), (9, c), (9, words(204, 60)), (11, c), (3, None), (4, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted([(5, a), (None, b), (9, c), (9, words(204, 60)), (3, None), (4, "")], key=str)
+
+
+def test_passages_leave_replacement_characters(spark, tmp_path):
+    passage = words(55, 60, "éàüöñ")
+    texts = [(1, "x" + passage + " end"), (2, "a\ufffdb " + passage + " \ufffd rest")]
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.repeated_passages(spark, docs_of(spark, texts), str(tmp_path)).collect()}
+    assert got[1] == texts[0][1] and got[2].startswith("a\ufffdb") and got[2].endswith("\ufffd rest") and got[2].count("\ufffd") == 2 and "ü" not in got[2]
+    assert corpus_pipeline.repeated_passages(spark, docs_of(spark, [(None, "x")]).limit(0), str(tmp_path)).count() == 0
+
+
+def test_mixture_thins_what_is_not_clean(spark, tmp_path):
+    rows, labels = [], []
+    for i in range(400):
+        kind = "toxic" if i % 4 == 0 else "low" if i % 4 == 1 else "clean"
+        rows.append((i, words(9000 + i, 40) + {"toxic": " vile rotten scum", "low": " %%% ### ***", "clean": ""}[kind]))
+        labels.append((i, int(kind != "low"), int(kind == "toxic")))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r["doc_id"] for r in corpus_pipeline.mixture(spark, docs_of(spark, rows), str(tmp_path)).collect()}
+    assert {i for i in range(400) if i % 4 >= 2} <= got
+    assert sum(i % 4 == 0 for i in got) < 20 and 5 < sum(i % 4 == 1 for i in got) < 50
+
+
 def test_empty_documents(spark, tmp_path):
     docs_of(spark, []).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
