@@ -77,7 +77,7 @@ def top_k(vectors: DataFrame, k: int = 10, scale: float = 1024.0, query_mod: int
 
 def top_k_of_length(rows: DataFrame, dim: int, k: int, scale: float, query_mod: int, n_pivots: int = 32, bands: int = 64, block_rows: int = 4096, block_queries: int = 4096, sample: int = 2048) -> DataFrame:
     """``top_k`` of rows(vec_id, e) with usable vectors of one length. Pivots come from at most ``sample`` rows; every row is
-    indexed. ``bands`` of a cell hold about as many rows each; ``block_rows`` and ``block_queries`` meet in a task at most."""
+    indexed. A cell is cut into bands of about ``block_rows`` rows each, ``bands`` at most; ``block_rows`` and ``block_queries`` meet in a task at most."""
     norm2 = F.expr(f"aggregate(e, 0D, (s, x) -> s + floor({scale}D * x) * floor({scale}D * x))")
     m2 = float(rows.agg(F.max(norm2)).first()[0])
     some = rows.orderBy(F.xxhash64("vec_id"), "e").limit(sample).select("e").toPandas()["e"]
@@ -93,8 +93,10 @@ def top_k_of_length(rows: DataFrame, dim: int, k: int, scale: float, query_mod:
                 yield pd.DataFrame({"uid": f["uid"], "vec_id": f["vec_id"], "cell": home.astype(np.int32), "dist": dist, "x": [r.tobytes() for r in x]})
 
     index = stash(rows.withColumn("uid", F.monotonically_increasing_id()).select("uid", "vec_id", "e").mapInPandas(assign, "uid long, vec_id long, cell int, dist double, x binary"), "pivot-index")
-    cuts = index.groupBy("cell").agg(F.percentile_approx("dist", [i / bands for i in range(1, bands)], 10_000).alias("cuts")).collect()
-    of_cell = F.create_map(*[x for r in cuts for x in (F.lit(r["cell"]), F.array(*[F.lit(c) for c in sorted(set(r["cuts"]))]))])
+    cuts = index.groupBy("cell").agg(F.count("*").alias("n"), F.percentile_approx("dist", [i / bands for i in range(1, bands)], 10_000).alias("cuts")).collect()
+    wanted = {r["cell"]: min(bands, -(-r["n"] // block_rows)) for r in cuts}  # a band of fewer rows than a block would only be one more place to ask
+    used = {r["cell"]: sorted({r["cuts"][i * bands // wanted[r["cell"]] - 1] for i in range(1, wanted[r["cell"]])}) for r in cuts}
+    of_cell = F.create_map(*[x for c, at in used.items() for x in (F.lit(c), F.array(*[F.lit(d) for d in at]).cast("array<double>"))])
     dealt = index.withColumn("band", F.size(F.filter(of_cell[F.col("cell")], lambda c: c < F.col("dist"))))
     held = {(r["cell"], r["band"]): r for r in dealt.groupBy("cell", "band").agg(F.count("*").alias("n"), F.min("dist").alias("lo"), F.max("dist").alias("hi")).collect()}
     blocks = {key: -(-r["n"] // block_rows) for key, r in held.items()}
