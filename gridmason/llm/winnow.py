@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from gridmason.llm.common import parts, small_batches
 from gridmason.llm.rolling import gram_hashes, minima, mix
 
-K, WINDOW = 24, 64
+K, WINDOW = 16, 32
 
 
 def fingerprint(text: str, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
@@ -97,21 +97,21 @@ def with_next(docs: DataFrame, run, schema: str, buckets_per_part: int = 3) -> D
 def compare_edits(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
     """Each document's fingerprint against that of its edited text (its last half replaced from the next document's start)
     and of the next document; see ``with_next`` for the order, nulls and repeated ids."""
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-    names = [c.split(" ")[0] for c in schema.split(", ")]
+    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, positions array<int>"
+    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.list_(pa.int32())]
+    names = [c.split(" ")[0] for c in schema.split(", ")]  # positions: where each hash of the fingerprint starts, in code points
 
     def run(pairs: Iterator[tuple[int, str, str]]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
-        last = ("", fingerprint("", k, window)[0])
+        last = ("", fingerprint("", k, window))
         for doc, text, after in pairs:
-            own = last[1] if last[0] == text else fingerprint(text, k, window)[0]
-            following = fingerprint(after, k, window)[0]
-            last = (after, following)
+            own, at = last[1] if last[0] == text else fingerprint(text, k, window)
+            last = (after, fingerprint(after, k, window))
+            following = last[1][0]
             half = len(text) // 2
             edited = text[: len(text) - half] + after[:half]
             changed = fingerprint(edited, k, window)[0]
-            rows.append((doc, len(text), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), to_text(own), to_text(changed), likeness(own, changed), likeness(own, following)))
+            rows.append((doc, len(text), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), to_text(own), to_text(changed), likeness(own, changed), likeness(own, following), at.tolist()))
             if len(rows) >= 2000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
                 rows = []

@@ -365,7 +365,7 @@ def test_winnow_matches_brute_force():
         assert len({text[i : i + 24] for i in range(len(h))}) == len(set(h.tolist()))
         top = (h >> np.uint64(32)).tolist()
         want = sorted({max(j for j in range(i, i + 64) if top[j] == min(top[i : i + 64])) for i in range(max(1, len(top) - 63))})
-        hashes, at = winnow.fingerprint(text)
+        hashes, at = winnow.fingerprint(text, 24, 64)
         assert at.tolist() == want and hashes.tolist() == [top[i] for i in want]
     assert [len(winnow.fingerprint(t)[0]) for t in ("", "a", "x" * 30)] == [0, 1, 1]
     a, b = words(1, 100), words(2, 100)
@@ -381,8 +381,10 @@ def test_compare_edits(spark):
         after = rows[(k + 1) % len(rows)][1]
         half = len(t) // 2
         edited = t[: len(t) - half] + after[:half]
-        want[(i, len(t), hashlib.sha256(edited.encode()).hexdigest(), winnow.to_text(winnow.fingerprint(t)[0]), winnow.likeness(winnow.fingerprint(t)[0], winnow.fingerprint(after)[0]))] += 1
-    assert Counter((r["doc_id"], r["n_chars"], r["edited_sha256"], r["fingerprint"], r["near_next"]) for r in got) == want
+        (own, at), changed, following = winnow.fingerprint(t), winnow.fingerprint(edited)[0], winnow.fingerprint(after)[0]
+        want[(i, len(t), hashlib.sha256(edited.encode()).hexdigest(), winnow.to_text(own), winnow.to_text(changed), winnow.likeness(own, changed), winnow.likeness(own, following), tuple(at.tolist()))] += 1
+    names = ("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    assert Counter((*[r[n] for n in names], tuple(r["positions"])) for r in got) == want
     one = winnow.compare_edits(frame(spark, [(1, "abc")])).first()
     assert (one["near_next"], one["fingerprint"] == winnow.to_text(winnow.fingerprint("abc")[0])) == (1.0, True)
     assert winnow.compare_edits(frame(spark, [])).count() == 0
