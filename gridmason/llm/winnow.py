@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridmason.llm.common import parts, small_batches
+from gridmason.llm.common import parts, release, small_batches
 from gridmason.llm.rolling import gram_hashes, minima, mix
 
 K, WINDOW = 16, 32
@@ -98,12 +98,20 @@ def compare_edits(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFram
     """Each document's fingerprint against that of its edited text (its last half replaced from the next document's start)
     and of the next document; see ``with_next`` for the order, nulls and repeated ids."""
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, positions array<int>"
-    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.list_(pa.int32())]
+    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
     names = [c.split(" ")[0] for c in schema.split(", ")]  # positions: where each hash of the fingerprint starts, in code points
 
     def run(pairs: Iterator[tuple[int, str, str]]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
+        places: list[np.ndarray] = []
+        held = 0
         last = ("", fingerprint("", k, window))
+
+        def batch() -> pa.RecordBatch:
+            ends = np.cumsum([0, *map(len, places)], dtype=np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(places).astype(np.int32)))
+            return pa.RecordBatch.from_arrays([*[pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], lists], names=names)
+
         for doc, text, after in pairs:
             own, at = last[1] if last[0] == text else fingerprint(text, k, window)
             last = (after, fingerprint(after, k, window))
@@ -111,11 +119,14 @@ def compare_edits(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFram
             half = len(text) // 2
             edited = text[: len(text) - half] + after[:half]
             changed = fingerprint(edited, k, window)[0]
-            rows.append((doc, len(text), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), to_text(own), to_text(changed), likeness(own, changed), likeness(own, following), at.tolist()))
-            if len(rows) >= 2000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
-                rows = []
+            rows.append((doc, len(text), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), to_text(own), to_text(changed), likeness(own, changed), likeness(own, following)))
+            places.append(at)
+            held += len(own) + len(changed)
+            if len(rows) >= 1000 or held >= 200_000:
+                yield batch()
+                rows, places, held = [], [], 0
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+            yield batch()
+        release()
 
     return with_next(docs, run, schema)
