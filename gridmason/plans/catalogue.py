@@ -526,7 +526,8 @@ def property_detail(spark: SparkSession, d: str) -> DataFrame:
     rows = adapters.listings(spark, d)
     key = rows.agg(F.min("id")).first()[0]
     prices = adapters.price_log(spark, d).withColumn("property_id", F.lit(key))
-    edges = rows.filter(F.col("id") != key).limit(3).select(F.lit(key).alias("canonical"), F.col("id").alias("duplicate"), F.lit(0.9).alias("score"))
+    builder = rows.filter(F.col("id") == key).agg(F.min("builder_id")).first()[0]
+    edges = rows.filter((F.col("id") != key) & (F.col("builder_id") == builder)).select(F.lit(key).alias("canonical"), F.col("id").alias("duplicate"), F.lit(0.9).alias("score"))
     return api.property_detail(rows, prices, edges, key).select("id", F.size("prices").alias("prices"), F.size("duplicates").alias("duplicates"))
 
 

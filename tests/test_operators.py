@@ -83,6 +83,12 @@ def test_duplicates(spark):
     ], s)
     got = {(r["left"], r["right"]): (r["score"], r["reason"]) for r in duplicates.find_duplicates(df).collect()}
     assert set(got) == {("a", "b"), ("c", "d")} and got[("a", "b")][0] == 1.0 and got[("c", "d")][0] == 0.95 and "shared image" in got[("c", "d")][1]
+    many = spark.createDataFrame([(f"k{i:02}", "x", str(i), *base) for i in range(60)] + [("s1", "x", "9", "One", 0, 100.0, 1e6, None, "1 BHK", "Sector 9", None, "g", "sale", None), ("s2", "x", "9", "Two", -1, 900.0, 9e6, None, "1 BHK", "Sector 9", None, "g", "sale", None)], s)
+    got = duplicates.find_duplicates(many).collect()
+    assert sorted((r["left"], r["right"]) for r in got) == sorted([("k00", f"k{i:02}") for i in range(1, 60)] + [("s1", "s2")])  # one pair for each copy
+    assert {(r["score"], r["reason"]) for r in got if r["left"] == "s1"} == {(1.0, "same source id")}
+    with pytest.raises(ValueError, match="threshold"):
+        duplicates.find_duplicates(df, threshold=0.5)
     edges = spark.createDataFrame([("a", "b"), ("a", "b"), ("a", "c")], "canonical string, duplicate string")
     linked = duplicates.link(spark.createDataFrame([("a", None), ("b", None), ("c", None)], "id string, canonical_id string"), edges)
     assert rows(linked, "id") == [("a", None, 2), ("b", "a", 0), ("c", "a", 0)]
