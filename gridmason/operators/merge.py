@@ -71,3 +71,29 @@ def accept_reject(rows: DataFrame, checks: dict[str, Column]) -> tuple[DataFrame
     reasons = F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in checks.items()]))
     judged = rows.withColumn("reasons", reasons)
     return judged.filter(F.size("reasons") == 0).drop("reasons"), judged.filter(F.size("reasons") > 0)
+
+
+def pending(rows: DataFrame, version: int) -> DataFrame:
+    """Rows never enriched, or by an older version."""
+    return rows.filter(F.col("enriched_at").isNull() | (F.coalesce("enrichment_version", F.lit(0)) < version))
+
+
+#: Fixed value: a description has to be longer to be worth a model's reading.
+LEAST_DESCRIPTION = 120
+
+
+def unresolved(rows: DataFrame, wanted: tuple[str, ...] = ("builder_name", "project_name", "summary")) -> DataFrame:
+    """Rows with a description and something wanted still missing."""
+    missing = F.array_contains(F.array(*[F.col(c).isNull() for c in wanted]), True)
+    return rows.filter((F.length("description") > LEAST_DESCRIPTION) & missing)
+
+
+def first_of(key: str, *sources: DataFrame) -> DataFrame:
+    """The union of sources of the same columns, one row per key: of the first source that has it (its smallest row)."""
+    out = None
+    for i, s in enumerate(sources):
+        part = s.select(F.lit(i).alias("_source"), *sources[0].columns)
+        out = part if out is None else out.unionByName(part)
+    rest = [c for c in sources[0].columns if c != key]
+    best = out.groupBy(key).agg(F.min(F.struct("_source", *rest)).alias("_best"))
+    return best.select(key, *[F.col(f"_best.{c}").alias(c) for c in rest]).select(*sources[0].columns)

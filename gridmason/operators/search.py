@@ -176,3 +176,8 @@ def pages(total: Column, limit: int) -> Column:
 def given(query: Query) -> dict:
     """What a search asks for, for a task that fills its gap."""
     return {f.name: getattr(query, f.name) for f in fields(query) if f.name in Query.IDENTITY and getattr(query, f.name) not in (None, "", [])}
+
+
+def primary_image(images: str = "images") -> Column:
+    """The address of the first image, null if there is none."""
+    return F.get(F.col(images), F.lit(0))["url"]

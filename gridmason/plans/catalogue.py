@@ -520,6 +520,34 @@ def trends_table(spark: SparkSession, d: str) -> DataFrame:
     return api.market_trends(rollups.locality_trends(adapters.listings(spark, d)), as_of(), sector="Brand#1", listing_type="rent", months=24).select("key", "listing_count")
 
 
+@query("SELECT doc_id FROM documents WHERE lang IS NULL OR n_chars % 3 < 2")
+def pending_enrichment(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.read.parquet(f"{d}/documents.parquet").withColumns({"enriched_at": F.col("lang"), "enrichment_version": F.col("n_chars") % 3})
+    return merge.pending(rows, 2).select("doc_id")
+
+
+@query("SELECT doc_id FROM documents WHERE length(text) > 120 AND (lang IS NULL OR source IS NULL OR n_chars % 2 <> 0)")
+def unresolved_rows(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.read.parquet(f"{d}/documents.parquet").withColumns({"description": F.col("text"), "builder_name": F.col("lang"), "project_name": F.col("source"), "summary": F.when(F.col("n_chars") % 2 == 0, "x")})
+    return merge.unresolved(rows).select("doc_id")
+
+
+@query("""SELECT url, origin, page_id FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY rank, page_id) AS k FROM (
+  SELECT url, 'sitemap' AS origin, page_id, 0 AS rank FROM pages WHERE page_id % 3 <> 0 UNION ALL SELECT url, 'listing', page_id, 1 FROM pages WHERE page_id % 2 = 0)) WHERE k = 1""")
+def merged_links(spark: SparkSession, d: str) -> DataFrame:
+    pages = spark.read.parquet(f"{d}/pages.parquet")
+    sitemap = pages.filter("page_id % 3 <> 0").select("url", F.lit("sitemap").alias("origin"), "page_id")
+    listing = pages.filter("page_id % 2 = 0").select("url", F.lit("listing").alias("origin"), "page_id")
+    return merge.first_of("url", sitemap, listing)
+
+
+@query("SELECT page_id, CASE WHEN page_id % 4 = 0 THEN NULL ELSE url END AS primary_image FROM pages")
+def primary_images(spark: SparkSession, d: str) -> DataFrame:
+    pages = spark.read.parquet(f"{d}/pages.parquet")
+    images = F.when(F.col("page_id") % 4 != 0, F.array(F.struct("url"), F.struct(F.lit("other").alias("url")))).otherwise(F.array().cast("array<struct<url:string>>"))
+    return pages.select("page_id", images.alias("images")).select("page_id", search.primary_image().alias("primary_image"))
+
+
 @query()
 def property_detail(spark: SparkSession, d: str) -> DataFrame:
     """One listing with prices and duplicates (nested: rows only)."""
