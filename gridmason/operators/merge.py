@@ -73,9 +73,10 @@ def accept_reject(rows: DataFrame, checks: dict[str, Column]) -> tuple[DataFrame
     return judged.filter(F.size("reasons") == 0).drop("reasons"), judged.filter(F.size("reasons") > 0)
 
 
-def pending(rows: DataFrame, version: int) -> DataFrame:
-    """Rows never enriched, or by an older version."""
-    return rows.filter(F.col("enriched_at").isNull() | (F.coalesce("enrichment_version", F.lit(0)) < version))
+def pending(rows: DataFrame, version: int, force: bool = False) -> DataFrame:
+    """Active rows never enriched, or by an older version (an unknown one is not older); with ``force`` all active rows."""
+    due = F.lit(True) if force else F.col("enriched_at").isNull() | F.coalesce(F.col("enrichment_version") < version, F.lit(False))
+    return rows.filter(F.coalesce("is_active", F.lit(False)) & due)
 
 
 #: Fixed value: a description has to be longer to be worth a model's reading.
@@ -83,9 +84,9 @@ LEAST_DESCRIPTION = 120
 
 
 def unresolved(rows: DataFrame, wanted: tuple[str, ...] = ("builder_name", "project_name", "summary")) -> DataFrame:
-    """Rows with a description and something wanted still missing."""
+    """Active rows with a description and something wanted still missing."""
     missing = F.array_contains(F.array(*[F.col(c).isNull() for c in wanted]), True)
-    return rows.filter((F.length("description") > LEAST_DESCRIPTION) & missing)
+    return rows.filter(F.coalesce("is_active", F.lit(False)) & (F.length("description") > LEAST_DESCRIPTION) & missing)
 
 
 def first_of(key: str, *sources: DataFrame) -> DataFrame:

@@ -520,15 +520,15 @@ def trends_table(spark: SparkSession, d: str) -> DataFrame:
     return api.market_trends(rollups.locality_trends(adapters.listings(spark, d)), as_of(), sector="Brand#1", listing_type="rent", months=24).select("key", "listing_count")
 
 
-@query("SELECT doc_id FROM documents WHERE lang IS NULL OR n_chars % 3 < 2")
+@query("SELECT doc_id FROM documents WHERE n_chars % 5 <> 0 AND (lang = 'de' OR n_chars % 3 < 2)")
 def pending_enrichment(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.read.parquet(f"{d}/documents.parquet").withColumns({"enriched_at": F.col("lang"), "enrichment_version": F.col("n_chars") % 3})
+    rows = spark.read.parquet(f"{d}/documents.parquet").withColumns({"enriched_at": F.when(F.coalesce(F.col("lang"), F.lit("")) != "de", F.lit("2024-01-01")), "enrichment_version": F.col("n_chars") % 3, "is_active": F.col("n_chars") % 5 != 0})
     return merge.pending(rows, 2).select("doc_id")
 
 
-@query("SELECT doc_id FROM documents WHERE length(text) > 120 AND (lang IS NULL OR source IS NULL OR n_chars % 2 <> 0)")
+@query("SELECT doc_id FROM documents WHERE n_chars % 5 <> 0 AND length(text) > 120 AND (lang IS NULL OR source IS NULL OR n_chars % 2 <> 0)")
 def unresolved_rows(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.read.parquet(f"{d}/documents.parquet").withColumns({"description": F.col("text"), "builder_name": F.col("lang"), "project_name": F.col("source"), "summary": F.when(F.col("n_chars") % 2 == 0, "x")})
+    rows = spark.read.parquet(f"{d}/documents.parquet").withColumns({"description": F.col("text"), "builder_name": F.col("lang"), "project_name": F.col("source"), "summary": F.when(F.col("n_chars") % 2 == 0, "x"), "is_active": F.col("n_chars") % 5 != 0})
     return merge.unresolved(rows).select("doc_id")
 
 

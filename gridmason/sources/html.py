@@ -290,17 +290,35 @@ SEARCH_URLS = {
 }
 
 
-def search_url(source: Column, town: Column, deal: Column, page: Column, prefix: str = "property") -> Column:
-    """The search page of a city: sale and rent have addresses of their own; the first page has no number."""
-    slug = F.replace(F.lower(F.trim(town)), F.lit(" "), F.lit("-"))
-    rent = deal == "rent"
+# What a portal calls a city, and the first word of its addresses for kinds of commercial space.
+CITY_SLUGS = {"delhi": "new-delhi", "new delhi": "new-delhi", "gurugram": "gurgaon", "greater noida": "greater-noida"}
+COMMERCIAL_PREFIXES = {
+    "shop": "shops", "office": "office-space", "showroom": "showroom", "commercial-land": "commercial-land", "industrial-land": "industrial-land",
+    "commercial-real-estate": "office-space",
+}
+
+
+def _named(x: Column, names: dict[str, str], otherwise: Column) -> Column:
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(v) for pair in names.items() for v in pair]), x), otherwise)
+
+
+def search_url(source: Column, town: Column, deal: Column, page: Column, kind: Column | None = None) -> Column:
+    """The search page of a city: sale and rent have addresses of their own; the first page has no number. ``kind``: a kind of property, which chooses
+    the prefix of one portal's addresses (an unknown one: property) and is a folder of another's."""
+    plain = F.lower(F.trim(town))
+    slug, rent = F.replace(plain, F.lit(" "), F.lit("-")), deal == "rent"
+    kind = F.lit(None).cast("string") if kind is None else kind
+    prefix = _named(kind, COMMERCIAL_PREFIXES, F.lit("property"))
     out = F.lit(None).cast("string")
     for name, (path, _) in SEARCH_URLS.items():
         url = F.lit(path)
-        for key, value in (("prefix", F.lit(prefix)), ("deal", F.when(rent, "rent").otherwise("sale")), ("suffix", F.when(rent, "pppfr").otherwise("pppfs")), ("section", F.when(rent, "rent").otherwise("buy")), ("city", slug)):
+        own = _named(plain, CITY_SLUGS, slug) if name == "magicbricks" else slug
+        for key, value in (("prefix", prefix), ("deal", F.when(rent, "rent").otherwise("sale")), ("suffix", F.when(rent, "pppfr").otherwise("pppfs")), ("section", F.when(rent, "rent").otherwise("buy")), ("city", own)):
             url = F.replace(url, F.lit("{" + key + "}"), value)
         if name == "squareyards":
             url = F.when(rent, F.concat(F.lit("https://www.squareyards.com/"), slug, F.lit("/property-for-rent"))).otherwise(url)
+        if name == "housing":
+            url = F.concat(url, F.coalesce(F.concat(F.lit("/"), F.nullif(kind, F.lit(""))), F.lit("")))
         out = F.when(source == name, url).otherwise(out)
     return F.concat(out, F.when(page > 1, F.concat(F.lit("?page="), page.cast("string"))).otherwise(F.lit("")))
 

@@ -75,6 +75,16 @@ def test_search_urls(values):
     assert values(url("rent", 2), ["magicbricks", "squareyards"]) == ["https://www.magicbricks.com/property-for-rent-in-greater-noida-pppfr?page=2", "https://www.squareyards.com/greater-noida/property-for-rent?page=2"]
 
 
+def test_search_urls_of_cities_and_kinds(values):
+    url = lambda portal, deal="sale", page=1, kind=None: lambda c: html.search_url(F.lit(portal), c, F.lit(deal), F.lit(page), None if kind is None else F.lit(kind))
+    mb = "https://www.magicbricks.com/"
+    assert values(url("magicbricks"), ["delhi", "New Delhi", "Gurugram", "Gurgaon"]) == [f"{mb}property-for-sale-in-{c}-pppfs" for c in ("new-delhi", "new-delhi", "gurgaon", "gurgaon")]
+    assert values(url("magicbricks", kind="shop"), ["Gurgaon"]) == [f"{mb}shops-for-sale-in-gurgaon-pppfs"]
+    assert values(url("magicbricks", "rent", kind="office"), ["Gurgaon"]) == [f"{mb}office-space-for-rent-in-gurgaon-pppfr"]
+    assert values(url("magicbricks", kind="something-new"), ["Gurgaon"]) == [f"{mb}property-for-sale-in-gurgaon-pppfs"]
+    assert values(url("housing", "rent", 3, "flats"), ["Delhi"]) == ["https://housing.com/in/rent/delhi/flats?page=3"]
+
+
 def test_scoring_jobs(spark):
     s = "builder_id long, name string, established_year int"
     table = spark.createDataFrame([(1, "A", 2016), (2, "B", None)], s)
