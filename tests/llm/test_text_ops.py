@@ -304,6 +304,40 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a string, b string")).count() == 0
 
 
+@pytest.mark.parametrize("at_once", [0, 10**6])
+def test_components_at_once_and_in_rounds(spark, at_once):
+    """Both ways tell the same of random edges, of long paths and of a hub with the largest id."""
+    import random
+
+    r = random.Random(4)
+    edges = [(r.randrange(3000), r.randrange(3000)) for _ in range(1200)] + [(5000 + i * 7 % 101, 5000 + (i + 1) * 7 % 101) for i in range(100)] + [(9999, i) for i in range(6000, 6050)]
+    edges += [(-5, 2**62), (7, 7), (None, 3)]
+    low = {}
+    for a, b in edges:
+        if a is not None and a != b:
+            low.setdefault(a, a), low.setdefault(b, b)
+    for _ in range(len(low)):
+        if all(low[a] == low[b] for a, b in edges if a in low and a != b):
+            break
+        for a, b in edges:
+            if a is not None and a != b:
+                low[a] = low[b] = min(low[a], low[b])
+    got = components(spark.createDataFrame(edges, "a long, b long"), at_once=at_once).collect()
+    assert len(got) == len(low) and {x["node"]: x["component"] for x in got} == low
+
+
+def test_few_links_take_few_shuffles(spark):
+    """A chain of links is settled in one job's shuffle: rounds of plans fill the driver, whatever little they hold."""
+    jobs = spark.sparkContext.statusTracker()
+    edges = spark.createDataFrame([(i, i + 1) for i in range(300)], "a long, b long")
+    spark.sparkContext.setJobGroup("few", "few")
+    try:
+        assert components(edges).select("component").distinct().count() == 1
+        assert len(jobs.getJobIdsForGroup("few")) <= 12
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
 # ------------------------------------------------------------ suffix dedup
 
 
