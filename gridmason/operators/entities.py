@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -41,11 +42,16 @@ def sectors(text: Column, limit: int = 10) -> Column:
     return F.slice(F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(SECTOR), F.lit(1)), sector_form)), 1, limit)
 
 
+def topic_hits(text: Column, form: Callable[[str], str] = "(?i){}".format) -> Column:
+    """array<struct<n, i, name>> of the topics that a text hits, n the negated number of hits: sorted by rank. form: makes a pattern of a topic's."""
+    text = F.coalesce(text, F.lit(""))
+    rows = F.array(*[F.struct((-F.regexp_count(text, F.lit(form(p)))).alias("n"), F.lit(i).alias("i"), F.lit(name).alias("name")) for i, (name, p) in enumerate(vocab.TOPICS.items())])
+    return F.array_sort(F.filter(rows, lambda r: r["n"] < 0))
+
+
 def topics(text: Column, limit: int = 12) -> Column:
     """Topics by falling number of hits; equally frequent ones in their own order."""
-    text = F.coalesce(text, F.lit(""))
-    rows = F.array(*[F.struct((-F.regexp_count(text, F.lit(f"(?i){p}"))).alias("n"), F.lit(i).alias("i"), F.lit(name).alias("name")) for i, (name, p) in enumerate(vocab.TOPICS.items())])
-    return F.transform(F.slice(F.array_sort(F.filter(rows, lambda r: r["n"] < 0)), 1, limit), lambda r: r["name"])
+    return F.transform(F.slice(topic_hits(text), 1, limit), lambda r: r["name"])
 
 
 def keyword_terms(docs: DataFrame, key: str, text: str) -> DataFrame:
