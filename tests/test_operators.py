@@ -154,3 +154,39 @@ def test_entities(values, spark):
     assert values(entities.only_builder, ["DLF Crest", "DLF and M3M"]) == ["DLF", None]
     terms = entities.keyword_terms(spark.createDataFrame([(1, "builder metro flatty flatty flatty with")], "i int, t string"), "i", "t")
     assert [(r["term"], r["n"]) for r in rollups.term_counts(terms, "i", 2).orderBy("rank").collect()] == [("builder", 6), ("metro", 6)]
+
+
+def test_every_pair_over_the_threshold_is_found(spark):
+    """Against all pairs of a block: names of few and of many words, near in price, area, both or neither, at several thresholds."""
+    import random
+
+    r = random.Random(3)
+    words = "red old hot new blue bolt ring plate anvil widget tower court".split()
+    long = [f"w{i}" for i in range(9)]
+    names = [" ".join(r.sample(words, r.randint(1, 3))) for _ in range(5)] + [" ".join(long), " ".join([*long[1:], "x"]), " ".join(long[:-1]), "Red  BOLT red", "", None]
+    data = [(f"{i:03}", "s", str(i), r.choice(names), r.choice([None, 0.0, 1000.0, 1028.0, 1075.0]), r.choice([None, 0.0, 5e6, 5.09e6, 5.3e6]), None, "2 BHK", "s1", "c", "sale", r.choice([0, 1, 3, 2**40 - 1]), r.choice([[], [], [], ["u?1"]])) for i in range(160)]
+    s = "id string, source string, source_id string, name string, area_sqft double, price double, rent_monthly double, configuration string, sector string, city string, listing_type string, title_hash long, images array<string>"
+    df = spark.createDataFrame(data, s).dropDuplicates(["name", "area_sqft", "price", "title_hash", "images"]).withColumn("locality", F.lit(None).cast("string"))
+    df = spark.createDataFrame(df.collect(), df.schema)
+    every = df.withColumn("images", F.transform("images", lambda u: F.substring_index(u, "?", 1)))
+    score, _ = duplicates._similarity()
+    pairs = [(x["a"], x["b"], x["s"]) for x in every.alias("l").join(every.alias("r"), F.col("l.id") < F.col("r.id")).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), score.alias("s")).collect()]
+    for threshold in (0.61, 0.65, 0.75, 0.85):
+        got = {(x["left"], x["right"]) for x in duplicates.find_duplicates(df, threshold).collect()}
+        assert got == {(a, b) for a, b, p in pairs if p >= threshold} and got
+
+
+def test_listings_of_one_block_and_area_are_not_compared_all_with_all(spark):
+    """Other prices and names: nothing can match, so the join of listings makes no candidates."""
+    s = "id string, source string, source_id string, name string, area_sqft double, price double, configuration string, sector string, city string, listing_type string"
+    df = spark.createDataFrame([(f"{i}", "s", str(i), f"n{i} m{i}", 1000.0, 1e6 * 1.1**i, "2 BHK", "s1", "c", "sale") for i in range(120)], s)
+    df = df.withColumns({"locality": F.lit(None).cast("string"), "rent_monthly": F.lit(None).cast("double"), "title_hash": F.lit(0).cast("long"), "images": F.array().cast("array<string>")})
+    marks = []
+    join = type(df).join
+    try:
+        type(df).join = lambda self, other, on=None, how=None: (marks.append((self, other)), join(self, other, on, how))[1]
+        assert duplicates.find_duplicates(df).count() == 0
+    finally:
+        type(df).join = join
+    left, right = next(x for x in marks if "mark" in x[0].columns)
+    assert join(left.select("l.block", "l.mark", F.col("l.id").alias("x")), right.select("r.block", "r.mark", F.col("r.id").alias("y")), ["block", "mark"]).filter("x < y").count() == 0
