@@ -2,6 +2,7 @@ import importlib
 
 import pytest
 
+from gridmason.llm import common
 from tests.llm.util import corpus, words
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
@@ -46,6 +47,30 @@ def test_repeated_rows_and_null_ids_in_stages(spark, tmp_path):
     assert sorted(got, key=str) == sorted([(5, a), (None, b), (9, c), (9, words(204, 60)), (3, None), (4, "")], key=str)
 
 
+def test_what_near_duplicates_broadcasts(spark, tmp_path, monkeypatch):
+    """Kept rows are nearly all rows: the driver holds bits, not a relation of their ids."""
+    rows = [(i, words(20_000 + i, 8)) for i in range(640)]
+    sent, broadcast = [], common.F.broadcast
+    monkeypatch.setattr(common.F, "broadcast", lambda df: sent.append(df.count()) or broadcast(df))
+    got = corpus_pipeline.near_duplicates(spark, docs_of(spark, rows).coalesce(1), str(tmp_path))
+    assert sorted(r["doc_id"] for r in got.collect()) == list(range(640))
+    assert max(sent) <= 10 + 1
+
+
+@pytest.mark.parametrize("most", [0, 10**6])
+def test_rows_by_ids(spark, monkeypatch, most):
+    monkeypatch.setattr(common, "BROADCAST_MASKS", most)
+    ids = [-(2**63), -65, -64, -1, 0, 63, 64, 129, 2**40 + 7, 2**63 - 1]
+    rows = [*ids, -66, -2, 1, 62, 65, 128, 2**40 + 8, 2**63 - 2, 0, 1, None]
+    docs = spark.createDataFrame([(i, str(i)) for i in rows], "doc_id long, text string")
+    asked = spark.createDataFrame([(i,) for i in [*ids, 63, 63, None]], "doc_id long")
+    found, rest = common.by_ids(docs, asked, "doc_id"), common.by_ids(docs, asked, "doc_id", anti=True)
+    assert found.columns == rest.columns == ["doc_id", "text"]
+    assert sorted(r["text"] for r in found.collect()) == sorted(str(i) for i in rows if i in ids)
+    assert sorted(r["text"] for r in rest.collect()) == sorted(str(i) for i in rows if i not in ids)
+    assert common.by_ids(docs, asked.limit(0), "doc_id").count() == 0 and common.by_ids(docs, asked.limit(0), "doc_id", anti=True).count() == len(rows)
+
+
 def test_passages_leave_replacement_characters(spark, tmp_path):
     passage = words(55, 60, "éàüöñ")
     texts = [(1, "x" + passage + " end"), (2, "a\ufffdb " + passage + " \ufffd rest")]
