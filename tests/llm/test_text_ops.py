@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridmason.llm import langid, mixing, neardup, packing, rolling, suffixdedup, tokenfile, tokens, toxicity, winnow
+from gridmason.llm import common, langid, mixing, neardup, packing, rolling, suffixdedup, tokenfile, tokens, toxicity, winnow
 from gridmason.llm.common import components, crc_mod
 from tests.llm.util import corpus, frame, words
 
@@ -254,6 +254,19 @@ def test_near_duplicates(spark, rows):
     assert Counter(tuple(r) for r in got) == groups([(i, t) for i, t in rows if i is not None])
 
 
+def test_near_duplicates_broadcasts_no_table_of_documents(spark, monkeypatch):
+    """Whatever size Spark takes a table for: here all are small. Only the masks of the texts to compare are broadcast."""
+    plans, stash = {}, neardup.stash
+    told = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(neardup, "stash", lambda df, label: plans.setdefault(label, told(df)) and stash(df, label))
+    plans["result"] = told(neardup.link(frame(spark, family(150, 9)), block_rows=40))
+    assert {"buckets", "star", "pairs", "links", "open-buckets", "clustered", "more-links"} <= set(plans)
+    assert not [k for k, p in plans.items() if "Broadcast" in p and k != "asked-texts"]
+    ids = spark.range(3).select(F.col("id").alias("doc_id"))
+    monkeypatch.setattr(common, "BROADCAST_MASKS", 0)
+    assert "Broadcast" not in told(common.by_ids(frame(spark), ids, "doc_id"))
+
+
 def test_pairs_within_the_radius_share_a_key(spark):
     """Differences spread over the chunks as evenly as can be, and at random: 31 of 64 always leave a key, and more can leave none."""
     import random
