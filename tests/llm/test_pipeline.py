@@ -57,6 +57,13 @@ def test_what_near_duplicates_broadcasts(spark, tmp_path, monkeypatch):
     assert max(sent) <= 10 + 1
 
 
+def test_near_duplicates_joins_rows_without_broadcast(spark, tmp_path, monkeypatch):
+    plans, stash = {}, corpus_pipeline.stash
+    monkeypatch.setattr(corpus_pipeline, "stash", lambda df, label: plans.setdefault(label, df._jdf.queryExecution().executedPlan().toString()) and stash(df, label))
+    corpus_pipeline.near_duplicates(spark, docs_of(spark, [(i, words(i, 9)) for i in range(20)]), str(tmp_path))
+    assert "Join" in plans["kept"] and "Broadcast" not in plans["kept"]
+
+
 @pytest.mark.parametrize("most", [0, 10**6])
 def test_rows_by_ids(spark, monkeypatch, most):
     monkeypatch.setattr(common, "BROADCAST_MASKS", most)
