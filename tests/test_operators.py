@@ -190,3 +190,26 @@ def test_listings_of_one_block_and_area_are_not_compared_all_with_all(spark):
         type(df).join = join
     left, right = next(x for x in marks if "mark" in x[0].columns)
     assert join(left.select("l.block", "l.mark", F.col("l.id").alias("x")), right.select("r.block", "r.mark", F.col("r.id").alias("y")), ["block", "mark"]).filter("x < y").count() == 0
+
+
+def test_duplicates_with_a_shared_folder(spark, tmp_path, monkeypatch):
+    """The listings are worked out once, not by each part of the result; repeated ids and source ids, copies and nulls give the same rows."""
+    import random
+
+    r = random.Random(5)
+    names = ["red bolt", "old ring", "new anvil", None]
+    data = [(f"{i % 70:03}", r.choice(["s", None]), str(i % 70) if i % 9 else "same", r.choice(names), r.choice([1000.0, 1028.0]), r.choice([None, 5e6]), None, "2 BHK", "s1", None, "c", "sale", r.choice([0, 1]), r.choice([[], ["u?1"]])) for i in range(120)]
+    s = "id string, source string, source_id string, name string, area_sqft double, price double, rent_monthly double, configuration string, sector string, locality string, city string, listing_type string, title_hash long, images array<string>"
+    for part, repeats in ((data, True), ([(*x[:2], x[0], *x[3:]) for x in data], False)):
+        path = f"{tmp_path}/listings{int(repeats)}"
+        spark.createDataFrame(part, s).write.parquet(path)
+        df = spark.read.parquet(path)
+        plain = rows(duplicates.find_duplicates(df), "left", "right")
+        assert any(x[3] == "same source id" for x in plain) == repeats
+        with monkeypatch.context() as m:
+            m.setattr(duplicates, "_shared", lambda s: f"file://{tmp_path}/shared")
+            for most in (duplicates.BROADCAST_FIRSTS, 0):
+                m.setattr(duplicates, "BROADCAST_FIRSTS", most)
+                got = duplicates.find_duplicates(df)
+                assert rows(got, "left", "right") == plain
+                assert not any(f"/listings{int(repeats)}/" in f for f in got.inputFiles())
